@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import piece_bpe
+from strandlab.llm import mixing, piece_bpe
 from strandlab.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.col("ids").cast("array<string>")
@@ -34,8 +38,8 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_piece_codec,)}
+    return {f.__name__: f for f in (op5_fair_mix, op9_piece_codec,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_fair_mix": mixing.TAKEN_SQL}

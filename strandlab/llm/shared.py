@@ -45,7 +45,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size of df in bytes: the files' for a plain scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
