@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import mixing, piece_bpe, vafile
+from strandlab.llm import minmax, mixing, piece_bpe, vafile
 from strandlab.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vafile.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -43,7 +47,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_va_file, op5_fair_mix, op9_piece_codec,)}
+    return {f.__name__: f for f in (op2_minmax_dedup, op3_va_file, op5_fair_mix, op9_piece_codec,)}
 
 
 def oracle_sql() -> dict[str, str]:
