@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import minmax, mixing, piece_bpe, vafile
+from strandlab.llm import automata, minmax, mixing, piece_bpe, suffix_radix, vafile
 from strandlab.llm.shared import table
 
 
@@ -35,6 +35,11 @@ def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_radix.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.col("ids").cast("array<string>")
@@ -46,8 +51,13 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = automata.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minmax_dedup, op3_va_file, op5_fair_mix, op9_piece_codec,)}
+    return {f.__name__: f for f in (op2_minmax_dedup, op3_va_file, op5_fair_mix, op6_suffix_radix, op9_piece_codec, op10_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
