@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import automata, minmax, mixing, piece_bpe, suffix_radix, vafile
+from strandlab.llm import automata, minmax, mixing, piece_bpe, suffix_radix, toxicity, vafile
 from strandlab.llm.shared import table
 
 
@@ -31,6 +31,12 @@ def op3_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "threshold", "toxic")
+
+
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -57,7 +63,7 @@ def op10_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minmax_dedup, op3_va_file, op5_fair_mix, op6_suffix_radix, op9_piece_codec, op10_automata)}
+    return {f.__name__: f for f in (op2_minmax_dedup, op3_va_file, op4_toxicity, op5_fair_mix, op6_suffix_radix, op9_piece_codec, op10_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
