@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import automata, minmax, mixing, piece_bpe, suffix_radix, toxicity, vafile
+from strandlab.llm import automata, chat, licences, minmax, mixing, piece_bpe, suffix_radix, toxicity, vafile
 from strandlab.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
+
+
 def op2_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,10 @@ def op6_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.col("ids").cast("array<string>")
@@ -63,8 +71,8 @@ def op10_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minmax_dedup, op3_va_file, op4_toxicity, op5_fair_mix, op6_suffix_radix, op9_piece_codec, op10_automata)}
+    return {f.__name__: f for f in (op1_license_digests, op2_minmax_dedup, op3_va_file, op4_toxicity, op5_fair_mix, op6_suffix_radix, op7_chat_snapshots, op9_piece_codec, op10_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fair_mix": mixing.TAKEN_SQL}
+    return {"op1_license_digests": licences.SCAN_SQL, "op5_fair_mix": mixing.TAKEN_SQL, "op7_chat_snapshots": chat.FORMATTED_SQL}
