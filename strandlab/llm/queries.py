@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import automata, chat, licences, minmax, mixing, piece_bpe, suffix_radix, toxicity, vafile
+from strandlab.llm import automata, chat, licences, minmax, mixing, piece_bpe, quality, suffix_radix, toxicity, vafile
 from strandlab.llm.shared import table
 
 
@@ -54,6 +54,12 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.col("ids").cast("array<string>")
@@ -71,7 +77,7 @@ def op10_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_digests, op2_minmax_dedup, op3_va_file, op4_toxicity, op5_fair_mix, op6_suffix_radix, op7_chat_snapshots, op9_piece_codec, op10_automata)}
+    return {f.__name__: f for f in (op1_license_digests, op2_minmax_dedup, op3_va_file, op4_toxicity, op5_fair_mix, op6_suffix_radix, op7_chat_snapshots, op8_decision_list, op9_piece_codec, op10_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
