@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandlab.schemas import PAIR, RECORDS, SENTENCE
 
@@ -29,7 +28,7 @@ def fasta(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     return out.limit(most) if most else out
 
 
-def pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIR) -> DataFrame:
+def pairs_csv(spark: SparkSession, path: str, schema: str = PAIR) -> DataFrame:
     """Sentence pairs with a header line; quoted fields may hold commas, quotes and line ends."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
@@ -40,7 +39,7 @@ def pairs_splits(spark: SparkSession, path: str, split: str | None = None) -> Da
     return out.filter(F.col("split") == split).drop("split") if split else out
 
 
-def task_json(spark: SparkSession, path: str, schema: T.StructType = SENTENCE) -> DataFrame:
+def task_json(spark: SparkSession, path: str, schema: str = SENTENCE) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
@@ -55,7 +54,7 @@ def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def document_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def document_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document over many lines."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
