@@ -66,10 +66,10 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
 
 def cleaned(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs with what is left of their texts (parts of characters at a cut go too), and n_chars after them if there is one."""
-    left = without_repeats(docs, threshold, gram, hot).select(F.col("doc_id").alias("__id"), F.decode("kept", "UTF-8").alias("__text"))
-    left = left.filter("__id is not null").dropDuplicates(["__id"])
-    text = F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.regexp_replace("__text", "�", ""))
-    out = docs.join(left, docs["doc_id"] == left["__id"], "left").withColumn("text", text)
+    left = without_repeats(docs, threshold, gram, hot).filter("doc_id is not null and n_removed > 0").dropDuplicates(["doc_id"])
+    valid = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    left = left.select(F.col("doc_id").alias("__id"), valid.alias("__text"))
+    out = docs.join(left, docs["doc_id"] == left["__id"], "left").withColumn("text", F.coalesce("__text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
