@@ -50,7 +50,7 @@ class Plan:
     buckets: int
 
 
-def plan(docs: DataFrame, words: bool, n: int, k: int, hot: int, group_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20) -> Plan:
+def plan(docs: DataFrame, words: bool, n: int, k: int, hot: int, group_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> Plan:
     """Groups of 2 MB of input, growing to 64 MB where there are thousands of them."""
     size = plan_bytes(docs)
     each = max(group_bytes, min(64 << 20, size // 4096))

@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from strandlab.llm import repeats
 
 THRESHOLD, GRAM, HOT = 50, 20, 2048
+#: Suffixes sorted at once; an anchor's stay together.
+PASS_WINDOWS = 1 << 18
 
 
 def equal_windows(contents: np.ndarray, positions: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of the suffixes at positions repeat through n bytes within their group, and the number of their class."""
-    padded = np.concatenate([np.ascontiguousarray(contents), np.zeros(8, np.uint8)])
-    digits = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
+    low, high = (int(positions.min()), int(positions.max()) + n) if len(positions) else (0, 0)
+    padded = np.concatenate([contents[low:high], np.zeros(8, np.uint8)])
+    digits, positions = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,)), positions - low
     alive = np.arange(len(positions))
     for depth in range(0, n, 8):
         digit = digits[positions[alive] + depth].astype(np.uint64)
@@ -45,16 +48,21 @@ def equal_windows(contents: np.ndarray, positions: np.ndarray, group: np.ndarray
 def radix(contents: np.ndarray, ends: np.ndarray, anchors: np.ndarray, documents: np.ndarray, n: int) -> np.ndarray:
     """For each window of each content the smallest document that has it."""
     count = np.diff(ends) - (n - 1)
-    own = np.repeat(documents, count)
+    least, start = np.repeat(documents, count), np.append(0, np.cumsum(count))
     _, which, size = np.unique(anchors, return_inverse=True, return_counts=True)
-    shared = np.repeat(size[which] > 1, count)  # a stretch alone under its anchor equals no other
-    windows = np.repeat(ends[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())
-    at = np.flatnonzero(shared)
-    alive, group = equal_windows(contents, windows[at], np.repeat(which, count)[at], n)
-    least = own.copy()
-    if len(alive):
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        least[at[alive]] = np.repeat(np.minimum.reduceat(own[at[alive]], first), np.diff(np.append(first, len(group))))
+    shared = np.flatnonzero(size[which] > 1)  # a stretch alone under its anchor equals no other
+    shared = shared[np.argsort(which[shared], kind="stable")]
+    first = np.flatnonzero(np.diff(which[shared], prepend=-1))
+    before = np.append(0, np.cumsum(count[shared]))[first]
+    for some in np.split(shared, first[np.flatnonzero(np.diff(before // PASS_WINDOWS, prepend=0))]):
+        m = count[some]
+        step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        at = np.repeat(start[some], m) + step
+        alive, group = equal_windows(contents, np.repeat(ends[some], m) + step, np.repeat(which[some], m), n)
+        if len(alive):
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
+            low = np.minimum.reduceat(least[at[alive]], cut)
+            least[at[alive]] = np.repeat(low, np.diff(np.append(cut, len(group))))
     return least
 
 
