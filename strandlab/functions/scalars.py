@@ -83,3 +83,9 @@ def signed(x: Column, places: int = 3) -> Column:
 def fixed(x: Column, places: int = 3) -> Column:
     """Fixed decimals; what is missing prints as nan."""
     return F.coalesce(F.format_string(f"%.{places}f", x), F.lit("nan"))
+
+
+def last_true(states: Column, mask: Column) -> Column:
+    """The state of the last place that the mask counts; null for an empty mask."""
+    n = F.size(F.filter(mask, lambda x: x == 1))
+    return F.when(n > 0, F.get(states, n - 1))

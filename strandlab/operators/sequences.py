@@ -6,14 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlab.functions.scalars import letters, protein_line, unit_hash
+from strandlab.operators.sampling import shuffled_head
 
 #: The twenty residues.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
 
-def frequencies(sequences: DataFrame, seq: str = "seq", alphabet: str = RESIDUES) -> DataFrame:
-    """residue, n and p for each letter of the alphabet; a letter never seen counts as seen once."""
+#: Sequences that the frequencies of a corpus are taken from: the first in hash order.
+FREQUENCY_SAMPLE = 20_000
+
+
+def frequencies(sequences: DataFrame, seq: str = "seq", alphabet: str = RESIDUES, most: int | None = None, seed: int = 0, key: str = "seq_id") -> DataFrame:
+    """residue, n and p for each letter of the alphabet; a letter never seen counts as seen once.
+
+    With `most` only the first sequences of the shuffled order count.
+    """
     spark = sequences.sparkSession
+    if most:
+        sequences = shuffled_head(sequences, seed, most, key)
     counts = sequences.select(F.explode(letters(F.col(seq))).alias("residue")).groupBy("residue").agg(F.count("*").alias("n"))
     names = spark.createDataFrame([(c,) for c in alphabet], "residue string")
     out = names.join(counts, "residue", "left").withColumn("n", F.coalesce("n", F.lit(1)))
@@ -57,7 +67,7 @@ def corpus_lines(sequences: DataFrame, group: str, seed: int = 0, seq: str = "se
     if group == "shuffled":
         own = shuffled(own, seed, name)
     elif group == "randomaa":
-        own = resampled(F.length(own), seed, name, cumulative(freq if freq is not None else frequencies(sequences, seq)))
+        own = resampled(F.length(own), seed, name, cumulative(freq if freq is not None else frequencies(sequences, seq, most=FREQUENCY_SAMPLE, seed=seed, key=key)))
     elif group != "protein":
         raise ValueError(f"unknown group {group!r}")
     return sequences.select(key, protein_line(own).alias("text"))

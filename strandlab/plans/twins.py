@@ -470,3 +470,20 @@ def scaling_points(spark, sf_dir):
     dim = spark.createDataFrame([("AUTOMOBILE", 4), ("BUILDING", 11), ("MACHINERY", 110)], "model string, params int")
     own = stats.summarised(_t(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment").withColumnRenamed("c_mktsegment", "model")
     return own.join(F.broadcast(dim), "model").select("model", "params", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
+
+
+@query(f"""with {_P}, c as (select lang, example_id % 3 as step, count(*) as n, avg((label = pred)::int) as a from p group by all)
+select lang, step, n, round(greatest(a, 1 - a), 6) as transfer_flip from c""")
+def step_accuracy(spark, sf_dir):
+    """The transfer probe of each training step."""
+    rows = _scored(spark, sf_dir).withColumn("step", F.col("example_id") % 3)
+    return metrics.evaluated(rows, "lang", "step").select("lang", "step", "n", F.round("acc_flipbest", 6).alias("transfer_flip"))
+
+
+@query("""with t as (select conv_id, turn, regexp_extract_all(text, '\\S+') as w from conversations)
+select conv_id, turn, w[least(len(w), 16)] as last_token from t""")
+def last_states(spark, sf_dir):
+    """The last true place of padded arrays."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    ids, mask = corpus.padded(words, 16, F.lit("<pad>"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.last_true(ids, mask).alias("last_token"))

@@ -126,3 +126,18 @@ def test_stream_budget_and_windows(spark, tmp_path, data):
     table = live.windowed(events, "ts", "value", "event_type")
     live.follow(table, "win", str(tmp_path / "ck2")).awaitTermination()
     assert spark.table("win").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+
+
+def test_commands(spark, tmp_path):
+    from strandlab.__main__ import main
+
+    (tmp_path / "s.fasta").write_text("".join(f">s{i}\n{'MKVLA' * (i + 1)}\n" for i in range(20)))
+    (tmp_path / "t.txt").write_text("\n".join(f" text {i} " for i in range(20)))
+    main(["corpus", "--out", str(tmp_path / "c"), "--fasta", str(tmp_path / "s.fasta"), "--texts", str(tmp_path / "t.txt"), "--target_tokens", "50"])
+    groups = readers.document_json(spark, str(tmp_path / "c/manifest"), schemas.RECORDS["manifest"]).first()["groups"]
+    assert set(groups) == {"text", "protein", "shuffled", "randomaa"} and groups["protein"]["tokens"] >= 50
+    assert groups["protein"]["lines"] == groups["shuffled"]["lines"] == groups["randomaa"]["lines"]
+    main(["dyck", "--out", str(tmp_path), "--n_train", "30", "--n_val", "10", "--length", "10"])
+    main(["longrange", "--out", str(tmp_path), "--n_train", "30", "--n_val", "10"])
+    for name in ("dyck_L10_t3", "longrange_d12"):
+        assert spark.read.json(str(tmp_path / name)).groupBy("split").count().count() == 2
