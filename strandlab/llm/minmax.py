@@ -7,10 +7,12 @@ matches with probability J^r as in plain MinHash. With 80 permutations in 40 ban
 missed by all bands with probability (1 - 0.75^4)^40 < 3e-7.
 
 Documents with equal sets are one class, with its smallest id standing for it; only these go on. In each bucket of
-a band every class is compared with the bucket's smallest one, on full sets. Where that leaves a bucket in more than
-one component, further hubs are compared with all members outside their component, twice as many each round, until
-every pair of the bucket is either in one component or refuted. So no pair is dropped, and a bucket of near copies
-costs a row for each of them rather than for each pair.
+a band every class is compared with the bucket's hub, on full sets. The Jaccard distance is a metric, which settles most
+of a bucket at once: if a document is far from the hub (J < 0.4), whatever it is linked with isn't near (J < 0.65). So
+the near ones leave, and a far one is the next hub for the rest, for a few rounds. All that aren't far from a common hub
+form a family, and so do those of a bucket that are left after the last round. Where a family ends in more than one
+component, the members outside its largest one are compared with the whole family, in blocks within tasks, so no pair
+is dropped and no row stands for a pair.
 
 Null text and text without words have no shingles, stay alone and are kept. Repeated rows are one class. A null
 doc_id never names a component: such a row is kept if no document with an id has the same set.
@@ -22,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +36,12 @@ from strandlab.llm.shared import ready, written
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 80, 4
 _COLUMNS = 2048
-#: Hubs for each bucket in the first extra round.
-FIRST_HUBS = 2
+#: Documents with a lower similarity to a hub, in percent, are far from it.
+FAR = 40
+#: Hubs that each bucket has.
+HUBS = 2
+#: Documents of a family compared in one task: those outside its largest component, and all members.
+BLOCK, CHUNK = 128, 1024
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -111,12 +118,64 @@ def _setter(n: int):
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs(u, v) whose full sets are similar enough."""
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
-    both = pairs.join(left, "u").join(right, "v")
-    common, total = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
-    return both.filter(100 * common.cast("long") >= percent * (total - common).cast("long")).select("u", "v")
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, far: int = FAR) -> DataFrame:
+    """Those of pairs(rep, n, hub) whose full sets aren't far apart, with link and near."""
+    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("rep", "hub"))
+    both = pairs.join(left, "rep").join(right, "hub").select("rep", "hub", F.size(F.array_intersect("set_rep", "set_hub")).cast("long").alias("common"), (F.size("set_rep") + F.size("set_hub")).cast("long").alias("total"))
+    at_least = lambda p: 100 * F.col("common") >= p * (F.col("total") - F.col("common"))
+    return both.filter(at_least(far)).select("rep", "hub", at_least(percent).alias("link"), at_least(far + 100 - percent).alias("near"))
+
+
+def _across(percent: int):
+    """Links between a block of a family's lesser components and a chunk of the family: a forest over components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lesser = table.filter(table.column("lesser"))
+        members = table.filter(pc.invert(table.column("lesser")))
+        ids, groups = lesser.column("rep").to_numpy(), lesser.column("component").to_numpy()
+        own = [np.asarray(x.values.to_numpy()) for x in lesser.column("shingles")]
+        size = np.array([len(x) for x in own])
+        flat, owner = np.concatenate(own) if own else np.zeros(0, np.int64), np.repeat(np.arange(len(own)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                x = y
+            return x
+
+        links = []
+        for k in range(len(members)):
+            rep, group, x = members.column("rep")[k].as_py(), members.column("component")[k].as_py(), members.column("shingles")[k].values.to_numpy()
+            low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+            n = high - low
+            hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(owner[hit], minlength=len(own))
+            for o in np.flatnonzero((100 * common >= percent * (size + len(x) - common)) & (groups != group)):
+                a, b = find(int(groups[o])), find(group)
+                if a != b:
+                    root[a] = b
+                    links.append((rep, int(ids[o])))
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return run
+
+
+def across(families: DataFrame, groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links(u, v) within families(node, component) between different groups(node, component)."""
+    rows = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "rep"))
+    counts = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
+    per = counts.groupBy("family").agg(F.max(F.struct("n", -F.col("component"))).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
+    per = per.select("family", (-F.col("m.col2")).alias("main"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(per, "family").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    common = ["family", "rep", "component", "shingles"]
+    members = rows.select(*common, F.lit(False).alias("lesser"), mine("chunks").alias("chunk"), every("blocks").alias("block"))
+    lesser = rows.filter("component <> main").select(*common, F.lit(True).alias("lesser"), every("chunks").alias("chunk"), mine("blocks").alias("block"))
+    return members.unionByName(lesser).groupBy("family", "block", "chunk").applyInArrow(_across(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -130,36 +189,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = written(classes.filter("rep is not null"), "classes")
     of_rep = signed.select("doc_id", *prints, "bands").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *prints], "left_semi")
     dealt = of_rep.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub")
-    members = written(dealt.join(shared, "key"), "members")
-    in_bucket = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(in_bucket, "doc_id", "left_semi").mapInArrow(_setter(shingle), "doc_id long, shingles array<long>")
-    # A repeated doc_id with another text has another set: links of any of its sets count.
-    sets = written(sets, "sets")
-    sizes = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    size_of = members.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).distinct()
-    pairs = members.filter("rep <> hub").join(size_of, "hub").filter(sizes(F.col("n"), F.col("hub_n")))
-    links = written(linked(pairs.select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), sets, percent), "links")
+    shared = dealt.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).filter("hub.rep < last").select("key", "hub")
+    active = written(dealt.join(shared, "key"), "buckets")
+    in_bucket = active.select(F.col("rep").alias("doc_id")).distinct()
+    sets = written(texts.join(in_bucket, "doc_id", "left_semi").mapInArrow(_setter(shingle), "doc_id long, shingles array<long>"), "sets")
+    seen = None
+    for _ in range(HUBS):
+        others = active.filter("rep <> hub.rep")
+        pairs = others.filter(100 * F.least("n", "hub.n") >= FAR * F.greatest("n", "hub.n")).select("rep", F.col("hub.rep").alias("hub")).distinct()
+        near = written(compared(pairs, sets, percent), "near")
+        seen = near if seen is None else seen.unionByName(near)
+        others = others.select("key", "rep", "n", F.col("hub.rep").alias("hub"))
+        left = others.join(near.select("rep", "hub", "near"), ["rep", "hub"], "left").filter("near is null or not near").withColumn("far", F.col("near").isNull())
+        following = left.groupBy("key").agg(F.min(F.when(F.col("far"), F.struct("rep", "n"))).alias("hub"), F.count("*").alias("k")).filter("hub is not null and k > 1").select("key", "hub")
+        active = written(left.select("key", "rep", "n").join(following, "key"), "buckets")
+    links = seen.filter("link").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     groups = written(components(links), "groups")
-    done = written(members.select("key", F.col("hub").alias("rep")).distinct(), "hubs")
-    hubs = FIRST_HUBS
-    while True:
-        placed = members.select("key", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        left = placed.join(done, ["key", "rep"], "left_anti")
-        open_keys = left.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-        left = written(left.join(open_keys, "key", "left_semi"), "open")
-        if left.isEmpty():
-            break
-        first = left.groupBy("key", "component").agg(F.min(F.struct("rep", "n")).alias("m"))
-        order = Window.partitionBy("key").orderBy("component")
-        chosen = first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= hubs)
-        chosen = written(chosen.select("key", F.col("component").alias("of"), F.col("m.rep").alias("hub"), F.col("m.n").alias("hub_n")), "chosen")
-        pairs = left.join(chosen, "key").filter((F.col("of") != F.col("component")) & sizes(F.col("n"), F.col("hub_n")))
-        more = linked(pairs.select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct(), sets, percent)
-        links = written(groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
-        groups = written(components(links), "groups")
-        done = written(done.unionByName(chosen.select("key", F.col("hub").alias("rep"))), "hubs")
-        hubs *= 2
+    families = components(seen.filter("not link").select(F.col("rep").alias("u"), F.col("hub").alias("v")).unionByName(links))
+    rest = components(active.select(F.col("rep").alias("u"), F.col("hub.rep").alias("v")).distinct())
+    more = written(across(families, groups, sets, percent).unionByName(across(rest, groups, sets, percent)), "across")
+    if not more.isEmpty():
+        stars = groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        groups = written(components(stars.unionByName(more)), "groups")
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands").join(named, prints, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
