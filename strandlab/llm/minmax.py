@@ -134,7 +134,7 @@ def _across(percent: int):
         members = table.filter(pc.invert(table.column("lesser")))
         ids, groups = lesser.column("rep").to_numpy(), lesser.column("component").to_numpy()
         own = [np.asarray(x.values.to_numpy()) for x in lesser.column("shingles")]
-        size = np.array([len(x) for x in own])
+        size = np.array([len(x) for x in own], np.int64)
         flat, owner = np.concatenate(own) if own else np.zeros(0, np.int64), np.repeat(np.arange(len(own)), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
@@ -146,7 +146,7 @@ def _across(percent: int):
             return x
 
         links = []
-        for k in range(len(members)):
+        for k in range(len(members) if own else 0):
             rep, group, x = members.column("rep")[k].as_py(), members.column("component")[k].as_py(), members.column("shingles")[k].values.to_numpy()
             low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
             n = high - low
