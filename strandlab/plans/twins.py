@@ -383,11 +383,11 @@ def cka_permuted_floor(spark, sf_dir):
 
 
 def _attention(spark, sf_dir):
-    """Small attention tables by hash: for each label a model, pairs of vectors, 2 layers, 4 heads, 8 places."""
-    e = _t(spark, sf_dir, "embeddings").filter("vec_id < 60").select(F.col("vec_id").alias("pair_id"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), F.lit("NL").alias("modality"), F.explode(F.sequence(F.lit(0), F.lit(511))).alias("c"))
+    """Attention tables by hash, of all vectors: two models, a pair for each vector, 2 layers, 4 heads, 8 places."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), F.lit("NL").alias("modality"), F.explode(F.sequence(F.lit(0), F.lit(511))).alias("c"))
     rows = e.select("model", "modality", "pair_id", F.expr("cast(c div 256 as int)").alias("layer"), F.expr("cast(c div 64 % 4 as int)").alias("head"), F.expr("cast(c div 8 % 8 as int)").alias("q"), F.expr("c % 8").alias("k"), "c")
     w = F.round(scalars.unit_hash(F.lit("7"), F.col("pair_id").cast("string"), F.col("c").cast("string")), 6)
-    diff = _t(spark, sf_dir, "embeddings").filter("vec_id < 60").select(F.col("vec_id").alias("pair_id"), F.lit("NL").alias("modality"), F.array((F.col("vec_id") % 8).cast("int"), ((F.col("vec_id") + 3) % 8).cast("int")).alias("diff"))
+    diff = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.lit("NL").alias("modality"), F.array((F.col("vec_id") % 8).cast("int"), ((F.col("vec_id") + 3) % 8).cast("int")).alias("diff"))
     return rows.withColumn("w", w).drop("c"), diff
 
 
