@@ -5,12 +5,18 @@ everything but letters, digits and characters beyond ASCII turned into single sp
 canonical text is joined with the digests of known licences. Notices of one line stand at the end of longer documents,
 so each line is a text of its own too. Only texts as long as some known one are hashed.
 
+Whole texts of the longer licences stand in licence_texts, a file for each; _variants says which variants of them, and of the
+short ones, are known. Texts changed in any other way are unknown, and so are whole texts of the CC BY family.
+
 Null and empty texts have no digest and match nothing. A licence given twice under one name counts once; under two
 names the first in order is named for whole texts, both for lines. Repeated rows each have a row in the result.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +43,33 @@ KNOWN = (
     ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
 
+#: Titles that stand above texts which have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "The BSD 3-Clause License", "BSD-3-Clause", "New BSD License", "The New BSD License", "BSD License"),
+}
+
+
+def _variants(name: str, text: str) -> set[str]:
+    """The text itself, without what follows its terms, without its blank copyright line, and with other item marks, holders and titles."""
+    out = {text, re.sub(r"(END OF TERMS AND CONDITIONS).*", r"\1", text, flags=re.S)}
+    out |= {re.sub(r"(?m)^[ \t]*Copyright \[yyyy\].*\n", "", x) for x in out}
+    if name == "BSD-3-Clause":
+        out |= {re.sub(r"(?m)^[1-3]\. ", "* ", x) for x in out}
+        out |= {x.replace("the copyright holder nor", f"{holder} nor") for x in out for holder in ("the copyright owner", "the University", "the author", "the organization", "the project")}
+        out |= {x.replace("THE COPYRIGHT HOLDER OR", "THE COPYRIGHT OWNER OR") for x in out}
+    return out | {f"{title}\n\n{x}" for x in out for title in TITLES.get(name, ())}
+
+
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """License and text of all variants of whole texts."""
+    files = [(p.stem, p.read_text("utf-8")) for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))]
+    short = [(name, text) for name, text in KNOWN if name in TITLES and "\n" in text]
+    return tuple((name, x) for name, text in [*short, *files] for x in sorted(_variants(name, text)))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOTICE = r"(^|\n)[^a-z0-9\n(]*(copyright[ \t:,]*(\(c\)|[0-9]{4}|by )|\(c\)[ \t]*[0-9]|all rights reserved)[^\n]*"
 _OTHER = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
@@ -55,8 +88,9 @@ def canonical(text: Column) -> Column:
     return F.array_join(canonical_lines(text), " ")
 
 
-def known(spark: SparkSession, licences: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    return spark.createDataFrame(list(licences), "license string, text string")
+def known(spark: SparkSession, licences: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """license and text of KNOWN and the whole texts, or of other licences."""
+    return spark.createDataFrame(list(KNOWN + whole_texts() if licences is None else licences), "license string, text string")
 
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
