@@ -218,6 +218,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without the near copies: the document with the smallest id of each component stays, repeated rows of it once."""
-    verdict = near_duplicates(docs, **how).filter("kept").select("doc_id").distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["doc_id"]), "left_semi")
+    """docs without the near copies: one row of each component stays, one with its smallest id (an id goes before none).
+
+    Every row is judged by a key of its own, so rows that share an id, or have none, are told apart. Rows without
+    shingles stay alone as documents: one row of each id stays, and all of those that have no id either.
+    """
+    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    verdict = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), **how)
+    verdict = verdict.select(F.col("doc_id").alias("__key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__component"))
+    ids = keyed.select("__key", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__print"))
+    alone = F.col("__component").isNull()
+    group = [F.col("__component"), F.when(alone, F.col("__id")).alias("__alone"), F.when(alone & F.col("__id").isNull(), F.col("__key")).alias("__own")]
+    best = verdict.join(ids, "__key").groupBy(*group).agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__print", "__key")).alias("best"))
+    return keyed.join(best.select(F.col("best.__key").alias("__key")), "__key", "left_semi").drop("__key").select(*docs.columns)

@@ -2,11 +2,11 @@
 
 import hashlib
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
-from strandlab.llm import licences
+from strandlab.llm import licences, minmax
 from strandlab.plans import twins
 
 
@@ -63,3 +63,21 @@ def test_whole_licence_files(spark):
     docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["license"] for r in licences.scan(docs, licences.known(spark)).collect()}
     assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
+
+
+def test_one_row_of_each_component(spark):
+    """Repeated rows, rows that share an id but not a text, and rows without id: counted as rows, not as a set of ids."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    near = a + " tail"
+    rows = [(1, a)] * 5 + [(2, near)] * 3 + [(None, a)] * 2  # one component: (1, a) once
+    rows += [(None, b)] * 3 + [(None, b + " end")]  # no id at all: one row
+    rows += [(3, c)] * 2 + [(3, d)] * 2 + [(4, d)]  # an id of two texts: one row of each
+    rows += [(6, e)] + [(5, e)] * 2  # the smallest id, not the first row
+    rows += [(7, "")] * 3 + [(8, None)] * 2 + [(7, None), (None, ""), (None, None)]  # no shingles: one of an id, each of none
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string").repartition(4)
+    one = minmax.one_of_each(docs)
+    got = Counter((r["doc_id"], r["text"]) for r in one.collect())
+    assert one.columns == docs.columns
+    assert sum(got.pop((None, t), 0) for t in (b, b + " end")) == 1
+    assert sum(got.pop((7, t), 0) for t in ("", None)) == 1
+    assert got == Counter([(1, a), (3, c), (3, d), (5, e), (8, None), (None, ""), (None, None)])
