@@ -35,12 +35,13 @@ def hash_index(seed: int, size: Column, *ids: Column) -> Column:
 def bootstrap_mean(values: DataFrame, place: str, value: str, draws: int = 5000, seed: int = 0, least: int = 5) -> DataFrame:
     """low and high: the 95 % interval of the mean over draws with replacement; no row for fewer than `least` values.
 
-    values has a row for each run (places 1 to n). Each of n draws is made by hash and joined to its run by place.
+    values has a row for each run (places 1 to n). Each of n draws is made by hash and joined to its run by place; the
+    draws are never broadcast, as their size is n times draws.
     """
     n = values.agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     each = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     drawn = each.select("b", (hash_index(seed, F.col("n"), F.col("b"), F.col("i")) + 1).alias(place))
-    means = drawn.join(values.select(place, value), place).groupBy("b").agg(F.avg(value).alias("m"))
+    means = drawn.hint("merge").join(values.select(place, value), place).groupBy("b").agg(F.avg(value).alias("m"))
     at = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("*").alias("draws")).filter("draws > 0")
     return at.select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "draws")
 

@@ -110,7 +110,7 @@ m as (select b, avg(difference) as m from (select b, ('0x' || substr(md5('7:' ||
 select round(quantile_cont(m, 0.025), 4) as low, round(quantile_cont(m, 0.975), 4) as high, count(*) as draws from m""")
 def bootstrap_ci(spark, sf_dir):
     runs = sampling.placed(_paired(spark, sf_dir), "user_id")
-    out = stats.bootstrap_mean(runs, "place", "difference", draws=200, seed=7)
+    out = stats.bootstrap_mean(runs, "place", "difference", seed=7)
     return out.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "draws")
 
 

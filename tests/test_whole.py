@@ -81,3 +81,19 @@ def test_one_row_of_each_component(spark):
     assert sum(got.pop((None, t), 0) for t in (b, b + " end")) == 1
     assert sum(got.pop((7, t), 0) for t in ("", None)) == 1
     assert got == Counter([(1, a), (3, c), (3, d), (5, e), (8, None), (None, ""), (None, None)])
+
+
+def test_bootstrap_of_all_draws(spark, tmp_path):
+    """The interval over the operator's default of 5000 draws."""
+    difference = [0.5, -1.25, 3.0, 2.0, -0.75, 1.5, 4.25]
+    rows = [(u, t, v) for u, d in enumerate(difference) for t, v in (("view", 10.0 + d), ("click", 10.0))]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    n, draws = len(difference), 5000
+    means = sorted(sum(difference[draw(7, b, i) % n] for i in range(n)) / n for b in range(draws))
+
+    def at(p):
+        k = int(p * (draws - 1))
+        return means[k] + (p * (draws - 1) - k) * (means[k + 1] - means[k])
+
+    (got,) = twins.QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()
+    assert got["draws"] == draws and abs(got["low"] - at(0.025)) < 1e-4 and abs(got["high"] - at(0.975)) < 1e-4
