@@ -5,23 +5,31 @@ window of `threshold` words share an anchor, and so a shard. Each shard's suffix
 gets the shard, with the smallest document of each state, and the shard's passages are streamed through it. Matching
 statistics say where at least `threshold` words match; the state of just that many words names the smallest document
 that has them. Maximal runs of such windows are removed. A shard is delivered to its one task by shuffle; it isn't
-broadcast to all, as all shards together are as large as the corpus' repeated text.
+broadcast to all, as all shards together are as large as the corpus' repeated text. `against` takes a reference of its own
+(a benchmark, say), whose size is checked: there the automata of all shards are broadcast, and the documents streamed.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged, and stand as 64-bit hashes. Windows are judged on the input. Null text has no
 words. Documents with fewer words than the threshold lose nothing. A null doc_id neither removes nor loses anything;
-rows that share a doc_id are one document given more than once. Kept words are joined by one space.
+rows that share a doc_id remove nothing from each other, and each has its own result. Kept words are joined by one space.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandlab.llm import repeats
+from strandlab.llm.shared import n_words, ready
 
 THRESHOLD, GRAM, HOT = 50, 8, 1024
 #: Words after which a shard's automaton is closed, at the next anchor.
 SHARD_WORDS = 20_000
+#: Words of a reference whose automata are broadcast.
+MOST_REFERENCE = 100_000
 
 
 class Automaton:
@@ -113,3 +121,43 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
     p = repeats.plan(docs, words=True, n=threshold, k=gram, hot=hot)
     out = repeats.without_repeats(docs, p, automata).withColumnRenamed("n_tokens", "n_words")
     return out.withColumn("kept", out["kept"].cast("string"))
+
+
+def _streamed(sent, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: list[Automaton] = sent.value
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            tokens = repeats.Tokens(table.column("text"), words=True)
+            edges = np.zeros(len(tokens.values) + 1, np.int32)
+            for a, b in zip(tokens.ends[:-1].tolist(), tokens.ends[1:].tolist(), strict=True):
+                own = tokens.values[a:b].tolist()
+                for shard in shards:
+                    hit = a + np.flatnonzero(np.array(shard.windows(own, n), np.int64) >= 0)
+                    edges[hit] += 1
+                    edges[hit + n] -= 1
+            yield from repeats.removed(table, tokens, np.cumsum(edges[:-1]) > 0, True, False).to_batches()
+
+    return run
+
+
+def against(docs: DataFrame, reference: DataFrame, threshold: int = THRESHOLD, most_words: int = MOST_REFERENCE) -> DataFrame:
+    """without_repeats' columns for each row of docs(doc_id, text), less every run of `threshold` words that a text of
+    reference(text) holds. A reference of more than most_words words is refused. Ids don't matter; null texts have no words.
+    """
+    spark = docs.sparkSession
+    ready(spark)
+    size = reference.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
+    if size > most_words:
+        raise ValueError(f"the reference has {size} words; {most_words} can be broadcast")
+    tokens = repeats.Tokens(pa.chunked_array([pa.array([r["text"] for r in reference.select("text").collect()], pa.string())]), words=True)
+    shards, words = [Automaton()], 0
+    for k, (a, b) in enumerate(zip(tokens.ends[:-1].tolist(), tokens.ends[1:].tolist(), strict=True)):
+        if words >= SHARD_WORDS:
+            shards.append(Automaton())
+            words = 0
+        shards[-1].add(tokens.values[a:b].tolist(), k)
+        words += b - a
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = rows.mapInArrow(_streamed(spark.sparkContext.broadcast(shards), threshold), "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary")
+    return out.withColumnRenamed("n_tokens", "n_words").withColumn("kept", F.col("kept").cast("string"))

@@ -7,6 +7,8 @@ make a false match of two texts of one corpus improbable (n^2 / 2^65).
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,11 +16,32 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: Other byte values, for a second hash that fails independently of the first.
+_BYTE2 = np.random.default_rng(20280229).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = []
+_libc = ctypes.CDLL(None)
+
+
+def lean(run):
+    """run, after which the worker gives memory back that it freed: it lives on for other tasks, beside the JVM's heap."""
+
+    def trimmed(*tables):
+        out = run(*tables)
+        release()
+        return out
+
+    one = run.__code__.co_argcount == 1  # Spark asks for just so many arguments
+    return (lambda table: trimmed(table)) if one else (lambda table, other: trimmed(table, other))
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc, "malloc_trim", None):  # glibc only
+        trim(0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +128,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     return span_hash(sums, start, end), start, end, first
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(_BYTE[data])
+def hash_values(tokens: np.ndarray, second: bool = False) -> np.ndarray:
+    """What stands in hashes for tokens, which are bytes or words' hashes."""
+    if tokens.dtype == np.uint8:
+        return (_BYTE2 if second else _BYTE)[tokens]
+    return mix(tokens ^ U64(0xA5A5A5A5A5A5A5A5)) if second else tokens
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -10,8 +10,9 @@ buckets are added up first, and rows only within a bucket. The cut through all s
 the same way, over a bounded number of time slots.
 
 Null text has size 0. A null source is a source of its own and comes last. Documents without words are never
-taken. Repeated rows are documents of their own; rows with equal hashes are ordered by doc_id, text and n. A null
-doc_id is hashed as an empty string. Extra columns stay; those named like an output are replaced.
+taken. Repeated rows are documents of their own; rows that share a doc_id, and so a hash, are ordered by size and a hash
+of the text, so only equal rows may change places from run to run. Without a doc_id the text's hash stands for it.
+`mixed` returns all columns of its input and no other; `taken` has its own six columns only.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import n_words, plan_bytes, written
+from strandlab.llm.shared import forget, n_words, written
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Slots of virtual time for the global cut.
 SLOTS = 1 << 16
-#: Input bytes for one bucket of the shuffled order (at most half a million documents of 30 bytes).
-BUCKET_BYTES = 1 << 24
+#: Documents in one bucket of the shuffled order.
+BUCKET_ROWS = 1 << 18
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
@@ -52,13 +53,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_re
 
 
 def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS, digits: int = 2) -> DataFrame:
-    """sizes(uid, doc_id, source, size) with source_size, target and how many copies the mix takes.
+    """sizes(uid, doc_id, source, size, print) with source_size, target and how many copies the mix takes.
 
-    sizes must be stable when read again (a written table). `digits`: hexadecimal digits of the hash that name a
-    bucket of the shuffled order; 16^digits buckets for each source.
+    sizes must be stable when read again (a written table); print is a hash of the text. `digits`: hexadecimal digits
+    of the hash that name a bucket of the shuffled order; 16^digits buckets for each source.
     """
     per = source_targets(sizes, weights, most_repeats)
-    rows = sizes.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = sizes.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("print").cast("string"))))
     rows = rows.withColumn("bucket", F.substring("hash", 1, digits))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,9 +67,9 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: i
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     sums = sums.join(per, same(sums, per)).drop(per["source"])
     rows = rows.join(sums, same(rows, sums) & (rows["bucket"] == sums["bucket"])).drop(sums["source"], sums["bucket"])
-    inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "print", "uid").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("position", F.col("before") + F.sum("size").over(inside))
-    rows = written(rows.select("uid", "doc_id", "size", "source_size", "target", "budget", "hash", "position"), "mix-order")
+    rows = written(rows.select("uid", "doc_id", "size", "print", "source_size", "target", "budget", "hash", "position"), "mix-order")
     rounds = F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("round")
     dealt = rows.filter("size > 0").select("*", rounds)
     dealt = dealt.withColumn("finish", (F.col("round") * F.col("source_size") + F.col("position")).cast("double") / F.col("target"))
@@ -80,7 +81,7 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: i
     if cut[0] is None:
         kept = dealt.select("uid")
     else:
-        in_order = Window.orderBy("finish", "hash", "doc_id", "round", "uid").rowsBetween(Window.unboundedPreceding, 0)
+        in_order = Window.orderBy("finish", "hash", "doc_id", "round", "size", "print", "uid").rowsBetween(Window.unboundedPreceding, 0)
         running = F.lit(cut[1]) + F.sum("size").over(in_order)
         last = dealt.filter(F.col("slot") == cut[0]).withColumn("running", running).filter("running <= budget")
         kept = dealt.filter(F.col("slot") < cut[0]).select("uid").unionByName(last.select("uid"))
@@ -88,28 +89,33 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: i
     return rows.join(kept, "uid", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
 
 
-def _digits(docs: DataFrame) -> int:
-    buckets, digits = plan_bytes(docs) / BUCKET_BYTES, 1
-    while 16**digits < buckets and digits < 6:
+def _digits(rows: int) -> int:
+    digits = 1
+    while 16**digits * BUCKET_ROWS < rows and digits < 8:
         digits += 1
     return digits
 
 
+def _sizes(rows: DataFrame, uid: str) -> DataFrame:
+    return rows.select(F.col(uid).alias("uid"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("print"))
+
+
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (size times copies) for each row of docs(doc_id, source, text)."""
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("uid", F.monotonically_increasing_id())
-    out = copies(written(sizes, "mix"), weights, most_repeats, _digits(docs))
+    sizes = written(_sizes(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("__uid")), "__uid"), "mix")
+    out = copies(sizes, weights, most_repeats, _digits(sizes.count()))
+    forget(sizes)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with docs' columns."""
-    rows = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "mixed")
-    sizes = rows.select(F.col("__uid").alias("uid"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    chosen = copies(written(sizes, "mix"), weights, most_repeats, _digits(docs)).filter("copies > 0")
-    chosen = chosen.select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
-    out = rows.join(chosen, "__uid").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-    return out.drop("__copy")
+    rows = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "mixed")
+    sizes = written(_sizes(rows.select("uid", "row.doc_id", "row.source", "row.text"), "uid"), "mix")
+    chosen = copies(sizes, weights, most_repeats, _digits(sizes.count())).filter("copies > 0").select("uid", "copies")
+    forget(sizes)
+    out = rows.join(chosen, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 TAKEN_SQL = """

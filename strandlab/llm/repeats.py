@@ -10,9 +10,14 @@ window's k-token grams is its anchor, equal windows have equal anchors, and neig
 3. Each group gets back the spans of its documents whose windows also start in a document with a smaller id.
 
 An anchor in more than `hot` documents would gather in one bucket without bound. Its windows travel one by one
-instead, as 64-bit hashes with the smallest and largest document of the group, so a window costs a row for each group
-of documents and not for each document. Groups and buckets follow the input's size, by document hash and anchor
-hash; nothing goes to the driver. All work is in shuffles, which Spark repeats if an executor is lost.
+instead, dealt by window, as two independent 64-bit hashes with the smallest and largest document of the group; a window
+costs a row for each group of documents and not for each document. These are the only windows that aren't compared
+token by token: of n of them, two different ones are taken for equal with probability below n^2 / 2^129.
+
+Groups and buckets follow the bytes of all texts, which are measured; nothing else goes to the driver. All work is in
+shuffles, which Spark repeats if an executor is lost. Every row has spans of its own: rows that share a doc_id never
+remove anything from each other, whatever their texts. Rows of a group are told apart by their place in the order of
+doc_id and text.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ from pyspark.sql import functions as F
 
 from strandlab.llm import kernel
 from strandlab.llm.kernel import U64
-from strandlab.llm.shared import plan_bytes, ready
+from strandlab.llm.shared import ready, text_bytes
 
 MESSAGE = "dest int, src int, kind int, n long, m long, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["dest", "src", "kind", "n", "m", "a", "b", "c", "d", "e"]
 _SCHEMA = pa.schema([("dest", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), *((x, pa.binary()) for x in "abcde")])
 _CHUNK = 1 << 18
 _SHIFT = U64(24)
+#: Bits of an anchor that travel. More than a corpus has anchors; a chance match only costs a needless comparison.
+_BITS = 48
 
 #: resolver(contents, ends, anchors, documents, n): for each window of each content the smallest document that has it.
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -50,11 +57,11 @@ class Plan:
     buckets: int
 
 
-def plan(docs: DataFrame, words: bool, n: int, k: int, hot: int, group_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> Plan:
-    """Groups of 2 MB of input, growing to 64 MB where there are thousands of them."""
-    size = plan_bytes(docs)
-    each = max(group_bytes, min(64 << 20, size // 4096))
-    return Plan(words, n, k, hot, max(48, -(-size // each)), max(32, -(-size // bucket_bytes)))
+def plan(docs: DataFrame, words: bool, n: int, k: int, hot: int, group_bytes: int = 7 << 19, bucket_bytes: int = 6 << 20) -> Plan:
+    """Groups and buckets of a few MB of text, growing to 64 MB where there are thousands of them."""
+    size = text_bytes(docs)
+    groups, buckets = (-(-size // max(least, min(64 << 20, size // 4096))) for least in (group_bytes, bucket_bytes))
+    return Plan(words, n, k, hot, min(max(48, groups), 1 << 30), min(max(32, buckets), 1 << 30))
 
 
 class Tokens:
@@ -74,9 +81,8 @@ class Tokens:
         else:
             self.values, self.ends = self.data, self.offsets
 
-    def hashed(self, a: int, b: int) -> np.ndarray:
-        part = self.values[a:b]
-        return kernel._BYTE[part] if part.dtype == np.uint8 else part
+    def sums(self, a: int, b: int, second: bool = False) -> np.ndarray:
+        return kernel.prefix_sums(kernel.hash_values(self.values[a:b], second))
 
 
 def stretches(tokens: Tokens, n: int, k: int):
@@ -85,9 +91,9 @@ def stretches(tokens: Tokens, n: int, k: int):
     width = n - k + 1
     for a in range(0, max(0, total - n + 1), _CHUNK):
         b = min(a + _CHUNK, total - n + 1)  # windows a to b
-        sums = kernel.prefix_sums(tokens.hashed(a, b + n - 1))
-        key = kernel.window_hash(sums, k)
-        key >>= _SHIFT
+        sums = tokens.sums(a, b + n - 1)
+        grams = kernel.window_hash(sums, k)
+        key = grams >> _SHIFT
         key <<= _SHIFT
         key |= np.arange(len(key), dtype=U64)
         step = 1
@@ -108,7 +114,8 @@ def stretches(tokens: Tokens, n: int, k: int):
         first = np.flatnonzero(change)
         if len(first):
             count = np.bincount((np.cumsum(change) - 1)[valid], minlength=len(first))
-            yield a, sums, first, count, kernel.mix(key[first] >> _SHIFT) >> _SHIFT
+            place = (key[first] & U64((1 << 24) - 1)).astype(np.int64)
+            yield a, sums, first, count, kernel.mix(grams[place]) >> U64(64 - _BITS)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -131,12 +138,17 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").to_numpy().astype(np.int64)
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """Always the same order, up to rows with equal texts; rows without a doc_id come last."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _named(table: pa.Table) -> pa.Table:
-    return table.filter(pa.compute.is_valid(table.column("doc_id")))
+    return table.slice(0, len(table) - table.column("doc_id").null_count)
 
 
 def _bucket(h: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    return ((h >> U64(bits - 20)) * U64(buckets) >> U64(20)).astype(np.int64)
+    return ((h >> U64(bits - 32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
 def _cuts(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
@@ -146,9 +158,16 @@ def _cuts(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(sorted_buckets[at].tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_buckets)], strict=True))
 
 
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in sorted_keys], 0)
+    return np.flatnonzero(new)
+
+
 def _ask(p: Plan):
     def run(table: pa.Table) -> pa.Table:
-        group, table = table.column("grp")[0].as_py(), _named(table)
+        group, table = table.column("grp")[0].as_py(), _named(_ordered(table))
         tokens, ids, found, owners = Tokens(table.column("text"), p.words), _ids(table), [], []
         codes = np.unique(ids, return_inverse=True)[1]
         for a, _, first, _, anchor in stretches(tokens, p.n, p.k):
@@ -165,7 +184,7 @@ def _ask(p: Plan):
         other[1:] |= owner[1:] != owner[:-1]
         at = np.flatnonzero(new)
         count, anchor = np.add.reduceat(other.astype(np.uint32), at).astype(np.uint32), anchor[at]
-        return _table([(b, group, 0, j - i, 0, kernel.pack(anchor[i:j]), _zip(count[i:j]), None, None, None) for b, i, j in _cuts(_bucket(anchor, 40, p.buckets))])
+        return _table([(b, group, 0, j - i, 0, kernel.pack(anchor[i:j]), _zip(count[i:j]), None, None, None) for b, i, j in _cuts(_bucket(anchor, _BITS, p.buckets))])
 
     return run
 
@@ -194,7 +213,7 @@ def _send(p: Plan):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table) or not len(replies):
             return _table([])
-        group, table = table.column("grp")[0].as_py(), _named(table)
+        group, table = table.column("grp")[0].as_py(), _named(_ordered(table))
         rows = replies.to_pylist()
         known = np.concatenate([kernel.unpack(r["a"], r["n"]) for r in rows])
         hot = np.concatenate([np.unpackbits(np.frombuffer(r["b"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
@@ -212,7 +231,8 @@ def _send(p: Plan):
             if warm.any():
                 n, f = count[warm], first[warm]
                 starts = np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())
-                single.append((kernel.span_hash(sums, starts, starts + p.n), np.repeat(ids[doc[warm]], n)))
+                other = tokens.sums(a, a + len(sums) - 1, second=True)
+                single.append((kernel.span_hash(sums, starts, starts + p.n), kernel.span_hash(other, starts, starts + p.n), np.repeat(ids[doc[warm]], n)))
         out = []
         anchor, content, first, count, doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
         if len(anchor):
@@ -221,22 +241,22 @@ def _send(p: Plan):
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
             which, at = np.cumsum(new) - 1, np.flatnonzero(new)
-            bucket = _bucket(anchor, 40, p.buckets)
+            bucket = _bucket(anchor, _BITS, p.buckets)
             for b, i, j in _cuts(bucket):
                 u = at[np.searchsorted(at, i) : np.searchsorted(at, j)]
                 size = count[u] + p.n - 1
                 starts = np.repeat(first[u] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                place = np.stack([ids[doc[i:j]], first[i:j] - tokens.ends[doc[i:j]], which[i:j] - which[i]])
+                place = np.stack([doc[i:j], ids[doc[i:j]], first[i:j] - tokens.ends[doc[i:j]], which[i:j] - which[i]])
                 text = tokens.values[starts]
                 blob = pa.compress(text.tobytes(), codec="zstd", asbytes=True) if text.dtype == np.uint8 else _zip(text)
                 out.append((b, group, 0, j - i, len(u), kernel.pack(anchor[u]), _zip(count[u].astype(np.uint16)), blob, _zip(place.astype(np.int64).T), None))
         if single:
-            h, owner = (np.concatenate(x) for x in zip(*single, strict=True))
-            order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
-            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            low, high, h = owner[at], owner[np.append(at[1:], len(owner)) - 1], h[at]
-            out += [(b, group, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), _zip(high[i:j]), None, None) for b, i, j in _cuts(_bucket(h, 64, p.buckets))]
+            h, g, owner = (np.concatenate(x) for x in zip(*single, strict=True))
+            order = np.lexsort((owner, g, h))
+            h, g, owner = h[order], g[order], owner[order]
+            at = _starts(h, g)
+            low, high, h, g = owner[at], owner[np.append(at[1:], len(owner)) - 1], h[at], g[at]
+            out += [(b, group, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), _zip(high[i:j]), _zip(g[i:j]), None) for b, i, j in _cuts(_bucket(h, 64, p.buckets))]
         return _table(out)
 
     return run
@@ -252,21 +272,21 @@ def _resolve(p: Plan, resolver: Resolver):
             counts.append(_unzip(r["b"], r["m"], np.uint16).astype(np.int64))
             size = int(counts[-1].sum()) + r["m"] * (p.n - 1)
             contents.append(np.frombuffer(pa.decompress(r["c"], size, codec="zstd", asbytes=True), np.uint8) if kind is np.uint8 else _unzip(r["c"], size, np.uint64))
-            place = _unzip(r["d"], r["n"], np.dtype((np.void, 24))).view(np.int64).reshape(-1, 3).copy()
-            place[:, 2] += base
+            place = _unzip(r["d"], r["n"], np.dtype((np.void, 32))).view(np.int64).reshape(-1, 4).copy()
+            place[:, 3] += base
             places.append(place)
             groups.append(np.full(r["n"], r["src"]))
             base += r["m"]
         anchor, count, content, place, group = (np.concatenate(x) for x in (anchors, counts, contents, places, groups))
         owner = np.full(len(anchor), np.iinfo(np.int64).max)
-        np.minimum.at(owner, place[:, 2], place[:, 0])
+        np.minimum.at(owner, place[:, 3], place[:, 1])
         ends = np.append(0, np.cumsum(count + p.n - 1))
         least = resolver(content, ends, anchor, owner, p.n)
         at = np.append(0, np.cumsum(count))
         lowest, highest = np.minimum.reduceat(least, at[:-1]), np.maximum.reduceat(least, at[:-1])
-        doc, start, which = place.T
+        row, doc, start, which = place.T
         full, none = highest[which] < doc, lowest[which] >= doc
-        spans = [(group[full], doc[full], start[full], start[full] + count[which[full]])]
+        spans = [(group[full], row[full], start[full], start[full] + count[which[full]])]
         some = np.flatnonzero(~full & ~none)
         n = count[which[some]]
         if len(some):  # some of the windows only: runs of them
@@ -280,26 +300,26 @@ def _resolve(p: Plan, resolver: Resolver):
             b, e = b[gone[b]], e[gone[b]]
             o = of[b]
             shift = start[o] - at[which[o]]
-            spans.append((group[o], doc[o], window[b] + shift, window[e - 1] + 1 + shift))
-        group, doc, first, last = (np.concatenate(x) for x in zip(*spans, strict=True))
+            spans.append((group[o], row[o], window[b] + shift, window[e - 1] + 1 + shift))
+        group, row, first, last = (np.concatenate(x) for x in zip(*spans, strict=True))
         order = np.argsort(group, kind="stable")
-        group, doc, first, last = (x[order] for x in (group, doc, first, last))
-        return [(g, 0, 0, j - i, 0, _zip(doc[i:j]), _zip(first[i:j]), _zip(last[i:j]), None, None) for g, i, j in _cuts(group)]
+        group, row, first, last = (x[order] for x in (group, row, first, last))
+        return [(g, 0, 0, j - i, 0, _zip(row[i:j]), _zip(first[i:j]), _zip(last[i:j]), None, None) for g, i, j in _cuts(group)]
 
     def warm(rows: list[dict]) -> list[tuple]:
         h = np.concatenate([kernel.unpack(r["a"], r["n"]) for r in rows])
         low, high = (np.concatenate([_unzip(r[x], r["n"], np.int64) for r in rows]) for x in "bc")
+        h2 = np.concatenate([_unzip(r["d"], r["n"], np.uint64) for r in rows])
         group = np.repeat(np.array([r["src"] for r in rows]), [r["n"] for r in rows])
-        order = np.argsort(h, kind="stable")
-        h, low, high, group = (x[order] for x in (h, low, high, group))
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        n = np.diff(np.append(at, len(h)))
-        low, high = np.repeat(np.minimum.reduceat(low, at), n), np.repeat(np.maximum.reduceat(high, at), n)
-        keep = low < high
-        h, low, group = h[keep], low[keep], group[keep]
+        order = np.lexsort((h2, h))
+        h, h2, low, high, group = (x[order] for x in (h, h2, low, high, group))
+        at = _starts(h, h2)
+        low = np.repeat(np.minimum.reduceat(low, at), np.diff(np.append(at, len(h))))
+        keep = low < high  # some document of the group comes after the first that has the window
+        h, h2, low, group = h[keep], h2[keep], low[keep], group[keep]
         order = np.argsort(group, kind="stable")
-        h, low, group = h[order], low[order], group[order]
-        return [(g, 0, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), None, None, None) for g, i, j in _cuts(group)]
+        h, h2, low, group = h[order], h2[order], low[order], group[order]
+        return [(g, 0, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), _zip(h2[i:j]), None, None) for g, i, j in _cuts(group)]
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -309,39 +329,39 @@ def _resolve(p: Plan, resolver: Resolver):
     return run
 
 
-def _finish(p: Plan, result: pa.Schema):
+def _finish(p: Plan, carry: bool):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(table):
-            return result.empty_table()
-        table = table.sort_by([("doc_id", "ascending")])  # nulls last
+        table = _ordered(table)
         tokens, rows = Tokens(table.column("text"), p.words), replies.to_pylist()
-        named = len(table) - table.column("doc_id").null_count
+        named = len(_named(table))
         ids, ends = _ids(table.slice(0, named)), tokens.ends
         edges = np.zeros(len(tokens.values) + 1, np.int32)
         cold, warm = ([r for r in rows if r["kind"] == x] for x in (0, 1))
         if cold:
-            doc, first, last = (np.concatenate([_unzip(r[x], r["n"], np.int64) for r in cold]) for x in "abc")
-            row = np.searchsorted(ids, doc)
-            again = np.searchsorted(ids, doc, "right") - row
-            if (again > 1).any():  # repeated rows of a document: a span holds for those long enough, which equal rows are
-                step = np.arange(again.sum()) - np.repeat(np.cumsum(again) - again, again)
-                row, first, last = np.repeat(row, again) + step, np.repeat(first, again), np.repeat(last, again)
-                fit = last + p.n - 1 <= np.diff(ends)[row]
-                row, first, last = row[fit], first[fit], last[fit]
+            row, first, last = (np.concatenate([_unzip(r[x], r["n"], np.int64) for r in cold]) for x in "abc")
             np.add.at(edges, ends[row] + first, 1)
             np.add.at(edges, ends[row] + last + p.n - 1, -1)
         if warm:
-            h, low = np.concatenate([kernel.unpack(r["a"], r["n"]) for r in warm]), np.concatenate([_unzip(r["b"], r["n"], np.int64) for r in warm])
-            order = np.argsort(h)
-            h, low = h[order], low[order]
+            h = np.concatenate([kernel.unpack(r["a"], r["n"]) for r in warm])
+            low, h2 = (np.concatenate([_unzip(r[x], r["n"], kind) for r in warm]) for x, kind in (("b", np.int64), ("c", np.uint64)))
+            order = np.lexsort((h2, h))
+            h, h2, low = h[order], h2[order], low[order]
             maybe = np.zeros(1 << 20, bool)
             maybe[h >> U64(44)] = True
             for a in range(0, max(0, len(tokens.values) - p.n + 1), _CHUNK):
                 b = min(a + _CHUNK, len(tokens.values) - p.n + 1)
-                windows = kernel.window_hash(kernel.prefix_sums(tokens.hashed(a, b + p.n - 1)), p.n)
+                windows = kernel.window_hash(tokens.sums(a, b + p.n - 1), p.n)
                 hit = np.flatnonzero(maybe[windows >> U64(44)])
-                at = np.minimum(np.searchsorted(h, windows[hit]), len(h) - 1)
+                at = np.searchsorted(h, windows[hit])
+                hit, at = hit[at < len(h)], at[at < len(h)]
                 good = h[at] == windows[hit]
+                hit, at = hit[good], at[good]
+                if not len(hit):
+                    continue
+                second = kernel.span_hash(tokens.sums(a, b + p.n - 1, second=True), hit, hit + p.n)
+                while (wrong := (h2[at] != second) & (np.append(h, ~h[-1:])[at + 1] == windows[hit])).any():
+                    at[wrong] += 1  # windows that agree in the first hash only stand side by side
+                good = h2[at] == second
                 hit, at = hit[good] + a, at[good]
                 row = np.searchsorted(ends, hit, "right") - 1
                 good = (hit + p.n <= ends[row + 1]) & (row < named)
@@ -349,14 +369,24 @@ def _finish(p: Plan, result: pa.Schema):
                 hit = hit[low[at] < ids[row]]
                 edges[: len(edges) - p.n][hit] += 1
                 edges[p.n :][hit] -= 1
-        gone = np.cumsum(edges[:-1]) > 0
-        return removed(table, tokens, gone, p.words, result)
+        return removed(table, tokens, np.cumsum(edges[:-1]) > 0, p.words, carry)
 
     return run
 
 
-def removed(table: pa.Table, tokens: Tokens, gone: np.ndarray, words: bool, result: pa.Schema) -> pa.Table:
-    """One row for each document: its tokens, those removed, the runs of them, and what is kept."""
+def whole_characters(raw: np.ndarray, gone: np.ndarray) -> bytes:
+    """What is left of UTF-8 text; a character that lost a byte goes."""
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    starts = starts if len(starts) and starts[0] == 0 else np.append(0, starts)
+    lost = np.repeat(np.logical_or.reduceat(gone, starts), np.diff(np.append(starts, len(raw))))
+    return raw[~lost].tobytes()
+
+
+def removed(table: pa.Table, tokens: Tokens, gone: np.ndarray, words: bool, carry: bool) -> pa.Table:
+    """One row for each document: its tokens, those removed, the runs of them, and what is kept.
+
+    With carry, kept is a text in whole characters (null text stays null) and the row's other columns come along.
+    """
     ends = tokens.ends
     total = np.append(0, np.cumsum(gone))
     starts = gone.copy()
@@ -365,27 +395,38 @@ def removed(table: pa.Table, tokens: Tokens, gone: np.ndarray, words: bool, resu
     starts[inner] = gone[inner]
     runs = np.append(0, np.cumsum(starts))
     count = total[ends[1:]] - total[ends[:-1]]
-    kept = []
+    kept: list = []
     for t in range(len(table)):
-        raw = tokens.data[tokens.offsets[t] : tokens.offsets[t + 1]]
-        if words:
-            own = raw.tobytes().split()
+        raw, own = tokens.data[tokens.offsets[t] : tokens.offsets[t + 1]], gone[ends[t] : ends[t + 1]]
+        if carry and not count[t]:
+            kept.append(table.column("text")[t].as_py())
+        elif words:
+            left = raw.tobytes().split()
             if count[t]:
-                own = [w for w, g in zip(own, gone[ends[t] : ends[t + 1]].tolist(), strict=True) if not g]
-            kept.append(b" ".join(own))
+                left = [w for w, g in zip(left, own.tolist(), strict=True) if not g]
+            kept.append(b" ".join(left))
+        elif carry:
+            kept.append(whole_characters(raw, own).decode("utf-8", "replace"))
         else:
-            kept.append((raw[~gone[ends[t] : ends[t + 1]]] if count[t] else raw).tobytes())
-    return pa.Table.from_arrays([table.column("doc_id"), pa.array(np.diff(ends)), pa.array(count.astype(np.int64)), pa.array((runs[ends[1:]] - runs[ends[:-1]]).astype(np.int64)), pa.array(kept, pa.binary())], schema=result)
+            kept.append((raw[~own] if count[t] else raw).tobytes())
+    out = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.diff(ends)), "n_removed": pa.array(count.astype(np.int64)), "n_spans": pa.array((runs[ends[1:]] - runs[ends[:-1]]).astype(np.int64))}
+    out["kept"] = pa.array([x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in kept], pa.string()) if carry else pa.array(kept, pa.binary())
+    return pa.table(out | ({"row": table.column("row")} if carry else {}))
+
 
+def without_repeats(docs: DataFrame, p: Plan, resolver: Resolver, carry: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_removed, n_spans and kept (bytes) for each row of docs(doc_id, text).
 
-def without_repeats(docs: DataFrame, p: Plan, resolver: Resolver) -> DataFrame:
-    """doc_id, n_tokens, n_removed, n_spans and kept (bytes) for each row of docs(doc_id, text)."""
+    With carry, kept is a text and row holds all columns of docs but text.
+    """
     ready(docs.sparkSession)
-    grp = F.pmod(F.hash(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(p.groups)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("grp", grp).groupBy("grp")
-    asked = dealt.applyInArrow(_ask(p), MESSAGE)
-    answered = asked.groupBy("dest").applyInArrow(_answer(p), MESSAGE)
-    sent = dealt.cogroup(answered.groupBy("dest")).applyInArrow(_send(p), MESSAGE)
-    resolved = sent.groupBy("dest").applyInArrow(_resolve(p, resolver), MESSAGE)
-    result = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-    return dealt.cogroup(resolved.groupBy("dest")).applyInArrow(_finish(p, result), "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary")
+    grp = F.pmod(F.hash(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(p.groups)).cast("int")
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] if carry else []
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", grp.alias("grp"), *own)
+    schema = "doc_id long, n_tokens long, n_removed long, n_spans long, kept " + (f"string, row {dealt.schema['row'].dataType.simpleString()}" if carry else "binary")
+    dealt = dealt.groupBy("grp")
+    asked = dealt.applyInArrow(kernel.lean(_ask(p)), MESSAGE)
+    answered = asked.groupBy("dest").applyInArrow(kernel.lean(_answer(p)), MESSAGE)
+    sent = dealt.cogroup(answered.groupBy("dest")).applyInArrow(kernel.lean(_send(p)), MESSAGE)
+    resolved = sent.groupBy("dest").applyInArrow(kernel.lean(_resolve(p, resolver)), MESSAGE)
+    return dealt.cogroup(resolved.groupBy("dest")).applyInArrow(kernel.lean(_finish(p, carry)), schema)

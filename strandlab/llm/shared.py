@@ -25,12 +25,14 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where it is unset on one machine (tests), a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = own.get() if own.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="strandlab-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,12 +42,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/strandlab/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df in bytes: the files' for a plain scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing reads any more, as later ones hold what they held."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["written_to"])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, by one aggregate: the plan's own estimate is useless after joins and for data without files."""
+    return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ window's anchor (see repeats.py): it deals suffixes to buckets and settles most
 
 Every byte covered by a window that also starts in a document with a smaller id is removed; overlaps count, and
 windows are judged on the input. Documents shorter than the threshold lose nothing. Null text is empty. A null doc_id
-neither removes nor loses anything; rows that share a doc_id are one document given more than once.
+neither removes nor loses anything; rows that share a doc_id remove nothing from each other, and each has its own result.
 """
 
 from __future__ import annotations
@@ -73,11 +73,14 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRA
 
 
 def cleaned(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs with what is left of their texts (parts of characters at a cut go too), and n_chars after them if there is one."""
-    left = without_repeats(docs, threshold, gram, hot).filter("doc_id is not null and n_removed > 0").dropDuplicates(["doc_id"])
-    valid = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    left = left.select(F.col("doc_id").alias("__id"), valid.alias("__text"))
-    out = docs.join(left, docs["doc_id"] == left["__id"], "left").withColumn("text", F.coalesce("__text", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """docs with what is left of their texts (a character that lost a byte goes), and n_chars after them if there is one.
+
+    Row by row: all columns, repeated rows and texts without a repeat stay as they were.
+    """
+    p = repeats.plan(docs, words=False, n=threshold, k=gram, hot=hot)
+    left = repeats.without_repeats(docs, p, radix, carry=True)
+    own = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in own:
+        length = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        own["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(own["n_chars"])
+    return left.select(*(own[c].alias(c) for c in docs.columns))
