@@ -6,15 +6,18 @@ from the label log-odds of their bucket in the training sample; gradients then f
 The logit is scaled on held-back training rows, so that 0.5 is its natural boundary, and a threshold for each language
 with enough labels is chosen there; the language never enters the score.
 
-Training rows are bounded: at most `most_toxic` and `most_clean` labelled documents of up to `most_chars` characters,
-those with the smallest hashes of doc_id. Scoring covers every document, whole, whatever its length. Null or empty text
-has the score of no words. Labels without a document, null labels and null ids are ignored in training; a document
-labelled more than once is used with its highest label. If a class is missing all scores are 0 (no toxic row) or 1.
-Columns named like an output are replaced.
+Training rows are bounded: at most `most_toxic` and `most_clean` labelled documents, those with the smallest hashes of
+doc_id, as far as their whole texts fit into `most_words` words together (one that doesn't fit in what is left is passed
+over). One task reads them as they come and sends back the model; the driver holds no text. Scoring covers every
+document, whole, whatever its length. Null or empty text has the score of no words. Labels without a document, null
+labels and null ids are ignored in training; a document labelled more than once is used with its highest label, and of
+rows that share an id the one with the smallest text. If a class is missing all scores are 0 (no toxic row) or 1.
+`scored` replaces columns named like its outputs; `clean` returns all columns of its input as they were.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,9 +31,11 @@ from strandlab.llm import kernel
 from strandlab.llm.kernel import U64
 from strandlab.llm.shared import ready
 
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 3000, 5000, 20_000
+MOST_TOXIC, MOST_CLEAN, MOST_WORDS = 3000, 5000, 12_000_000
 WORD_BITS, PREFIX_BITS, SIZE, FILTERS, WIDTHS = 16, 14, 16, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.05
+#: Words after which a batch of training documents is closed, and of a piece of a long one.
+BATCH_WORDS, PIECE_WORDS = 1 << 17, 1 << 16
 #: Sightings by which a bucket's log-odds are drawn to zero.
 SMOOTH = 10
 #: Labels of each kind that a language needs for a threshold of its own.
@@ -80,9 +85,9 @@ def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     sums = kernel.prefix_sums(kernel._BYTE[plain])
     texts, count = len(offsets) - 1, np.diff(first)
     place = np.arange(len(start)) + np.repeat(np.arange(texts), count) * _GAP
-    out = np.zeros((3, len(start) + (texts + 1) * _GAP), np.int64)
+    out = np.zeros((3, len(start) + (texts + 1) * _GAP), np.int32)
     for row, (last, bits) in enumerate(((end, WORD_BITS), (np.minimum(start + 4, end), PREFIX_BITS), (np.minimum(start + 5, end), PREFIX_BITS))):
-        out[row, place] = 1 + (kernel.span_hash(sums, start, last) >> U64(64 - bits)).astype(np.int64)
+        out[row, place] = 1 + (kernel.span_hash(sums, start, last) >> U64(64 - bits)).astype(np.int32)
     return out, first[:-1] + np.arange(texts) * _GAP
 
 
@@ -127,38 +132,71 @@ def _fit(docs: list[np.ndarray], labels: np.ndarray) -> Model:
 
     for _ in range(EPOCHS):
         order = random.permutation(len(docs))
-        for first in range(0, len(order), BATCH):
-            some = order[first : first + BATCH]
+        for some in _batches(order, docs):
             ids, firsts = _joined([docs[i] for i in some])
-            x = model.vectors(ids)
-            values = model.windows(x)
-            ends = np.append(firsts[1:], len(values))
-            at = np.stack([values[a:b].argmax(0) + a for a, b in zip(firsts, ends, strict=True)])
-            top = np.take_along_axis(values, at, 0) + model.bias
+            top, at = _tops(model, ids, firsts)
+            top += model.bias
             pooled = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-np.clip(model.logits(pooled), -30, 30)))
             error = ((p - labels[some]) / len(some)).astype(np.float32)
             back = error[:, None] * model.out[:-1] * (top > 0)
             step(model.out, np.append(error @ pooled, error.sum()))
             step(model.bias, back.sum(0))
-            dx = np.zeros_like(x)
+            # Only the largest windows' words get a gradient.
+            places, grads = [], []
             for k, f in enumerate(filters):
                 here = slice(k * FILTERS, (k + 1) * FILTERS)
                 grad = np.zeros_like(f)
                 for j in range(len(f)):
-                    grad[j] = np.einsum("dfs,df->sf", x[at[:, here] + j], back[:, here])
-                    np.add.at(dx, (at[:, here] + j).ravel(), (back[:, here, None] * f[j].T[None]).reshape(-1, SIZE))
+                    place = at[:, here] + j
+                    grad[j] = np.einsum("dfs,df->sf", model.vectors(ids[:, place.ravel()]).reshape(*place.shape, SIZE), back[:, here])
+                    places.append(place.ravel())
+                    grads.append((back[:, here, None] * f[j].T[None]).reshape(-1, SIZE))
                 step(f, grad)
-            touched = np.flatnonzero(np.abs(dx).sum(1))
+            touched, dx = np.concatenate(places), np.concatenate(grads)
             for table, own in zip(tables, ids, strict=True):
                 rows, where = np.unique(own[touched], return_inverse=True)
                 total = np.zeros((len(rows), SIZE), np.float32)
-                np.add.at(total, where, dx[touched])
+                np.add.at(total, where, dx)
                 total[rows == 0] = 0
                 step(table, total, rows)
     return model
 
 
+def _batches(order: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Up to BATCH documents of about BATCH_WORDS words; a longer one is a batch of its own."""
+    first, words = 0, 0
+    for k, i in enumerate(order):
+        if k > first and (k - first == BATCH or words + docs[i].shape[1] > BATCH_WORDS):
+            yield order[first:k]
+            first, words = k, 0
+        words += docs[i].shape[1]
+    if first < len(order):
+        yield order[first:]
+
+
+def _tops(model: Model, ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's largest value of each filter and where it stands, piece by piece."""
+    ends = np.append(firsts[1:], ids.shape[1] - _GAP)
+    top = np.full((len(firsts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
+    at = np.zeros(top.shape, np.int64)
+    a = 0
+    while a < len(firsts):
+        b = max(a + 1, int(np.searchsorted(ends, firsts[a] + PIECE_WORDS, "right")))
+        for low in range(firsts[a], ends[b - 1], PIECE_WORDS):
+            high = min(low + PIECE_WORDS, ends[b - 1])
+            values = model.windows(model.vectors(ids[:, low : high + _GAP]))
+            for d in range(a, b):
+                x, y = max(firsts[d], low) - low, min(ends[d], high) - low
+                if x < y:
+                    best = values[x:y].argmax(0) + x
+                    value = np.take_along_axis(values, best[None], 0)[0]
+                    more = value > top[d]
+                    top[d][more], at[d][more] = value[more], best[more] + low
+        a = b
+    return top, at
+
+
 def _scaled(logits: np.ndarray, labels: np.ndarray, clean_weight: float) -> tuple[float, float]:
     """Slope and offset of the logistic curve through held-back rows, by damped Newton steps on smoothed labels."""
     y = np.where(labels == 1, 1 - 1 / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
@@ -196,60 +234,87 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> Model:
-    """A model from labelled documents outside the held-out fifth."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
-    texts = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") <= most_chars)).select("doc_id", "text", "lang" if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
-    total = dict(known.groupBy("y").count().collect())
-    rows = []
-    for y, most in ((1, most_toxic), (0, most_clean)):
-        # The sample's size is fixed, so it may be broadcast; labels of documents that are missing or too long cost places in it.
-        chosen = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows += texts.join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: r["text"])}.values(), key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in rows], int)
-    ids = _ids_of([r["text"] for r in rows])
+def trained(ids: list[np.ndarray], y: np.ndarray, langs: np.ndarray, total: dict[int, int]) -> Model:
+    """A model of texts' word ids and labels; total: how many of each label there are beside the sample."""
     if len(set(y.tolist())) < 2:
         empty = Model([np.zeros(((1 << b) + 1, SIZE), np.float32) for b in (WORD_BITS, PREFIX_BITS, PREFIX_BITS)], [np.zeros((w, SIZE, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS) + 1, np.float32))
         empty.constant = float(y[0]) if len(y) else 0.0
         return empty
-    back = np.arange(len(rows)) % 5 == 0  # held back for scale and thresholds
+    back = np.arange(len(y)) % 5 == 0  # held back for scale and thresholds
     if len(set(y[back].tolist())) < 2 or len(set(y[~back].tolist())) < 2:
-        back = np.zeros(len(rows), bool)
+        back = np.zeros(len(y), bool)
     model = _fit([d for d, b in zip(ids, back, strict=True) if not b], y[~back])
     if not back.any():
         return model
     own = [d for d, b in zip(ids, back, strict=True) if b]
-    logits = np.concatenate([model.logits(model.pooled(model.vectors(i), f)) for i, f in (_joined(own[k : k + 256]) for k in range(0, len(own), 256))])
+    logits = np.concatenate([model.logits(np.maximum(_tops(model, *_joined([own[i] for i in some]))[0] + model.bias, 0)) for some in _batches(np.arange(len(own)), own)])
     # The sample may hold fewer of the clean than there are beside the toxic ones; here they count for all.
     share = [total.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)]
     weight = max(1.0, share[0] / max(share[1], 1e-9))
     model.scale = _scaled(logits, y[back], weight)
-    scores, langs = model.scores(logits), np.array([str(r["lang"]) for r, b in zip(rows, back, strict=True) if b])
+    scores, held = model.scores(logits), langs[back]
     model.thresholds[""] = _threshold(scores, y[back], weight)
-    for lang in np.unique(langs):
-        mine = langs == lang
+    for lang in np.unique(held):
+        mine = held == lang
         if min(y[back][mine].sum(), (1 - y[back][mine]).sum()) >= ENOUGH:
             model.thresholds[str(lang)] = _threshold(scores[mine], y[back][mine], weight)
     return model
 
 
-def _scorer(sent, keep: list[str]):
+def _trainer(total: dict[int, int], most_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, langs, seen, left = [], [], [], set(), most_words
+        for batch in batches:
+            for k, row in enumerate(batch.column("doc_id").to_pylist()):
+                if row in seen:
+                    continue
+                seen.add(row)
+                one = _ids_of([batch.column("text")[k].as_py()])[0]
+                if one.shape[1] <= left:
+                    left -= one.shape[1]
+                    ids.append(one)
+                    y.append(batch.column("y")[k].as_py())
+                    langs.append(str(batch.column("lang")[k].as_py()))
+        blob = pickle.dumps(trained(ids, np.array(y, int), np.array(langs, str), total))
+        ids.clear()
+        kernel.release()
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["model"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_words: int = MOST_WORDS) -> Model:
+    """A model from labelled documents outside the held-out fifth."""
+    ready(docs.sparkSession)
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", lang.alias("lang"))
+    total = {int(k): int(n) for k, n in known.groupBy("y").count().collect()}
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = [known.filter(F.col("y") == y).orderBy(*order).limit(most) for y, most in ((1, most_toxic), (0, most_clean))]
+    # The sample's size is fixed, so it may be broadcast; labels of documents that are missing cost places in it.
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").repartition(1).sortWithinPartitions(*order, "text")
+    got = rows.mapInArrow(_trainer(total, most_words), "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else trained([], np.zeros(0, int), np.zeros(0, str), total)
+
+
+def _scorer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            data, offsets = kernel.utf8(batch.column("__text"))
+            data, offsets = kernel.utf8(batch.column("text"))
             logits = [np.zeros(0)]
             for a, b in kernel.blocks(offsets, 1 << 19):
                 ids, firsts = word_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 logits.append(model.logits(_pooled_long(model, ids, firsts)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(np.concatenate(logits)), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.scores(np.concatenate(logits)), pa.float64())], ["row", "score"])
+        kernel.release()
 
     return run
 
 
-def _pooled_long(model: Model, ids: np.ndarray, firsts: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+def _pooled_long(model: Model, ids: np.ndarray, firsts: np.ndarray, most: int = PIECE_WORDS) -> np.ndarray:
     """pooled, in pieces where a text is long: each filter's maximum over pieces is that over the text."""
     if len(firsts) > 1 or ids.shape[1] <= most + _GAP:
         return model.pooled(model.vectors(ids), firsts)
@@ -257,24 +322,35 @@ def _pooled_long(model: Model, ids: np.ndarray, firsts: np.ndarray, most: int =
     return np.max([model.pooled(model.vectors(ids[:, a : a + most + _GAP]), zero) for a in range(0, ids.shape[1] - _GAP, most)], 0)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without text, with score, predicted, threshold (its language's) and toxic (the score reaches it)."""
+def _judged(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
+    """row (a struct of the columns to keep) and score of each document."""
     spark = docs.sparkSession
     ready(spark)
-    new = ("score", "predicted", "threshold", "toxic")
-    keep = [c for c in docs.columns if c != "text" and c not in new]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    out = docs.select(*keep, F.col("text").alias("__text")).mapInArrow(_scorer(spark.sparkContext.broadcast(model), keep), schema)
-    threshold = F.lit(model.thresholds.get("", 0.5))
-    if "lang" in keep:
-        for lang, t in model.thresholds.items():
-            if lang:
-                threshold = F.when(F.col("lang") == lang, F.lit(t)).otherwise(threshold)
-    return out.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "threshold": threshold}).withColumn("toxic", F.col("score") >= F.col("threshold"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0))
+    rows = docs.select(row.alias("row"), F.col("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), schema)
+
+
+def _threshold_of(model: Model, lang: Column | None) -> Column:
+    out = F.lit(model.thresholds.get("", 0.5))
+    for name, t in model.thresholds.items() if lang is not None else ():
+        if name:
+            out = F.when(lang == name, F.lit(t)).otherwise(out)
+    return out
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without text, with score, predicted, threshold (its language's) and toxic (the score reaches it)."""
+    keep = [c for c in docs.columns if c not in ("text", "score", "predicted", "threshold", "toxic")]
+    lang = F.col("row").getField("lang") if "lang" in keep else None
+    out = _judged(docs, keep, model).select("row", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), _threshold_of(model, lang).alias("threshold"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), "score", "predicted", "threshold", (F.col("score") >= F.col("threshold")).alias("toxic"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """docs whose score stays below their language's threshold."""
-    rows = docs.withColumn("__copy", F.col("text"))
-    out = scored(rows, fit(docs, labels, **bounds)).filter("not toxic").withColumnRenamed("__copy", "text")
-    return out.select(*docs.columns)
+    """docs whose score stays below their language's threshold, with the columns that they came with."""
+    lang = F.col("row").getField("lang") if "lang" in docs.columns else None
+    model = fit(docs, labels, **bounds)
+    out = _judged(docs, docs.columns, model).filter(F.col("score") < _threshold_of(model, lang))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
