@@ -9,10 +9,11 @@ missed by all bands with probability (1 - 0.75^4)^40 < 3e-7.
 Documents with equal sets are one class, with its smallest id standing for it; only these go on. In each bucket of
 a band every class is compared with the bucket's hub, on full sets. The Jaccard distance is a metric, which settles most
 of a bucket at once: if a document is far from the hub (J < 0.4), whatever it is linked with isn't near (J < 0.65). So
-the near ones leave, and a far one is the next hub for the rest, for a few rounds. All that aren't far from a common hub
-form a family, and so do those of a bucket that are left after the last round. Where a family ends in more than one
-component, the members outside its largest one are compared with the whole family, in blocks within tasks, so no pair
-is dropped and no row stands for a pair.
+the near ones leave, and a far one is the next hub for the rest, for a few rounds. A hub and all that aren't far from it
+form a family, and so does what is left of a bucket after the last round: two documents meet in a family only if they
+share a bucket. Where a family lies in more than one component, the members outside its largest one are compared with
+the whole family, in blocks of bounded size within tasks, so no pair is dropped and no row stands for a pair. Within a
+block the rarest quarter of each set is an index: sets with J >= 0.75 share one of these, others are never compared.
 
 Null text and text without words have no shingles, stay alone and are kept. Repeated rows are one class. A null
 doc_id never names a component: such a row is kept if no document with an id has the same set.
@@ -21,17 +22,17 @@ doc_id never names a component: such a row is kept if no document with an id has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlab.llm import kernel
 from strandlab.llm.components import components
-from strandlab.llm.shared import ready, written
+from strandlab.llm.shared import forget, ready, written
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 80, 4
@@ -40,8 +41,10 @@ _COLUMNS = 2048
 FAR = 40
 #: Hubs that each bucket has.
 HUBS = 2
-#: Documents of a family compared in one task: those outside its largest component, and all members.
-BLOCK, CHUNK = 128, 1024
+#: Shingles of a family compared in one task: of those outside its largest component, and of all members.
+BLOCK, CHUNK = 1 << 16, 1 << 18
+#: Prefix places matched at once within a task.
+_HITS = 1 << 20
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -100,6 +103,7 @@ def _signer(n: int, permutations: int, rows: int):
             flat = np.concatenate(keys) if keys else np.zeros(0, kernel.U64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(np.array(x, kernel.U64).view(np.int64)) for x in (one, two)), lists], _SIGNED.names)
+        kernel.release()
 
     return run
 
@@ -114,6 +118,7 @@ def _setter(n: int):
                 np.cumsum([len(s) for s in sets], out=ends[1:])
                 flat = np.concatenate(sets) if sets else np.zeros(0, kernel.U64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["doc_id", "shingles"])
+        kernel.release()
 
     return run
 
@@ -126,50 +131,89 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, far: int
     return both.filter(at_least(far)).select("rep", "hub", at_least(percent).alias("link"), at_least(far + 100 - percent).alias("near"))
 
 
+def _prefixes(sets: list[np.ndarray], rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of rank that are each set's rarest, one more than it may lack, and whose they are."""
+    tokens, owners, first = [], [], 0
+    for k, x in enumerate(sets):
+        n = len(x) - -(-percent * len(x) // 100) + 1
+        own = rank[first : first + len(x)]
+        tokens.append(np.partition(own, n - 1)[:n] if n < len(x) else own)
+        owners.append(np.full(len(tokens[-1]), k))
+        first += len(x)
+    return np.concatenate(tokens), np.concatenate(owners)
+
+
+def links_between(lesser: list[np.ndarray], groups: np.ndarray, members: list[np.ndarray], others: np.ndarray, percent: int = PERCENT) -> tuple[list[tuple[int, int]], int]:
+    """Links (member, lesser) that join different groups, as a forest over the groups, and how many pairs were compared.
+
+    Sets are ascending. Shingles are ranked by how many sets have them; linked sets share one of their rarest.
+    """
+    if not lesser or not members:
+        return [], 0
+    every = np.concatenate([*lesser, *members])
+    _, which, count = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    rank = rank[which]
+    at = sum(map(len, lesser))
+    token, owner = _prefixes(lesser, rank[:at], percent)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    asked, asker = _prefixes(members, rank[at:], percent)
+    low, high = np.searchsorted(token, asked), np.searchsorted(token, asked, "right")
+    n = high - low
+    size, sizes = np.array([len(x) for x in lesser]), np.array([len(x) for x in members])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    links, compared = [], 0
+    total = np.cumsum(n)
+    cuts = np.searchsorted(total, np.arange(_HITS, (total[-1] if len(total) else 0) + _HITS, _HITS), "right")
+    first = 0
+    for last in np.unique(np.append(cuts, len(n))):
+        m = n[first:last]
+        hit = np.repeat(low[first:last] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        pairs = np.unique(np.repeat(asker[first:last], m) * len(lesser) + owner[hit])
+        k, o = pairs // len(lesser), pairs % len(lesser)
+        fit = (groups[o] != others[k]) & (100 * np.minimum(size[o], sizes[k]) >= percent * np.maximum(size[o], sizes[k]))
+        for x, y in zip(k[fit].tolist(), o[fit].tolist(), strict=True):
+            a, b = find(int(groups[y])), find(int(others[x]))
+            if a != b:
+                compared += 1
+                common = len(np.intersect1d(members[x], lesser[y], assume_unique=True))
+                if 100 * common >= percent * (len(members[x]) + len(lesser[y]) - common):
+                    root[a] = b
+                    links.append((x, y))
+        first = last
+    return links, compared
+
+
 def _across(percent: int):
-    """Links between a block of a family's lesser components and a chunk of the family: a forest over components."""
+    """Links between a block of a family's lesser components and a chunk of the family."""
 
     def run(table: pa.Table) -> pa.Table:
-        lesser = table.filter(table.column("lesser"))
-        members = table.filter(pc.invert(table.column("lesser")))
-        ids, groups = lesser.column("rep").to_numpy(), lesser.column("component").to_numpy()
-        own = [np.asarray(x.values.to_numpy()) for x in lesser.column("shingles")]
-        size = np.array([len(x) for x in own], np.int64)
-        flat, owner = np.concatenate(own) if own else np.zeros(0, np.int64), np.repeat(np.arange(len(own)), size)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                x = y
-            return x
-
-        links = []
-        for k in range(len(members) if own else 0):
-            rep, group, x = members.column("rep")[k].as_py(), members.column("component")[k].as_py(), members.column("shingles")[k].values.to_numpy()
-            low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
-            n = high - low
-            hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(owner[hit], minlength=len(own))
-            for o in np.flatnonzero((100 * common >= percent * (size + len(x) - common)) & (groups != group)):
-                a, b = find(int(groups[o])), find(group)
-                if a != b:
-                    root[a] = b
-                    links.append((rep, int(ids[o])))
-        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+        lesser = np.asarray(table.column("lesser"), bool)
+        ids, groups = np.asarray(table.column("rep")), np.asarray(table.column("component"))
+        sets = [np.asarray(x.values) for x in table.column("shingles")]
+        ours, theirs = np.flatnonzero(lesser), np.flatnonzero(~lesser)
+        links, _ = links_between([sets[i] for i in ours], groups[ours], [sets[i] for i in theirs], groups[theirs], percent)
+        return pa.table({"u": pa.array([int(ids[theirs[x]]) for x, _ in links], pa.int64()), "v": pa.array([int(ids[ours[y]]) for _, y in links], pa.int64())})
 
     return run
 
 
 def across(families: DataFrame, groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links(u, v) within families(node, component) between different groups(node, component)."""
-    rows = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "rep"))
-    counts = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
+    """Links(u, v) within families(family, rep) between different groups(node, component)."""
+    rows = families.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("size")), "rep")
+    counts = rows.groupBy("family", "component").agg(F.sum("size").alias("n"))
     per = counts.groupBy("family").agg(F.max(F.struct("n", -F.col("component"))).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
-    per = per.select("family", (-F.col("m.col2")).alias("main"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(per, "family").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    per = per.select("family", (-F.col("m.col2")).alias("main"), F.ceil((F.col("all") - F.col("m.n")) / F.lit(BLOCK)).cast("int").alias("blocks"), F.ceil(F.col("all") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    rows = rows.drop("size").join(per, "family").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     common = ["family", "rep", "component", "shingles"]
@@ -178,6 +222,14 @@ def across(families: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
     return members.unionByName(lesser).groupBy("family", "block", "chunk").applyInArrow(_across(percent), "u long, v long")
 
 
+def _left_over(active: DataFrame) -> DataFrame:
+    """Families(family, rep) of what is left of buckets(key, rep); buckets that hold the same are one."""
+    h = F.xxhash64("rep")
+    same = active.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s"))
+    one = same.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
+    return active.join(one, "key").select(F.xxhash64(F.lit("bucket"), "key").alias("family"), "rep")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -193,26 +245,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     active = written(dealt.join(shared, "key"), "buckets")
     in_bucket = active.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(texts.join(in_bucket, "doc_id", "left_semi").mapInArrow(_setter(shingle), "doc_id long, shingles array<long>"), "sets")
-    seen = None
+    tables = []
     for _ in range(HUBS):
         others = active.filter("rep <> hub.rep")
         pairs = others.filter(100 * F.least("n", "hub.n") >= FAR * F.greatest("n", "hub.n")).select("rep", F.col("hub.rep").alias("hub")).distinct()
         near = written(compared(pairs, sets, percent), "near")
-        seen = near if seen is None else seen.unionByName(near)
+        tables.append(near)
         others = others.select("key", "rep", "n", F.col("hub.rep").alias("hub"))
         left = others.join(near.select("rep", "hub", "near"), ["rep", "hub"], "left").filter("near is null or not near").withColumn("far", F.col("near").isNull())
         following = left.groupBy("key").agg(F.min(F.when(F.col("far"), F.struct("rep", "n"))).alias("hub"), F.count("*").alias("k")).filter("hub is not null and k > 1").select("key", "hub")
-        active = written(left.select("key", "rep", "n").join(following, "key"), "buckets")
-    links = seen.filter("link").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    groups = written(components(links), "groups")
-    families = components(seen.filter("not link").select(F.col("rep").alias("u"), F.col("hub").alias("v")).unionByName(links))
-    rest = components(active.select(F.col("rep").alias("u"), F.col("hub.rep").alias("v")).distinct())
-    more = written(across(families, groups, sets, percent).unionByName(across(rest, groups, sets, percent)), "across")
+        earlier, active = active, written(left.select("key", "rep", "n").join(following, "key"), "buckets")
+        forget(earlier)
+    seen = reduce(DataFrame.unionByName, tables)
+    groups = written(components(seen.filter("link").select(F.col("rep").alias("u"), F.col("hub").alias("v"))), "groups")
+    # A family is open if some member isn't in its hub's component: of two members apart, one is such.
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    apart = seen.join(of("rep"), "rep", "left").join(of("hub"), "hub", "left").filter(F.coalesce("of_rep", "rep") != F.coalesce("of_hub", "hub"))
+    hubs = written(apart.select("hub").distinct(), "hubs")
+    family = F.xxhash64(F.lit("hub"), "hub").alias("family")
+    families = seen.join(hubs, "hub", "left_semi").select(family, "rep").unionByName(hubs.select(family, F.col("hub").alias("rep")))
+    more = written(across(families.unionByName(_left_over(active)).distinct(), groups, sets, percent), "across")
     if not more.isEmpty():
-        stars = groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        groups = written(components(stars.unionByName(more)), "groups")
+        # Only components that a new link joins are looked at again.
+        name = lambda c: F.coalesce(F.col(f"of_{c}"), F.col(c)).alias(c)
+        joined = components(more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(name("u"), name("v")))
+        joined = written(joined.withColumnRenamed("component", "other"), "joined")
+        all_groups = groups.unionByName(joined.select("node", F.col("node").alias("component"))).distinct()
+        earlier, groups = groups, written(all_groups.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("other", "component").alias("component")), "groups")
+        forget(earlier, joined)
+    forget(active, sets, more, hubs, *tables)
     named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("bands").join(named, prints, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    signed = signed.drop("bands")
+    out = signed.filter("n_shingles > 0").join(named, prints, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", "component_id").unionByName(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
