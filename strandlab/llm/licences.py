@@ -3,13 +3,14 @@
 A text becomes canonical: ASCII letters in lower case, copyright lines dropped, equivalent spellings made one,
 everything but letters, digits and characters beyond ASCII turned into single spaces. The digest of the whole
 canonical text is joined with the digests of known licences. Notices of one line stand at the end of longer documents,
-so each line is a text of its own too. Only texts as long as some known one are hashed.
+so each line is a text of its own too: lines as long as some known text are hashed and looked up in the same pass.
 
 Whole texts of the longer licences stand in licence_texts, a file for each; _variants says which variants of them, and of the
 short ones, are known. Texts changed in any other way are unknown, and so are whole texts of the CC BY family.
 
 Null and empty texts have no digest and match nothing. A licence given twice under one name counts once; under two
-names the first in order is named for whole texts, both for lines. Repeated rows each have a row in the result.
+names the first in order is named for whole texts, both for lines. Repeated rows each have a row in the result, which
+has its own four columns only: extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to this many known texts are broadcast; more are joined by shuffle.
-MOST_BROADCAST = 10_000
+#: Known texts that a scan takes at most: their digests go to every task.
+MOST_KNOWN = 10_000
 
 #: Spellings that mean the same, in the order of their replacement.
 EQUIVALENT = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("favour", "favor"), ("http:", "https:"), ("©", "(c)"))
@@ -95,20 +96,28 @@ def known(spark: SparkSession, licences: tuple[tuple[str, str], ...] | None = No
 
 def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     """doc_id, digest, license (of the whole text) and notices (names found in its lines, in order) for each row of docs(doc_id, text)."""
-    names = licences.select("license", canonical("text").alias("form")).filter("form <> ''").select("license", F.md5("form").alias("digest"), F.length("form").alias("size"))
-    names = names.distinct()
-    count, least, most = names.agg(F.count("*"), F.min("size"), F.max("size")).first()
-    small = F.broadcast if count <= MOST_BROADCAST else lambda x: x
-    fits = lambda x: F.length(x).between(least or 0, most or -1)
-    base = docs.select("doc_id", F.md5("text").alias("print"), canonical_lines(F.col("text")).alias("lines"))
-    base = base.withColumn("form", F.array_join("lines", " "))
-    whole = base.select("doc_id", "print", F.when(F.col("form") != "", F.md5("form")).alias("digest"))
-    first = names.groupBy("digest").agg(F.min("license").alias("license"))
-    whole = whole.join(small(first), "digest", "left")
-    lines = base.select("doc_id", "print", F.explode(F.filter("lines", fits)).alias("line")).select("doc_id", "print", F.md5("line").alias("digest"))
-    found = lines.join(small(names.select("digest", "license").distinct()), "digest").groupBy("doc_id", "print").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    same = whole["doc_id"].eqNullSafe(found["doc_id"]) & whole["print"].eqNullSafe(found["print"])
-    return whole.join(found, same, "left").select(whole["doc_id"], "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    forms = licences.select("license", canonical("text").alias("form")).filter("form <> ''").select("license", F.md5("form").alias("digest"), F.length("form").alias("size"))
+    names = forms.groupBy("digest", "size").agg(F.min("license").alias("license"), F.array_sort(F.collect_set("license")).alias("all"))
+    known = names.limit(MOST_KNOWN + 1).collect()  # bounded, and checked
+    if len(known) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
+    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines")).select("doc_id", F.array_join("lines", " ").alias("form"), _notices(F.col("lines"), known).alias("notices"))
+    whole = lines.select("doc_id", F.when(F.col("form") != "", F.md5("form")).alias("digest"), F.coalesce("notices", F.lit("")).alias("notices"))
+    return whole.join(F.broadcast(names.select("digest", "license")), "digest", "left").select("doc_id", "digest", "license", "notices")
+
+
+def _notices(lines: Column, known: list) -> Column:
+    """The names of the lines that are known texts, in order, joined by commas.
+
+    Few lines are as long as a known text, so few are hashed.
+    """
+    if not known:
+        return F.lit("")
+    sizes = sorted({r["size"] for r in known})
+    table = F.create_map(*(x for r in sorted(known, key=lambda r: r["digest"]) for x in (F.lit(r["digest"]), F.array(*map(F.lit, r["all"])))))
+    fit = F.filter(lines, lambda x: F.length(x).isin(sizes))
+    found = F.flatten(F.filter(F.transform(fit, lambda x: F.try_element_at(table, F.md5(x))), lambda x: x.isNotNull()))
+    return F.array_join(F.array_sort(F.array_distinct(found)), ",")
 
 
 def _literal(s: str) -> str:
