@@ -6,7 +6,7 @@ hash is the hash of a proper prefix of another one is a snapshot of it: an anti-
 the smallest conv_id stays. What is left is rendered.
 
 Turns are ordered by turn (null first), role and text; a turn row given twice counts once. Null role and text are like
-empty ones. Rows without a conv_id belong to no conversation. Running hashes are windows over narrow rows, sorted on
+empty ones. Rows without a conv_id belong to no conversation. Extra columns aren't read, whatever their names. Running hashes are windows over narrow rows, sorted on
 disk where needed; only rendering brings a conversation's text together, since it makes one string of it.
 """
 

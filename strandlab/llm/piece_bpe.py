@@ -6,6 +6,9 @@ else tries the next shorter, and backs up where none is left. A bitfield remembe
 so each is tried once. Text is cut before runs of the space mark and around line ends first: no piece crosses
 those cuts, so chunks encode alone, and each worker keeps the results of frequent chunks in a bounded table.
 
+Models must be of the kind that this holds for, which is checked when one is loaded: no piece has a space mark or line end
+within, none is unused or defined by a user, a space is put in front, and nothing else is normalised.
+
 Null text is empty, and empty text has no ids. Rows with a null doc_id, repeated rows and extra columns pass
 through unchanged; an existing column named like an output is replaced. Texts of any length are encoded whole.
 """
@@ -31,6 +34,8 @@ KEPT_PAIRS = 1_000_000
 BATCH_BYTES = 1 << 21
 
 _UNKNOWN = "<unk>"
+#: What models of other kinds encode otherwise: spaces, line ends, letters that are often normalised, unknown characters.
+_PROBES = ("", " ", "a", "  a  b ", "Hello world,\n\nnext line 1999\n", "ﬁ ½ Ａ e\u0301 ① ™", "\t\x00\r x", "漢字🙂ß", "<s> </s> <unk> <0x41>", "▁a▁▁b")
 
 
 class PieceCodec:
@@ -66,11 +71,18 @@ class PieceCodec:
         for i in whole:
             piece = self.pieces[i]
             self.shorter[i] = next((k for n in range(len(piece) - 1, 0, -1) if (k := self.id_of.get(piece[:n])) in whole), -1)
+        odd = [p for p in self.id_of if re.search(f"[^{MARK}]{MARK}", p) or len(p) > 1 and "\n" in p]
+        if odd or any(model.is_unused(i) for i in range(size)):
+            raise ValueError(f"{model_file}: pieces that aren't supported, such as {odd[:3]}")
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         self.fits: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
         self.kept_text: dict[str, str] = {}
         self.aged: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        for text in _PROBES:
+            ids = model.encode(text)
+            if self.encode(text) != ids or self.decode(ids) != model.decode(ids):
+                raise ValueError(f"{model_file}: a model of another kind, as {text!r} shows")
 
     def merged(self, text: str) -> list[str]:
         """Merges from characters: always the best pair, the leftmost of equals."""
@@ -121,8 +133,8 @@ class PieceCodec:
                 before, piece = piece, longest[at]
             else:
                 failed[at] = 1
-                if not path:
-                    raise ValueError(f"no encoding of {text!r}")
+                if not path:  # never so for models that passed the checks; merging is right for any
+                    return [self.id_of[p] for p in self.merged(text)]
                 piece = path.pop()
                 at -= length[piece]
                 before = path[-1] if path else -1

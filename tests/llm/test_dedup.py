@@ -73,13 +73,43 @@ def test_near_duplicates(family):
 
 def test_families_by_blocks(family, monkeypatch):
     """Small blocks and a wide family: all links come from the comparison in blocks."""
-    monkeypatch.setattr(minmax, "BLOCK", 4)
-    monkeypatch.setattr(minmax, "CHUNK", 8)
+    monkeypatch.setattr(minmax, "BLOCK", 400)
+    monkeypatch.setattr(minmax, "CHUNK", 800)
     docs = [tuple(r) for r in family.collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minmax.near_duplicates(family).collect()}
     assert got == near(docs)
 
 
+def test_few_pairs_are_compared():
+    """Thousands of texts of one template, all at a similarity between 0.4 and 0.75 but for a few linked pairs: the
+    links are found, and hardly any other pair is compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    base = np.arange(60)
+    sets = [np.sort(np.concatenate([base, rng.integers(10**6, 10**12, 30)])) for _ in range(3000)]
+    for k in range(0, 100, 2):
+        sets[k + 1] = np.sort(np.concatenate([sets[k][:-5], rng.integers(10**12, 10**13, 5)]))
+    lesser, groups = sets[:600], np.arange(600)
+    links, compared = minmax.links_between(lesser, groups, sets, np.arange(3000))
+    assert {tuple(sorted(x)) for x in links} == {(k, k + 1) for k in range(0, 100, 2)}
+    assert compared < 3000
+
+
+def test_chain_of_templates(spark):
+    """A chain of texts, each between 0.4 and 0.75 similar to the next ones, with linked pairs along it."""
+    rng, words, rows = random.Random(5), [f"c{i}" for i in range(3700)], []
+    for d in range(300):
+        w = words[12 * d : 12 * d + 60]
+        rows.append((2 * d, " ".join(w)))
+        w = list(w)
+        w[rng.choice([0, 59])] = f"x{d}"
+        if d % 3 == 0:
+            rows.append((2 * d + 1, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near(rows)
+
+
 def test_min_and_max_are_unbiased():
     import numpy as np
 
@@ -109,6 +139,29 @@ def test_words(family, hot):
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept"]) == (len(s), sum(gone[d]), " ".join(w for w, g in zip(s, gone[d]) if not g))
 
 
+def test_words_of_a_reference(spark, monkeypatch):
+    """Passages of a reference go, whatever shard holds them; a reference that is too large is refused."""
+    rng = random.Random(12)
+    known = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 60))] for _ in range(30)]
+    rows = [(d, " ".join([*(f"x{rng.randrange(9)}" for _ in range(9)), *rng.choice(known)[rng.randrange(5) :], "y", *rng.choice(known)])) for d in range(60)] + [(60, None), (None, " ".join(known[5])), (5, "")]
+    reference, docs = spark.createDataFrame([(" ".join(w),) for w in known] + [(None,)], "text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    windows = {tuple(w[i : i + 20]) for w in known for i in range(len(w) - 19)}
+    for shard in (20_000, 100):
+        monkeypatch.setattr(automata, "SHARD_WORDS", shard)
+        want = []
+        for d, t in rows:
+            w = words(t)
+            gone = [False] * len(w)
+            for i in range(len(w) - 19):
+                if tuple(w[i : i + 20]) in windows:
+                    gone[i : i + 20] = [True] * 20
+            want.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+        got = automata.against(docs, reference, threshold=20).select("doc_id", "n_words", "n_removed", "kept")
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    with pytest.raises(ValueError):
+        automata.against(docs, reference, most_words=10)
+
+
 def test_resolvers_agree():
     """The radix sort and the automaton find the same smallest documents."""
     import numpy as np
@@ -133,6 +186,58 @@ def test_resolvers_agree():
         assert got.tolist() == suffix_radix.radix(np.concatenate([contents[i] for i in own]), e, anchors[own], documents[own], n).tolist()
 
 
+def _marked(sequences, n):
+    """Rows (key, doc, sequence): which tokens go, judged by doc."""
+    first = {}
+    for _, d, q in sequences:
+        for i in range(len(q) - n + 1):
+            w = q[i : i + n]
+            first[w] = min(first.get(w, d), d)
+    out = {}
+    for key, d, q in sequences:
+        gone = [False] * len(q)
+        for i in range(len(q) - n + 1):
+            if first[q[i : i + n]] < d:
+                gone[i : i + n] = [True] * n
+        out[key] = gone
+    return out
+
+
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_rows_that_share_an_id(spark, hot):
+    """Each row has spans of its own, whatever its plan: the same from memory, after a join, and from an RDD."""
+    p, u = " ".join(f"passage{i}" for i in range(30)), "u" * 300
+    rows = [(1, p + " one"), (5, p), (5, u + p[:60]), (5, u), (6, "x" + u[:70]), (2, "tail \ufffd end " + p[:80]), (2, None), (7, p + " one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    joined = df.join(spark.range(10).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    loose = spark.createDataFrame(df.rdd, df.schema)
+    gone = _marked([(k, d, (t or "").encode()) for k, (d, t) in enumerate(rows)], 50)
+    want = sorted((d, bytes(b for b, g in zip((t or "").encode(), gone[k]) if not g)) for k, (d, t) in enumerate(rows))
+    for docs in (df, joined, loose):
+        assert sorted((r["doc_id"], bytes(r["kept"])) for r in suffix_radix.without_repeats(docs, hot=hot).collect()) == want
+
+
+def test_cleaned_texts(spark):
+    """Row by row, with all columns; cuts take whole characters, and U+FFFD that the text itself holds stays."""
+    p = "".join(chr(0x4E00 + i) for i in range(40))
+    rows = [(1, p, 1, "a"), (2, "\ufffd tail " + p + " end \ufffd", 1, "b"), (2, "other \ufffd", 7, "c"), (3, "é" + p[5:35] + "x", None, "d"), (4, None, 3, "e"), (None, p, 4, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, kept string")
+    got = suffix_radix.cleaned(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], (2, "\ufffd tail  end \ufffd", 14, "b"), rows[2], (3, "éx", 2, "d"), rows[4], rows[5]], key=repr)
+
+
+def test_windows_with_one_hash(monkeypatch):
+    """Two windows that agree in the first hash are told apart by the second."""
+    import numpy as np
+
+    from strandlab.llm import kernel, repeats
+
+    values = kernel.hash_values(np.arange(256, dtype=np.uint8)), kernel.hash_values(np.arange(256, dtype=np.uint8), second=True)
+    assert not (values[0] == values[1]).any()
+    assert repeats._starts(np.array([1, 1, 1, 2]), np.array([5, 5, 6, 6])).tolist() == [0, 2, 3]
+
+
 def test_odd_rows(odd):
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minmax.near_duplicates(odd).collect()]
     assert len(got) == 13 and got.count((3, 1, False)) == 2 and (8, 7, False) in got and (4, 4, True) in got and (5, 5, True) in got

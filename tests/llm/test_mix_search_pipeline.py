@@ -45,6 +45,14 @@ def test_mix(spark):
     assert copies == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_mix_of_repeated_ids(spark):
+    """Rows that share an id, or have none, and a size are told apart by their texts: reruns and layouts agree."""
+    rows = [(d % 7 if d % 3 else None, "ab"[d % 2], " ".join(f"{d}.{i}" for i in range(5))) for d in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixes = [Counter(map(tuple, mixing.mixed(df.repartition(n, *by)).collect())) for n, by in ((1, ()), (5, ("text",)), (3, ("doc_id",)))]
+    assert mixes[0] == mixes[1] == mixes[2] and 0 < len(mixes[0]) <= 120
+
+
 def test_mix_odd(odd, none):
     assert mixing.taken(odd).count() == 13 and mixing.taken(none).count() == 0 and mixing.mixed(none).columns == none.columns
     assert mixing.mixed(odd).columns == odd.columns
@@ -62,32 +70,50 @@ def search(rows, k, d):
 
 def test_search(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(20)] + [(400 + i, [1.0, 2.0, 3.0]) for i in range(3)]
+    rows = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(40)] + [(400 + i, [1.0, 2.0, 3.0]) for i in range(3)] + [(420, []), (430, []), (431, [])]
     bad = [(500, None), (510, [None] + [1.0] * 7), (520, [float("nan")] + [1.0] * 7), (530, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     exact = [(r["vec_id"], r["embedding"]) for r in df.collect() if r["vec_id"] is not None and r["vec_id"] < 500]
-    for block in (4096, 7):
-        monkeypatch.setattr(vafile, "QUERY_BLOCK", block)
+    for block in (1 << 19, 60):
+        monkeypatch.setattr(vafile, "QUERY_COMPONENTS", block)
         got = vafile.top_k(df.repartition(3), df.filter("vec_id % 10 = 0")).select("query_id", "rank", "vec_id", "score")
         assert sorted(map(tuple, got.collect())) == search(exact, 5, 10)
     assert vafile.top_k(df, df.limit(0)).count() == 0 and vafile.top_k(df.limit(0), df).count() == 0
 
 
+def test_search_of_queries_that_share_an_id(spark):
+    """Each query row is answered for itself; a repeated vector row counts as often as it stands."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (9, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in vafile.top_k(df, asked, k=2).collect())
+    assert got == [(1, 3, 2 * 65536), (1, 4, 3 * 65536), (2, 2, 65536), (2, 3, 2 * 65536)]
+
+
 def test_search_reads_few_vectors():
+    """The bounds hold for every vector, and hardly any exact vector lies beyond them."""
     rng = np.random.default_rng(6)
     v = np.floor(256 * rng.normal(0, 0.125, (8000, 32))).astype(np.int64)
-    q, i, s, read = vafile.best(np.arange(20), v[:20], np.arange(8000), v, 5, 6)
-    assert read < 20 * 8000 / 10
+    low, width = v.min(0).astype(float), (v.max(0) - v.min(0) + 1) / 256
+    own, best, found = vafile.Queries(np.arange(20), v[:20], low, width), np.full((20, 6), -np.inf), []
+    codes = vafile.coded(v, low, width)
+    assert (np.abs(own.middles(codes) - v[:20] @ v.T) <= own.slack[:, None]).all()
+    for a in range(0, 8000, 500):
+        q, r, upper, best = vafile.reach(own, codes[a : a + 500], best)
+        found += zip(q.tolist(), (r + a).tolist(), upper.tolist())
+    needed = 0
     for k in range(20):
         scores = v @ v[k]
         scores[k] = -(10**9)
-        assert sorted(s[q == k].tolist()) == sorted(np.sort(scores)[-5:].tolist())
+        kth, mine = np.sort(scores)[-5], {r: u for q, r, u in found if q == k}
+        assert set(np.flatnonzero(scores >= kth).tolist()) <= set(mine)
+        needed += sum(u >= kth for u in mine.values())
+    assert needed < 20 * 40 and len(found) < 20 * 8000 / 20
 
 
-def test_search_beyond_floats():
-    v = np.array([[3037000499, 1], [3037000499, 2], [3037000499, 0]], np.int64)
-    q, i, s, _ = vafile.best(np.array([9]), np.array([[3037000499, 1]], np.int64), np.arange(3), v, 2, 6)
-    assert i.tolist() == [1, 0] and s.tolist() == [3037000499**2 + 2, 3037000499**2 + 1]
+def test_search_beyond_floats(spark):
+    df = spark.createDataFrame([(0, [3037000499, 1]), (1, [3037000499, 2]), (2, [3037000499, 0]), (9, [3037000499, 1])], "vec_id long, embedding array<long>")
+    got = [(r["vec_id"], r["score"]) for r in vafile.top_k(df.withColumn("embedding", F.col("embedding").cast("array<double>")), df.filter("vec_id = 9").withColumn("embedding", F.col("embedding").cast("array<double>")), k=2, scale=1).orderBy("rank").collect()]
+    assert got == [(1, 3037000499**2 + 2), (0, 3037000499**2 + 1)]
 
 
 def test_pipeline(spark, tmp_path):

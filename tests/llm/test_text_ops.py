@@ -40,7 +40,10 @@ def test_toxicity_learns(spark, odd, none):
     assert 100 < len(held) < 260 and np.mean([got[d]["predicted"] == (d % 4 == 0) for d in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert toxicity.scored(odd, model).count() == 13 and toxicity.scored(none, model).count() == 0
-    assert toxicity.clean(odd, spark.createDataFrame([], "doc_id long, toxic int")).columns == odd.columns
+    none_known = spark.createDataFrame([], "doc_id long, toxic int")
+    assert sorted(map(repr, toxicity.clean(odd, none_known).collect())) == sorted(map(repr, odd.collect()))
+    own = odd.select(*odd.columns, F.lit("mine").alias("toxic"), F.lit(1).alias("threshold"), F.lit(2).alias("row"), F.lit(3).alias("__text"))
+    assert sorted(map(repr, toxicity.clean(own, none_known).collect())) == sorted(map(repr, own.collect()))
     # A long text's score is that of its words in one piece.
     ids = toxicity._ids_of([" ".join(docs[k][1] for k in range(300))])[0]
     first = np.zeros(1, int)
@@ -98,6 +101,14 @@ def test_pieces_like_the_library(sp):
         assert codec.encode(t) == ids and codec.both(t)[1] == sp.decode(ids) == codec.decode(ids), repr(t)
 
 
+def test_other_models_are_refused(monkeypatch):
+    """A model that the method doesn't hold for is an error, not other ids."""
+    pytest.importorskip("sentencepiece")
+    monkeypatch.setattr(piece_bpe.PieceCodec, "chunks", lambda self, text: [text] if text else [])  # as if nothing were put in front
+    with pytest.raises(ValueError):
+        piece_bpe.PieceCodec(model_file())
+
+
 def test_pieces_of_tables(sp, odd, none):
     got = piece_bpe.encode(odd, model_file())
     assert [c for c in got.columns if c not in ("ids", "decoded")] == [c for c in odd.columns if c != "text"]
