@@ -1,29 +1,42 @@
-"""python -m strandlab corpus | dyck | longrange | report, with the experiments' defaults."""
+"""python -m strandlab COMMAND: the data part of each experiment, with the experiments' defaults.
+
+Making data: corpus, dyck, longrange, pretraining (packed blocks), pilot, distribution, backbone and bidirectional
+(train and test splits of pairs), remote (a mixture of two sources), structural (fractions of tasks), forward (a fixed
+sample). Reading what models gave: evaluate (predictions), dynamics (predictions by step), cka and probe (hidden states),
+heads and selectivity (attention). report: the tables of all records. Options of training itself (epochs, bs, lr, ...)
+are taken and handed on in the records' settings file, but nothing is trained here.
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.config import DEFAULTS
-from strandlab.operators import corpus, sampling, sequences, tasks
+from strandlab import schemas
+from strandlab.config import DEFAULTS, TASKS
+from strandlab.functions.scalars import diff_positions, tokenizer
+from strandlab.operators import corpus, metrics, represent, sampling, sequences, stats, tasks
 from strandlab.plans import reports
 from strandlab.session import session
 from strandlab.sources import readers, sinks
 
+#: Rows of a test split, and of the fixed sample.
+N_TEST, N_SAMPLE = 2000, 3000
+
 
 def build_corpora(spark: SparkSession, a: argparse.Namespace) -> None:
     """A token-capped text file for each group, in hash order, and a manifest; sources of groups not asked for aren't read."""
     groups, made = a.groups.split(","), None
-    count = F.regexp_count("text", F.lit(r"\S+")).cast("long")
     for group in groups:
         if group == "text":
             rows = corpus.clean(readers.lines(spark, a.texts)).withColumn("seq_id", F.xxhash64("text"))
         else:
             rows = sequences.corpus_lines(readers.fasta(spark, a.fasta), group, a.seed)
         rows = rows.withColumn("key", sampling.hash_key(a.seed, "seq_id"))
+        count = F.size(tokenizer(a.tokenizer)(F.col("text"))).cast("long")
         one = sinks.write_capped(rows, f"{a.out}/cpt_{group}", ["key", "seq_id"], F.substring("key", 1, 3), count, a.target_tokens).withColumn("group", F.lit(group))
         made = one if made is None else made.unionByName(one)
     sinks.write_manifest(made, f"{a.out}/manifest", a.target_tokens, a.seed)
@@ -44,23 +57,163 @@ def build_longrange(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_task(rows, f"{a.out}/longrange_d{a.n_distract}")
 
 
+def build_blocks(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A corpus as blocks of tokens, packed within batches of a thousand lines in hash order."""
+    rows = readers.lines(spark, a.corpus).filter("text <> ''").withColumn("key", sampling.hash_key(a.seed, "text"))
+    place = sampling.shuffled_rank(rows.select("key", "text"), a.seed, "text")
+    rows = place.select("rank", tokenizer(a.tokenizer)(F.col("text")).alias("tokens"))
+    corpus.packed(rows, F.floor((F.col("rank") - 1) / 1000), ["rank"], "tokens", a.block).write.mode("overwrite").parquet(f"{a.out}/blocks")
+
+
+def _identified(pairs: DataFrame) -> DataFrame:
+    """Rows with an id of their content, as pairs carry none."""
+    return pairs.withColumn("example_id", F.xxhash64(*pairs.columns))
+
+
+def build_splits(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = sampling.split(_identified(readers.pairs_csv(spark, a.pairs)), a.seed, a.n_test, "example_id")
+    rows.write.mode("overwrite").partitionBy("split").parquet(f"{a.out}/pairs")
+
+
+def build_mixture(spark: SparkSession, a: argparse.Namespace) -> None:
+    remote, standard = (_identified(readers.pairs_csv(spark, x)) for x in (a.remote_pairs, a.pairs))
+    sampling.placed_mixture(remote, standard, a.seed, a.n_source, a.mix_remote, "example_id").write.mode("overwrite").parquet(f"{a.out}/mixture")
+
+
+def build_fractions(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Each task's training rows by fraction, and its validation rows whole; tasks whose folder is missing are left out."""
+    for name in a.tasks.split(","):
+        task, folder = TASKS[name], f"{a.data}/{TASKS[name].source}"
+        if not readers.exists(spark, folder):
+            continue
+        schema = schemas.PAIR if task.columns[1] else schemas.SENTENCE
+        rows = _identified(spark.read.schema(f"{schema}, split string").json(folder))
+        for share in map(float, a.fractions.split(",")):
+            own = sampling.fraction(rows.filter(F.col("split") == task.train), a.seed, share, "example_id")
+            own.write.mode("overwrite").parquet(f"{a.out}/{name}/frac={share}")
+        rows.filter(F.col("split") == task.validation).write.mode("overwrite").parquet(f"{a.out}/{name}/validation")
+
+
+def build_sample(spark: SparkSession, a: argparse.Namespace) -> None:
+    sampling.shuffled_head(_identified(readers.pairs_csv(spark, a.pairs)), a.seed, N_SAMPLE, "example_id").write.mode("overwrite").parquet(f"{a.out}/sample")
+
+
+def _predictions(spark: SparkSession, a: argparse.Namespace, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(a.predictions).withColumn("pred", metrics.predicted())
+
+
+def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Metrics of each direction, model, seed and split; AUC by the difference of logits."""
+    rows = _predictions(spark, a, schemas.PREDICTIONS).withColumn("margin", F.col("logit1") - F.col("logit0"))
+    keys = ["direction", "model", "seed", "split"]
+    found = metrics.evaluated(rows, *keys).join(metrics.auc(rows, "margin", *keys), keys)
+    sinks.append_records(found, f"{a.out}/metrics", keys)
+
+
+def dynamics(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A trajectory for each direction and seed, a point every eval_every steps."""
+    rows = _predictions(spark, a, schemas.TRAINING_STEPS).filter(F.col("step") % a.eval_every == 0)
+    each = metrics.evaluated(rows, "direction", "seed", "step")
+    point = F.struct("step", F.round("acc_flipbest", 4).alias("transfer_flip"))
+    sinks.append_records(each.groupBy("direction", "seed").agg(F.sort_array(F.collect_list(point)).alias("trajectory")), f"{a.out}/dynamics", ["direction", "seed"])
+
+
+def _states(spark: SparkSession, a: argparse.Namespace, modality: str) -> DataFrame:
+    """The first n examples of a modality in hash order, numbered by place: rows of two modalities meet by it."""
+    rows = spark.read.schema(schemas.HIDDEN_STATES).parquet(a.states).filter(F.col("modality") == modality)
+    places = sampling.shuffled_rank(rows.select("example_id").distinct(), a.seed, "example_id", name="row").filter(F.col("row") <= a.n)
+    return rows.join(places, "example_id").select("model", "layer", "row", "features")
+
+
+def cka(spark: SparkSession, a: argparse.Namespace) -> None:
+    sides = [_states(spark, a, m) for m in a.modalities.split(",")]
+    found = represent.layer_similarity(*sides, a.seed)
+    values = F.struct(F.round("cka", 4).alias("cka"), F.round("cka_shuffled", 4).alias("cka_shuffled"))
+    layers = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("layer").cast("string"), values))))
+    sinks.append_records(found.groupBy("model").agg(layers.alias("per_layer")), f"{a.out}/cka", ["model"])
+
+
+def _selected(spark: SparkSession, a: argparse.Namespace, last_query: bool) -> DataFrame:
+    """Selectivity of heads; differing places come from the pairs' tokens, pairs without a usable difference are left out."""
+    pairs = spark.read.schema("pair_id bigint, modality string, a array<string>, b array<string>").parquet(a.token_pairs)
+    pairs = sampling.shuffled_rank(pairs, 0, "pair_id").filter(F.col("rank") <= a.n)
+    diff = pairs.select("pair_id", "modality", diff_positions(F.col("a"), F.col("b")).alias("diff"), F.least(F.size("a"), F.size("b")).alias("length"))
+    diff = diff.filter((F.size("diff") > 0) & (F.size("diff") < F.col("length")))
+    return represent.selectivity(spark.read.schema(schemas.ATTENTION).parquet(a.attention), diff, last_query)
+
+
+def heads(spark: SparkSession, a: argparse.Namespace) -> None:
+    found = _selected(spark, a, last_query=True)
+    top = stats.top_within(found, "score", ["layer", "head"], ["model", "modality"])
+    sinks.append_records(top.join(found.groupBy("model", "modality").agg(F.max("n_pairs").alias("n_pairs"), F.max("score").alias("max_diff_attn"), F.avg("score").alias("mean_diff_attn")), ["model", "modality"]), f"{a.out}/heads", ["model", "modality"])
+
+
+def selectivity(spark: SparkSession, a: argparse.Namespace) -> None:
+    found = stats.z_of_max(_selected(spark, a, last_query=False), "score", ["layer", "head"], "model", "modality")
+    sinks.append_records(found.select("model", "modality", F.round("max", 4).alias("max"), F.round("z", 2).alias("z_of_max"), F.round("mean", 5).alias("mean_over_heads"), F.array("at_layer", "at_head").alias("max_head")), f"{a.out}/selectivity", ["model", "modality"])
+
+
+def probe(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Cross-validated accuracy of each model's layers; labels come as a table (example_id, label)."""
+    states = spark.read.schema(schemas.HIDDEN_STATES).parquet(a.states)
+    rows = states.join(spark.read.schema("example_id bigint, label int").parquet(a.labels), "example_id")
+    rows = rows.join(sampling.shuffled_rank(rows.select("example_id").distinct(), a.seed, "example_id").filter(F.col("rank") <= a.n), "example_id")
+    found = []
+    for model, layer in sorted(map(tuple, rows.select("model", "layer").distinct().collect())):  # a few dozen
+        own = rows.filter((F.col("model") == model) & (F.col("layer") == layer))
+        found.append(represent.probe_accuracy(own, "features", "label", a.seed, "example_id").agg(F.lit(model).alias("base"), F.lit(layer).alias("layer"), F.round(F.avg("accuracy"), 4).alias("accuracy")).first())
+    each = spark.createDataFrame(found, "base string, layer int, accuracy double")
+    layers = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("layer").cast("string"), "accuracy"))))
+    best = F.max(F.struct("accuracy", -F.col("layer")))
+    out = each.groupBy("base").agg(layers.alias("per_layer"), F.max_by("accuracy", "layer").alias("probe_acc_last"), best.alias("best"))
+    sinks.append_records(out.select("base", F.lit(a.seed).alias("seed"), (-F.col("best.col2")).alias("best_layer"), "probe_acc_last", F.col("best.accuracy").alias("probe_acc_best"), "per_layer"), f"{a.out}/probe", ["base", "seed"])
+
+
 def build_report(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.write_summary(reports.summary(spark, a.records), a.out)
+    sinks.write_summary(reports.summary(spark, a.records, a.mechanism), a.out)
+
+
+#: What each command runs, and what it reads besides the experiments' settings.
+COMMANDS = {
+    "corpus": (build_corpora, ("fasta", "texts")),
+    "dyck": (build_dyck, ()),
+    "longrange": (build_longrange, ()),
+    "pretraining": (build_blocks, ("corpus",)),
+    "pilot": (build_splits, ("pairs",)),
+    "distribution": (build_splits, ("pairs",)),
+    "backbone": (build_splits, ("pairs",)),
+    "bidirectional": (build_splits, ("pairs",)),
+    "remote": (build_mixture, ("pairs", "remote_pairs")),
+    "structural": (build_fractions, ("data",)),
+    "forward": (build_sample, ("pairs",)),
+    "evaluate": (evaluate, ("predictions",)),
+    "dynamics": (dynamics, ("predictions",)),
+    "cka": (cka, ("states",)),
+    "probe": (probe, ("states", "labels")),
+    "heads": (heads, ("attention", "token_pairs")),
+    "selectivity": (selectivity, ("attention", "token_pairs")),
+    "report": (build_report, ("records", "mechanism")),
+}
+_MORE = {"seed": 0, "n_test": N_TEST, "tokenizer": "words", "modalities": "NL,protein"}
 
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="strandlab", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, run in (("corpus", build_corpora), ("dyck", build_dyck), ("longrange", build_longrange), ("report", build_report)):
+    for name, (run, inputs) in COMMANDS.items():
         own = commands.add_parser(name)
         own.set_defaults(run=run)
         own.add_argument("--out", required=True)
-        for option, value in DEFAULTS.get(name, {}).items():
+        for option, value in (_MORE | DEFAULTS.get(name, {})).items():
             own.add_argument(f"--{option}", type=type(value), default=value)
-        for option in {"corpus": ("fasta", "texts"), "report": ("records",)}.get(name, ()):
+        for option in inputs:
             own.add_argument(f"--{option}")
     parsed = parser.parse_args(args)
-    parsed.run(session(), parsed)
+    spark = session()
+    parsed.run(spark, parsed)
+    if parsed.command != "report":
+        settings = json.dumps({k: v for k, v in vars(parsed).items() if k != "run"}, sort_keys=True)
+        sinks.overwrite_document(spark.sql("select 1").select(F.from_json(F.lit(settings), F.schema_of_json(F.lit(settings))).alias("s")).select("s.*"), f"{parsed.out}/settings_{parsed.command}")
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Task:
-    """Where a task's rows come from, its columns, and the metric that is reported."""
+    """Where a task's rows come from, its columns, and the metric that is reported. Local tasks are made by this engine."""
 
     source: str
     columns: tuple[str, str | None]
@@ -16,10 +16,13 @@ class Task:
     metric: str = "accuracy"
 
 
+#: The tasks that records name.
 TASKS = {
-    "paws-x": Task("paws-x/en", ("sentence1", "sentence2"), "train", "test"),
+    "paws-x": Task("paws-x/en", ("sentence1", "sentence2"), "train", "validation"),
     "cola": Task("glue/cola", ("sentence", None), "train", "validation", "mcc"),
     "rte": Task("glue/rte", ("sentence1", "sentence2"), "train", "validation"),
+    **{f"longrange_d{d}": Task(f"longrange_d{d}", ("sentence", None), "train", "val") for d in (8, 16, 24)},
+    **{f"dyck_L{n}_t3": Task(f"dyck_L{n}_t3", ("sentence", None), "train", "val") for n in (40, 60)},
 }
 
 #: The settings that records were made with.

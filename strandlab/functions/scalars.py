@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,36 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
 
 
+def tokenizer(name: str = "words") -> Callable[[Column], Column]:
+    """text -> its tokens: words (between white space), letters, words_and_marks (letters or digits, and each other sign),
+    or the pieces of a local SentencePiece file, whose path ends in .model."""
+    if name.endswith(".model"):
+        return lambda text: _pieces(name)(text)
+    patterns = {"words": r"\S+", "words_and_marks": r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"}
+    if name == "letters":
+        return letters
+    if name not in patterns:
+        raise ValueError(f"unknown tokenizer {name!r}")
+    return lambda text: F.regexp_extract_all(text, F.lit(patterns[name]), F.lit(0))
+
+
+def _pieces(path: str):
+    """Arrow batches through the library: no built-in function encodes."""
+    import pandas as pd
+
+    loaded = []
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        import sentencepiece
+
+        if not loaded:
+            loaded.append(sentencepiece.SentencePieceProcessor(model_file=path))
+        return texts.map(lambda t: None if t is None else loaded[0].encode(t, out_type=str))
+
+    return pieces
+
+
 def diff_positions(a: Column, b: Column) -> Column:
     """Places, from 0, where two token arrays differ, as far as the shorter one goes."""
     n = F.least(F.size(a), F.size(b))

@@ -23,15 +23,38 @@ def capped(rows: DataFrame, order: list[str], bucket: Column, tokens: Column, ta
 def packed(rows: DataFrame, batch: Column, order: list[str], tokens: str, size: int) -> DataFrame:
     """Blocks of exactly size tokens from the token arrays of each batch put end to end; each batch's rest is dropped.
 
-    A batch is a bounded number of rows, as in a batched map. batch, block and block_tokens come out.
+    A batch is a bounded number of rows, as in a batched map. batch, block and block_tokens come out. Each row is cut at
+    the blocks' bounds, so a slice travels for each row and block, and no token by itself.
     """
     rows = rows.withColumn("batch", batch)
     n = F.size(tokens)
     earlier = Window.partitionBy("batch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__at", F.coalesce(F.sum(n).over(earlier), F.lit(0)))
-    each = rows.select("batch", "__at", F.posexplode(tokens).alias("__i", "__t")).withColumn("__p", F.col("__at") + F.col("__i"))
-    blocks = each.groupBy("batch", F.floor(F.col("__p") / size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("__p", "__t"))).alias("__x"))
-    return blocks.filter(F.size("__x") == size).select("batch", "block", F.transform("__x", lambda x: x["__t"]).alias("block_tokens"))
+    first, last = F.floor(F.col("__at") / size), F.floor((F.col("__at") + n - 1) / size)
+    each = rows.filter(n > 0).select("batch", "__at", F.col(tokens).alias("__t"), F.explode(F.sequence(first, last)).alias("block"))
+    low = F.greatest(F.lit(0), F.col("block") * size - F.col("__at")).cast("int")
+    high = F.least(F.size("__t"), ((F.col("block") + 1) * size - F.col("__at")).cast("int"))
+    parts = each.select("batch", "block", (F.col("__at") + low).alias("__p"), F.slice("__t", low + 1, high - low).alias("__x"))
+    blocks = parts.groupBy("batch", "block").agg(F.sum(F.size("__x")).alias("__n"), F.sort_array(F.collect_list(F.struct("__p", "__x"))).alias("__y"))
+    return blocks.filter(F.col("__n") == size).select("batch", "block", F.flatten(F.transform("__y", lambda y: y["__x"])).alias("block_tokens"))
+
+
+def mapped(rows: DataFrame, batch_rows, schema: str) -> DataFrame:
+    """Rows made by batch_rows(pandas frame) -> pandas frame, for what built-in functions can't say; any number of rows
+    may come out of a batch. Batches follow Spark's Arrow batches, so batch_rows must not depend on where they are cut."""
+    return rows.mapInPandas(lambda frames: map(batch_rows, frames), schema)
+
+
+def truncated_pair(a: Column, b: Column, length: int) -> tuple[Column, Column]:
+    """Two token arrays cut to `length` tokens together, always taking from the longer one; of equals from the second."""
+    m, n = F.size(a), F.size(b)
+    over = F.greatest(F.lit(0), m + n - length)
+    # Cutting the longer first brings both to the same size before the shorter one loses anything.
+    only = F.least(over, F.abs(m - n))
+    rest = over - only
+    from_a = F.when(m > n, only).otherwise(0) + F.floor(rest / 2).cast("int")
+    from_b = F.when(m > n, 0).otherwise(only) + F.ceil(rest / 2).cast("int")
+    return F.slice(a, 1, m - from_a), F.slice(b, 1, n - from_b)
 
 
 def padded(tokens: Column, length: int, pad: Column) -> tuple[Column, Column]:

@@ -2,36 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlab.operators.sampling import hash_key, placed
 
 
-def linear_cka(x: DataFrame, y: DataFrame, row: str = "row", features: str = "features") -> DataFrame:
-    """cka of two feature tables with rows matched by `row`.
+def _centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = x.mean(0)
+    return x - mean, mean
+
+
+def _grams(keys: list[str]):
+    """For each run of rows with equal keys the rows of its three Gram matrices, centred about the run's own means, with
+    what is needed to centre them about all rows' means later: the means and the number of rows."""
+
+    def matrices(own: pa.Table) -> Iterator[pa.RecordBatch]:
+        sides = {n: np.array(own.column(n).to_pylist(), float).reshape(len(own), -1) for n in "xy"}
+        centred = {n: _centred(m) for n, m in sides.items()}
+        for side in ("xy", "xx", "yy"):
+            (p, mp), (q, mq) = centred[side[0]], centred[side[1]]
+            gram = p.T @ q
+            rows = np.concatenate([gram, np.broadcast_to(mq, gram.shape), mp[:, None], np.full((len(gram), 1), len(own))], 1)
+            yield pa.RecordBatch.from_arrays([*(pa.array(own.column(k).to_pylist()[:1] * len(gram), own.schema.field(k).type) for k in keys), pa.array([side] * len(gram)), pa.array(np.arange(len(gram)), pa.int32()), pa.array(list(rows), pa.list_(pa.float64()))], [*keys, "side", "i", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(batch)
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)] if len(batch) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from matrices(pa.Table.from_batches([batch.slice(a, b - a)]))
+
+    return run
+
 
-    Each pair of rows gives its outer products to partial sums by coordinate pair, so only sums are shuffled: centred
-    Gram entries follow from sums of products and of coordinates. Rows' own order and placement don't matter.
+def _norms(keys: list[str]):
+    """The squared norm of one row of a Gram matrix over all runs' parts, by the pairwise update of co-moments."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = np.array(table.column("part").to_pylist(), float)
+        d = (parts.shape[1] - 2) // 2
+        gram, mq, mp, n = parts[:, :d], parts[:, d : 2 * d], parts[:, -2:-1], parts[:, -1:]
+        total = n.sum()
+        whole = gram.sum(0) + (n * (mp - (n * mp).sum() / total) * (mq - (n * mq).sum(0) / total)).sum(0)
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "side": table.column("side").slice(0, 1), "norm": pa.array([float(whole @ whole)])})
+
+    return run
+
+
+def linear_cka(x: DataFrame, y: DataFrame, row: str = "row", features: str = "features", keys: tuple[str, ...] = ()) -> DataFrame:
+    """cka of two feature tables with rows matched by `row`, for each combination of `keys` (model, layer).
+
+    Each task adds its rows up to partial Gram matrices, of which only rows are shuffled: a matrix never meets in one
+    task, and no row stands for a product. Parts are centred where they are made, so large means cost no digits.
     """
-    both = x.select(row, F.col(features).alias("x")).join(y.select(row, F.col(features).alias("y")), row)
-    both = both.select(F.transform("x", lambda v: v.cast("double")).alias("x"), F.transform("y", lambda v: v.cast("double")).alias("y"))
-    sides = [("xy", "x", "y"), ("xx", "x", "x"), ("yy", "y", "y")]
-    parts = None
-    for name, a, b in sides:
-        own = both.select(F.lit(name).alias("side"), F.col(b).alias("b"), F.posexplode(a).alias("i", "u")).select("side", "i", "u", F.posexplode("b").alias("j", "v"))
-        parts = own if parts is None else parts.unionByName(own)
-    gram = parts.groupBy("side", "i", "j").agg((F.sum(F.col("u") * F.col("v")) - F.sum("u") * F.sum("v") / F.count("*")).alias("g"))
-    norm = gram.groupBy().agg(*(F.sum(F.when(F.col("side") == s, F.col("g") * F.col("g"))).alias(s) for s, _, _ in sides))
-    return norm.select((F.col("xy") / (F.sqrt("xx") * F.sqrt("yy") + 1e-12)).alias("cka"))
+    on = [*keys, row]
+    both = x.select(*on, F.col(features).alias("x")).join(y.select(*on, F.col(features).alias("y")), on)
+    both = both.select(*keys, F.transform("x", lambda v: v.cast("double")).alias("x"), F.transform("y", lambda v: v.cast("double")).alias("y"))
+    both = both.sortWithinPartitions(*keys) if keys else both
+    own = [both.schema[k] for k in keys]
+    part = T.StructType([*own, T.StructField("side", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("part", T.ArrayType(T.DoubleType()))])
+    norms = both.mapInArrow(_grams(list(keys)), part).groupBy(*keys, "side", "i").applyInArrow(_norms(list(keys)), T.StructType([*own, T.StructField("side", T.StringType()), T.StructField("norm", T.DoubleType())]))
+    sums = norms.groupBy(*keys).agg(*(F.sum(F.when(F.col("side") == s, F.col("norm"))).alias(s) for s in ("xy", "xx", "yy")))
+    return sums.select(*keys, (F.col("xy") / (F.sqrt("xx") * F.sqrt("yy") + 1e-12)).alias("cka"))
 
 
 def permuted(table: DataFrame, row: str, seed: int) -> DataFrame:
-    """The table with its rows dealt anew: the row at each place gets the id found there in hash order."""
+    """The table with its rows dealt anew: the row at each place gets the id found there in hash order; rows that share
+    an id (of several layers or models) move together."""
     from strandlab.operators.sampling import shuffled_rank
 
-    ids = placed(table.select(row), row).withColumnRenamed(row, "__to")
-    return shuffled_rank(table, seed, row, name="place").drop(row).join(ids, "place").withColumnRenamed("__to", row).drop("place")
+    ids = table.select(row).distinct()
+    to = placed(ids, row).withColumnRenamed(row, "__to")
+    moved = shuffled_rank(ids, seed, row, name="place").join(to, "place").drop("place")
+    return table.join(moved, row).drop(row).withColumnRenamed("__to", row)
+
+
+def layer_similarity(x: DataFrame, y: DataFrame, seed: int, row: str = "row", features: str = "features", keys: tuple[str, ...] = ("model", "layer")) -> DataFrame:
+    """keys, cka and cka_shuffled, its floor: the same with y's rows dealt anew."""
+    floor = linear_cka(x, permuted(y, row, seed), row, features, keys).withColumnRenamed("cka", "cka_shuffled")
+    return linear_cka(x, y, row, features, keys).join(floor, list(keys))
 
 
 def selectivity(attention: DataFrame, diff: DataFrame, last_query: bool = False) -> DataFrame:
@@ -56,19 +111,21 @@ def stratified_folds(rows: DataFrame, label: str, seed: int, *ids: str, folds: i
 
 
 def probe_accuracy(rows: DataFrame, features: str, label: str, seed: int, *ids: str, folds: int = 5, c: float = 1.0, steps: int = 1000) -> DataFrame:
-    """fold and accuracy of a logistic probe on frozen features, each fold predicted by the others' fit.
+    """fold, accuracy and n of a logistic probe on frozen features, each fold predicted by the others' fit.
 
-    The regression minimises c * loss + |w|^2 / 2, which is regParam = 1 / (c * n) here.
+    All folds are fitted when this is called; a row for each fold comes out. The regression minimises c * loss + |w|^2 / 2, which is regParam = 1 / (c * n) here.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     rows = stratified_folds(rows, label, seed, *ids, folds=folds)
-    rows = rows.select("fold", F.col(label).cast("double").alias("label"), array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"))
-    out = None
+    rows = rows.select("fold", F.col(label).cast("double").alias("label"), array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features")).persist()
+    found = []
     for k in range(folds):
         train = rows.filter(F.col("fold") != k)
         model = LogisticRegression(maxIter=steps, regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False).fit(train)
-        own = model.transform(rows.filter(F.col("fold") == k)).agg(F.lit(k).alias("fold"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
-        out = own if out is None else out.unionByName(own)
-    return out
+        own = model.transform(rows.filter(F.col("fold") == k)).agg(F.avg((F.col("prediction") == F.col("label")).cast("int")), F.count("*")).first()
+        found.append((k, own[0], own[1]))
+    spark = rows.sparkSession
+    rows.unpersist()
+    return spark.createDataFrame(found, "fold int, accuracy double, n long")

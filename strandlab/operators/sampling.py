@@ -13,8 +13,8 @@ def hash_key(seed: int, *ids: str) -> Column:
 def bucketed_sum(rows: DataFrame, value: Column, bucket: Column, order: list[Column | str], before: bool = False, name: str = "running") -> DataFrame:
     """Running sum of value over the whole table in the given order, without bringing the table to one task.
 
-    bucket must ascend with the order. Sums of buckets are added up first (one small row each), rows only within
-    their bucket. before: without the row's own value.
+    bucket must ascend with the order; a null bucket comes first, as nulls do in the order. Sums of buckets are added up
+    first (one small row each), rows only within their bucket. before: without the row's own value.
     """
     rows = rows.withColumns({"__b": bucket, "__v": value})
     sums = rows.groupBy("__b").agg(F.sum("__v").alias("__s"))
@@ -22,11 +22,13 @@ def bucketed_sum(rows: DataFrame, value: Column, bucket: Column, order: list[Col
     sums = sums.withColumn("__base", F.coalesce(F.sum("__s").over(earlier), F.lit(0))).drop("__s")
     inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     total = F.col("__base") + F.coalesce(F.sum("__v").over(inside), F.lit(0))
-    return rows.join(sums, "__b").withColumn(name, total).drop("__b", "__v", "__base")
+    sums = sums.withColumnRenamed("__b", "__of")
+    return rows.join(sums, F.col("__b").eqNullSafe(F.col("__of"))).withColumn(name, total).drop("__b", "__v", "__base", "__of")
 
 
-def shuffled_rank(rows: DataFrame, seed: int, *ids: str, digits: int = 2, name: str = "rank") -> DataFrame:
-    """Each row's place in the shuffled order, from 1. 16^digits buckets."""
+def shuffled_rank(rows: DataFrame, seed: int, *ids: str, digits: int = 4, name: str = "rank") -> DataFrame:
+    """Each row's place in the shuffled order, from 1. 16^digits buckets: more than small tables have rows, and a million
+    and a half rows each of a hundred billion."""
     rows = rows.withColumn("__h", hash_key(seed, *ids))
     return bucketed_sum(rows, F.lit(1), F.substring("__h", 1, digits), ["__h", *ids], name=name).drop("__h")
 
@@ -48,6 +50,12 @@ def balanced(rows: DataFrame, seed: int, n: int, *ids: str, label: str = "label"
     return parts[0].unionByName(parts[1])
 
 
+def placed_mixture(remote: DataFrame, standard: DataFrame, seed: int, n: int, share: float, *ids: str, label: str = "label") -> DataFrame:
+    """mixture, with place: the position in one last shuffle over both parts, from 1."""
+    rows = mixture(remote, standard, seed, n, share, *ids, label=label)
+    return shuffled_rank(rows, seed, "part", *ids, name="place")
+
+
 def mixture(remote: DataFrame, standard: DataFrame, seed: int, n: int, share: float, *ids: str, label: str = "label") -> DataFrame:
     """A balanced sample of n rows, share of them remote; the standard part draws with the next seed. part names the origin."""
     of_remote = round(n * share)
@@ -59,14 +67,10 @@ def fraction(rows: DataFrame, seed: int, share: float, *ids: str, least: int = 6
     """max(least, floor(n * share)) rows; all for a share of one or more."""
     if share >= 1:
         return rows
-    return shuffled_head(rows, seed, max(least, int(rows.count() * share)), *ids)
+    most = F.greatest(F.lit(least), F.floor(rows.agg(F.count("*") * share).scalar()))
+    return shuffled_rank(rows, seed, *ids, name="__rank").filter(F.col("__rank") <= most).drop("__rank")
 
 
 def placed(rows: DataFrame, key: str, width: int = 100_000) -> DataFrame:
     """rows with place: the position in the order of an integer key, from 1; width keys make a bucket."""
     return bucketed_sum(rows, F.lit(1), F.floor(F.col(key) / width), [key], name="place")
-
-
-def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Rows of both at the same place in the order of key, as far as the shorter one goes."""
-    return placed(left, key).join(placed(right, key).drop(key), "place")

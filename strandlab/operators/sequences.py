@@ -21,12 +21,13 @@ def frequencies(sequences: DataFrame, seq: str = "seq", alphabet: str = RESIDUES
 
     With `most` only the first sequences of the shuffled order count.
     """
-    spark = sequences.sparkSession
     if most:
         sequences = shuffled_head(sequences, seed, most, key)
-    counts = sequences.select(F.explode(letters(F.col(seq))).alias("residue")).groupBy("residue").agg(F.count("*").alias("n"))
-    names = spark.createDataFrame([(c,) for c in alphabet], "residue string")
-    out = names.join(counts, "residue", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    # A letter's number is what the text loses without it: a sum for each letter in one pass, and no row for a character.
+    lost = [(F.length(seq) - F.length(F.translate(F.col(seq), c, ""))).cast("long") for c in alphabet]
+    sums = sequences.agg(*(F.sum(x).alias(f"n{k}") for k, x in enumerate(lost)))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("residue"), F.col(f"n{k}").alias("n")) for k, c in enumerate(alphabet)))).alias("x")
+    out = sums.select(each).select("x.residue", F.when(F.col("x.n") > 0, F.col("x.n")).otherwise(1).alias("n"))
     return out.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 

@@ -26,17 +26,20 @@ def bracket_word(key: Column, length: int, n_types: int, seed: int) -> Column:
     """A balanced word of exactly `length` tokens (even): opens while nothing is open, or by a coin if there is room to close all."""
     opening, closing = [b[0] for b in BRACKETS[:n_types]], [b[1] for b in BRACKETS[:n_types]]
     partner = F.create_map(*(F.lit(x) for pair in zip(opening, closing, strict=True) for x in pair))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("stack"))
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("stack"))
+    u = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
     def step(state: Column, i: Column) -> Column:
         out, stack = state["out"], state["stack"]
         room = length - i > F.length(stack)
-        close = (stack != "") & (~room | (_u(seed, key, "coin", i) < 0.5))
-        new = pick(opening, _u(seed, key, "type", i))
+        close = (stack != "") & (~room | (u(draws[i], 1) < 0.5))
+        new = pick(opening, u(draws[i], 9))
         token = F.when(close, partner[F.substring(stack, 1, 1)]).otherwise(new)
-        return F.struct(F.concat(out, F.array(token)).alias("out"), F.when(close, F.substring(stack, 2, length)).otherwise(F.concat(new, stack)).alias("stack"))
+        return F.struct(F.concat(out, token).alias("out"), F.when(close, F.substring(stack, 2, length)).otherwise(F.concat(new, stack)).alias("stack"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), start, step)["out"]
+    # One md5 a step: its first eight digits are the coin, the next the type.
+    draws = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit("step"), i.cast("string"))))
+    return F.split(F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), start, step)["out"], "")
 
 
 def corrupted(word: Column, key: Column, n_types: int, seed: int) -> Column:

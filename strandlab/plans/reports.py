@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlab.functions.scalars import fixed, signed
@@ -69,6 +69,12 @@ def scaling(rows: DataFrame, task: str = "paws-x") -> DataFrame:
     return own.join(F.broadcast(models(rows.sparkSession)), "model").select("family", "model", "params", "mean", "std", "n")
 
 
+def scaling_ladders(rows: DataFrame, task: str = "paws-x") -> DataFrame:
+    """scaling, with each model's place in its family by size: the order of figure 3."""
+    order = Window.partitionBy("family").orderBy("params")
+    return scaling(rows, task).withColumn("place", F.row_number().over(order))
+
+
 def sentence_tasks(rows: DataFrame, names: tuple[str, ...] = ("esm2_8M", "bert_small")) -> DataFrame:
     """T6: task and the models' mean scores."""
     return rows.groupBy("task").pivot("model", list(names)).agg(F.avg("score"))
@@ -86,6 +92,12 @@ def dynamics_ends(rows: DataFrame) -> DataFrame:
     return rows.groupBy("direction").agg(F.avg(F.element_at("trajectory", 1)["transfer_flip"]).alias("start"), F.avg(F.element_at("trajectory", -1)["transfer_flip"]).alias("end"))
 
 
+def selectivity_heads(rows: DataFrame) -> DataFrame:
+    """T8: model, modality, the largest selectivity, its z-score and its head, as recorded."""
+    head = F.concat(F.lit("L"), F.col("max_head")[0], F.lit("H"), F.col("max_head")[1])
+    return rows.select("model", "modality", "max", F.col("z_of_max").alias("z"), head.alias("head"))
+
+
 def dynamics_curve(rows: DataFrame) -> DataFrame:
     """Points of figure 2."""
     return stats.curve(rows)
@@ -114,30 +126,58 @@ def distribution(rows: DataFrame, metric: str = "acc_flipbest", base: str = "bas
 
 
 def top_seeds(rows: DataFrame, metric: str = "acc_flipbest", transfer: str = "transfer_pawsx_test", k: int = 5) -> DataFrame:
-    return stats.top(rows.select("seed", F.col(f"{transfer}.{metric}").alias("transfer")), "transfer", "seed", k)
+    own = {"transfer": f"{transfer}.{metric}", "baseline": f"baseline_pawsx_test.{metric}", "indomain": "protein_indomain.acc_raw"}
+    return stats.top(rows.select("seed", *(F.col(c).alias(n) for n, c in own.items())), "transfer", "seed", k)
 
 
-def summary(spark: SparkSession, folder: str) -> DataFrame:
-    """(line_no, text): headings and formatted rows of the tables whose records are there."""
-    parts = []
-
-    def add(title: str, table: DataFrame, text) -> None:
-        parts.append(spark.createDataFrame([(len(parts) * 1000, title)], "line_no int, text string"))
-        parts.append(table.select((F.lit(len(parts) * 1000) + F.row_number().over(_by(table))).alias("line_no"), text.alias("text")))
+#: The files of records that a summary reads, with their kinds.
+FILES = {
+    "bidirectional_symmetry": "bidirectional",
+    "tier1_distribution": "backbone",
+    "exp2_structural_nl_gpt2_124M": "structural",
+    "exp2_structural_nl": "structural",
+    "esm_on_nl": "sentence_tasks",
+    "crossmodal_2x2": "crossmodal",
+    "M2_learning_dynamics": "dynamics",
+    "M3c_rigorous": "selectivity",
+}
 
-    load = lambda name, kind: records(spark, f"{folder}/{name}.jsonl", kind)
-    spread = F.concat(fixed(F.col("mean")), F.lit(" ± "), fixed(F.col("std")))
-    add("Transfer by direction", symmetry(load("bidirectional_symmetry", "bidirectional")), F.concat_ws(" ", "direction", spread, F.concat(F.lit("n="), F.col("n"))))
-    contrast = ablation(load("exp2_structural_nl_gpt2_124M", "structural"))
-    add("Pretraining ablation", contrast, F.concat_ws(" ", F.col("frac").cast("string"), *(F.concat(F.lit(f"{g}="), fixed(F.col(g))) for g in GROUPS), signed(F.col("structure")), signed(F.col("biology"))))
-    sentences = load("esm_on_nl", "sentence_tasks").cache()
-    add("Cross-modal matrix", crossmodal(sentences, load("crossmodal_2x2", "crossmodal")), F.concat_ws(" ", "model", "pretrain", fixed(F.col("protein")), fixed(F.col("language"))))
-    add("Scaling", scaling(sentences), F.concat_ws(" ", "family", "model", F.concat(F.col("params"), F.lit("M")), spread))
-    add("Sentence tasks", sentence_tasks(sentences), F.concat_ws(" ", "task", fixed(F.col("esm2_8M")), fixed(F.col("bert_small"))))
-    return reduce(DataFrame.unionByName, parts)
 
+def summary(spark: SparkSession, folder: str, mechanism: str | None = None) -> DataFrame:
+    """(line_no, text): headings and formatted rows of T1 to T9, as far as their records are there.
 
-def _by(table: DataFrame):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*table.columns[:2])
+    mechanism: the folder of the records of T8, if it is another one. Records of a run are few (thousands at most): each
+    table is a few rows, which are numbered in order.
+    """
+    parts = []
+    load = lambda name: records(spark, f"{mechanism or folder}/{name}.jsonl" if name.startswith("M") else f"{folder}/{name}.jsonl", FILES[name])
+    text = lambda *columns: F.concat_ws(" ", *columns)
+    told = lambda label, column: F.concat(F.lit(f"{label}="), fixed(F.col(column)))
+    spread = lambda mean="mean", std="std": F.concat(fixed(F.col(mean)), F.lit(" ± "), fixed(F.col(std)))
+
+    def add(title: str, table: DataFrame, line) -> None:
+        if table.isEmpty():
+            return
+        at = 1000 * len(parts)
+        head = spark.createDataFrame([(at, title)], "line_no int, text string")
+        parts.append(head.unionByName(table.select((F.lit(at) + F.row_number().over(Window.orderBy(*table.columns[:2]))).alias("line_no"), line.alias("text"))))
+
+    add("Transfer by direction", symmetry(load("bidirectional_symmetry")), text("direction", spread(), F.concat(F.lit("n="), F.col("n"))))
+    runs = load("tier1_distribution")
+    reverse = reverse_distribution(runs).filter("n > 0")
+    add("Reverse transfer over seeds", reverse, text(F.lit("indomain"), spread("indomain_mean", "indomain_std"), F.lit("transfer"), spread("transfer_mean", "transfer_std"), F.lit("baseline"), spread("baseline_mean", "baseline_std"), F.concat(F.lit("above="), F.col("above"), F.lit("/"), F.col("n"))))
+    for size, rows in (("124M", load("exp2_structural_nl_gpt2_124M")), ("355M", load("exp2_structural_nl").filter("base = 'gpt2-medium'"))):
+        add(f"Pretraining ablation {size}", ablation(rows), text(F.col("frac").cast("string"), *(told(g, g) for g in GROUPS), signed(F.col("structure")), signed(F.col("biology"))))
+    sentences = load("esm_on_nl")
+    matrix = crossmodal(sentences, load("crossmodal_2x2")).filter("protein is not null or language is not null")
+    add("Cross-modal matrix", matrix, text("model", "pretrain", fixed(F.col("protein")), fixed(F.col("language"))))
+    add("Off-domain drop", off_domain_drop(matrix).filter("language_drop is not null and protein_drop is not null"), text(F.lit("language"), signed(F.col("language_drop")), F.lit("protein"), signed(F.col("protein_drop"))))
+    add("Scaling", scaling_ladders(sentences).select("family", "params", "model", "mean", "std"), text("family", "model", F.concat(F.col("params"), F.lit("M")), spread()))
+    add("Sentence tasks", sentence_tasks(sentences), text("task", told("esm2_8M", "esm2_8M"), told("bert_small", "bert_small")))
+    add("Bracket tasks", bracket_results(load("exp2_structural_nl")), text("base", "task", told("protein", "protein"), told("shuffled", "shuffled"), told("text", "text"), signed(F.col("structure"))))
+    add("Learning dynamics", dynamics_ends(load("M2_learning_dynamics")), text("direction", fixed(F.col("start")), F.lit("->"), fixed(F.col("end"))))
+    add("Selectivity of heads", selectivity_heads(load("M3c_rigorous")), text("model", "modality", F.concat(F.lit("max="), F.col("max")), F.concat(F.lit("z="), F.col("z")), "head"))
+    if not runs.isEmpty():
+        add("Distribution of transfer", distribution(runs), text("what", *(told(c, c) for c in ("mean", "std", "min", "p25", "median", "p75", "max"))))
+        add("Best seeds", top_seeds(runs).select(-F.col("transfer"), "seed", "transfer", "baseline"), text(F.col("seed").cast("string"), fixed(F.col("transfer")), fixed(F.col("baseline"))))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "line_no int, text string")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import scalars
 from strandlab.operators import corpus, metrics, represent, sampling, sequences, stats, tasks
+from strandlab.plans import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,7 +78,7 @@ def pilot_flip_guard(spark, sf_dir):
 
 @query(f"""with {_P}, r as (select lang, label, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2.0 as r from p),
 a as (select lang, sum(r) filter (where label = 1) as s, count(*) filter (where label = 1) as n1, count(*) filter (where label = 0) as n0 from r group by lang)
-select lang, round((s - n1 * (n1 + 1) / 2.0) / (n1 * n0)::double, 6) as auc, round(greatest((s - n1 * (n1 + 1) / 2.0) / (n1 * n0)::double, 1 - (s - n1 * (n1 + 1) / 2.0) / (n1 * n0)::double), 6) as auc_flipbest from a""")
+select lang, round((s - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0)::double, 6) as auc, round(greatest((s - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0)::double, 1 - (s - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0)::double), 6) as auc_flipbest from a""")
 def auc_midrank(spark, sf_dir):
     out = metrics.auc(_scored(spark, sf_dir), "score", "lang")
     return out.select("lang", F.round("auc", 6).alias("auc"), F.round("auc_flipbest", 6).alias("auc_flipbest"))
@@ -105,7 +106,7 @@ def paired_diff_tail(spark, sf_dir):
 
 
 @query(f"""with {_D}, r as (select row_number() over (order by user_id) as place, difference from e), k as (select count(*) as n from r),
-i as (select b, i, n from k, range(200) x(b), range(100000) y(i) where i < n),
+i as (select b, n, unnest(range(n)) as i from k, range(5000) x(b)),
 m as (select b, avg(difference) as m from (select b, ('0x' || substr(md5('7:' || b || ':' || i), 1, 8))::bigint % n + 1 as place from i) t join r using (place) group by b)
 select round(quantile_cont(m, 0.025), 4) as low, round(quantile_cont(m, 0.975), 4) as high, count(*) as draws from m""")
 def bootstrap_ci(spark, sf_dir):
@@ -150,20 +151,19 @@ def top_within(spark, sf_dir):
 
 
 def _trajectories(spark, sf_dir):
-    """Runs: event types as directions, three seeds by user, a point for each day."""
+    """Runs: event types as directions, three seeds by user, a point for each day. Points have four places, so that half
+    the difference of two has five, and no rounding to six places meets a tie."""
     e = _t(spark, sf_dir, "events")
-    points = e.groupBy(F.col("event_type").alias("direction"), F.pmod("user_id", F.lit(3)).alias("seed"), F.dayofmonth("ts").alias("step")).agg(F.round(F.avg("value"), 6).alias("transfer_flip"))
+    points = e.groupBy(F.col("event_type").alias("direction"), F.pmod("user_id", F.lit(3)).alias("seed"), F.dayofmonth("ts").alias("step")).agg(F.round(F.avg("value"), 4).alias("transfer_flip"))
     return points.groupBy("direction", "seed").agg(F.sort_array(F.collect_list(F.struct("step", "transfer_flip"))).alias("trajectory"))
 
 
-_R = "t as (select event_type as direction, user_id % 3 as seed, day(ts)::int as step, round(avg(value), 6) as v from events group by all), q as (select *, row_number() over (partition by direction, seed order by step) - 1 as pos, count(*) over (partition by direction, seed) as len from t)"
+_R = "t as (select event_type as direction, user_id % 3 as seed, day(ts)::int as step, round(avg(value), 4) as v from events group by all), q as (select *, row_number() over (partition by direction, seed order by step) - 1 as pos, count(*) over (partition by direction, seed) as len from t)"
 
 
 @query(f"with {_R} select direction, round(avg(v) filter (where pos = 0), 6) as start, round(avg(v) filter (where pos = len - 1), 6) as end from q group by direction")
 def trajectory_ends(spark, sf_dir):
-    from strandlab.plans.reports import dynamics_ends
-
-    out = dynamics_ends(_trajectories(spark, sf_dir))
+    out = reports.dynamics_ends(_trajectories(spark, sf_dir))
     return out.select("direction", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
@@ -204,12 +204,16 @@ def clean_text_corpus(spark, sf_dir):
     return corpus.clean(_t(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
-@query("""with l as (select unnest(string_split(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '')) as c from documents), k as (select c, count(*) as n from l group by c),
-a as (select unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) as residue), j as (select residue, coalesce(n, 1) as n from a left join k on c = residue)
-select residue, n, round(n / sum(n) over (), 6) as p from j""")
+_L = "l as (select unnest(string_split(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '')) as c from documents), k as (select c, count(*) as n from l group by c), a as (select unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) as residue), j as (select residue, coalesce(n, 1) as n from a left join k on c = residue)"
+
+
+def _capitals(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("seq"))
+
+
+@query(f"with {_L} select residue, n, round(n / sum(n) over (), 6) as p from j")
 def residue_freq(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("seq"))
-    return sequences.frequencies(docs).withColumn("p", F.round("p", 6))
+    return sequences.frequencies(_capitals(spark, sf_dir)).withColumn("p", F.round("p", 6))
 
 
 @query("select item_id, '<protein> ' || array_to_string(string_split(text, ''), ' ') || ' </protein>' as line from benchmark where text <> ''")
@@ -223,14 +227,15 @@ def residue_shuffle(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", sequences.shuffled(F.col("text"), 7, F.col("item_id")).alias("shuffled"))
 
 
-_STEPS = [(c, (k + 1) / len(sequences.RESIDUES)) for k, c in enumerate(sequences.RESIDUES)]
-
-
-@query("""with c as (select item_id, unnest(range(length(text))) as i from benchmark),
+@query(f"""with {_L}, f as (select residue, n / sum(n) over () as p from j), g as (select residue, sum(p) over (order by residue) as until from f),
+s as (select list(residue order by residue) as rs, list(until order by residue) as us from g),
+c as (select item_id, unnest(range(length(text))) as i from benchmark),
 u as (select item_id, i, ('0x' || substr(md5('7:' || item_id || ':' || i), 1, 8))::bigint / 4294967296.0::double as u from c)
-select item_id, string_agg(substr('ACDEFGHIKLMNPQRSTVWY', 1 + floor(u * 20)::int, 1), '' order by i) as resampled from u group by item_id""")
+select item_id, string_agg(rs[least(20, 1 + len(list_filter(us, lambda x: x <= u)))], '' order by i) as resampled from u, s group by item_id""")
 def residue_resample(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", sequences.resampled(F.length("text"), 7, F.col("item_id"), _STEPS).alias("resampled"))
+    """Letters drawn by the frequencies of all documents' letters."""
+    steps = sequences.cumulative(sequences.frequencies(_capitals(spark, sf_dir)))
+    return _t(spark, sf_dir, "benchmark").select("item_id", sequences.resampled(F.length("text"), 7, F.col("item_id"), steps).alias("resampled"))
 
 
 @query("""with r as (select doc_id, row_number() over (order by md5('7:' || doc_id), doc_id) as r from documents)
@@ -245,12 +250,13 @@ def balanced_sample(spark, sf_dir):
 
 
 @query(f"""with {_P}, a as (select example_id, label, row_number() over (partition by label order by md5('7:' || example_id), example_id) as r from p where lang = 'en'),
-b as (select example_id, label, row_number() over (partition by label order by md5('8:' || example_id), example_id) as r from p where lang <> 'en')
-select example_id, label, 'remote' as part from a where r <= 14 union all select example_id, label, 'standard' from b where r <= 6""")
+b as (select example_id, label, row_number() over (partition by label order by md5('8:' || example_id), example_id) as r from p where lang <> 'en'),
+m as (select example_id, label, 'remote' as part from a where r <= 14 union all select example_id, label, 'standard' from b where r <= 6)
+select *, row_number() over (order by md5('7:' || part || ':' || example_id), part, example_id) as place from m""")
 def mixture_sample(spark, sf_dir):
     rows = _scored(spark, sf_dir)
-    out = sampling.mixture(rows.filter("lang = 'en'"), rows.filter("lang <> 'en'"), 7, 40, 0.7, "example_id")
-    return out.select("example_id", "label", "part")
+    out = sampling.placed_mixture(rows.filter("lang = 'en'"), rows.filter("lang <> 'en'"), 7, 40, 0.7, "example_id")
+    return out.select("example_id", "label", "part", "place")
 
 
 @query(f"with {_P}, r as (select example_id, row_number() over (order by md5('7:' || example_id), example_id) as r, count(*) over () as n from p) select example_id from r where r <= greatest(64, floor(n * 0.1))")
@@ -315,13 +321,32 @@ def diff_skip_guard(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size(scalars.matched_positions(F.col("diff"), n)).alias("n_matched"), guard(n).alias("by_shorter"), guard(length).alias("by_length"), guard(length - 1).alias("by_inner"))
 
 
-@query()
+#: Words of 40 brackets of three types: a step for each row of the recursion, by the draws of the operator.
+_W = """w as (select p_partkey as id, 0 as i, '' as word, '' as stack from part
+  union all select id, i + 1, word || t, case when close then stack[2:] else t || stack end from (
+    select *, case when close then translate(stack[1], '([{', ')]}') else substr('([{', 1 + floor(v * 3)::int, 1) end as t from (
+      select *, stack <> '' and (40 - i <= length(stack) or u < 0.5) as close from (
+        select *, ('0x' || substr(h, 1, 8))::bigint / 4294967296.0::double as u, ('0x' || substr(h, 9, 8))::bigint / 4294967296.0::double as v from (
+          select *, md5('0:' || id || ':step:' || i) as h from w where i < 40))))),
+g as (select id, word from w where i = 40)"""
+
+
+@query(f"with recursive {_W} select id, array_to_string(string_split(word, ''), ' ') as sentence from g")
 def dyck_generate(spark, sf_dir):
     ids = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     return ids.select("id", F.array_join(tasks.bracket_word(F.col("id"), 40, 3, 0), " ").alias("sentence"))
 
 
-@query()
+def _drawn(*parts: str) -> str:
+    return "(('0x' || substr(md5(" + " || ':' || ".join(["'0'", "id", *parts]) + "), 1, 8))::bigint / 4294967296.0::double)"
+
+
+@query(f"""with recursive {_W},
+c as (select id, word, ({_drawn("'label'")} < 0.5)::int as label, floor({_drawn("'swap'")} * 40)::int as i, floor({_drawn("'other'")} * 39)::int as d from g),
+a as (select *, list_transform(range(10), lambda k: word[1:floor({_drawn("'place'", "k")} * 40)::int] || substr('()[]{{}}', 1 + floor({_drawn("'token'", "k")} * 6)::int, 1) || word[floor({_drawn("'place'", "k")} * 40)::int + 2:]) as tries from c),
+b as (select *, list_filter(tries, lambda w: list_reduce(list_concat([w], range(20)::varchar[]), lambda x, y: replace(replace(replace(x, '()', ''), '[]', ''), '{{}}', '')) <> '') as broken, (i + 1 + d) % 40 as j from a),
+s as (select *, list_transform(range(40), lambda p: case when p = i then word[j + 1] when p = j then word[i + 1] else word[p + 1] end) as swapped from b)
+select id, array_to_string(string_split(case when label = 1 then word when len(broken) > 0 then broken[1] else array_to_string(swapped, '') end, ''), ' ') as sentence, label from s""")
 def dyck_corrupt(spark, sf_dir):
     return tasks.bracket_task(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
 
@@ -392,7 +417,7 @@ def _attention(spark, sf_dir):
 
 
 _A = """a as (select 'm' || (vec_id % 2) as model, 'NL' as modality, vec_id as pair_id, (c // 256)::int as layer, (c // 64 % 4)::int as head, c // 8 % 8 as q, c % 8 as k,
-  round(('0x' || substr(md5('7:' || vec_id || ':' || c), 1, 8))::bigint / 4294967296.0::double, 6) as w from embeddings, range(512) r(c) where vec_id < 60),
+  round(('0x' || substr(md5('7:' || vec_id || ':' || c), 1, 8))::bigint / 4294967296.0::double, 6) as w from embeddings, range(512) r(c)),
 h as (select *, k = pair_id % 8 or k = (pair_id + 3) % 8 as hit from a)"""
 
 
@@ -413,7 +438,7 @@ def diff_last_query(spark, sf_dir):
 
 @query()
 def linear_probe_cv(spark, sf_dir):
-    return represent.probe_accuracy(_t(spark, sf_dir, "embeddings"), "embedding", "label", 7, "vec_id", steps=50)
+    return represent.probe_accuracy(_t(spark, sf_dir, "embeddings"), "embedding", "label", 7, "vec_id")
 
 
 @query("with r as (select vec_id, label, (row_number() over (partition by label order by md5('7:' || vec_id), vec_id) % 5)::int as fold from embeddings) select label, fold, count(*) as n from r group by all")
@@ -487,3 +512,179 @@ def last_states(spark, sf_dir):
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
     ids, mask = corpus.padded(words, 16, F.lit("<pad>"))
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.last_true(ids, mask).alias("last_token"))
+
+
+@query(f"""with {_V}, o as (select *, greatest(0, len(a) + len(b) - 24) as o, abs(len(a) - len(b)) as gap from v),
+r as (select *, least(o, gap) as one, o - least(o, gap) as rest from o)
+select conv_id, turn, array_to_string(a[1:len(a) - (case when len(a) > len(b) then one else 0 end + rest // 2)], ' ') as a,
+  array_to_string(b[1:len(b) - (case when len(a) > len(b) then 0 else one end + (rest + 1) // 2)], ' ') as b from r""")
+def pair_truncate(spark, sf_dir):
+    """Adjacent turns cut to 24 tokens together, longest first."""
+    a, b = corpus.truncated_pair(F.col("a"), F.col("b"), 24)
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(a, " ").alias("a"), F.array_join(b, " ").alias("b"))
+
+
+def _layers(spark, sf_dir, at: int):
+    """Two layers of 16 features for two models: a table of hidden states."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), "embedding")
+    each = e.select("row", "model", "embedding", F.explode(F.array(F.lit(0), F.lit(1))).alias("layer"))
+    return each.select("row", "model", "layer", F.slice("embedding", at + 16 * F.col("layer"), F.lit(16)).alias("features"))
+
+
+def _layer_cka(name: str, right: str) -> str:
+    sides = {"xy": ("x", "y"), "xx": ("x", "x"), "yy": ("y", "y")}
+    parts = ", ".join(f"{name}_{k} as (select model, layer, sum(g * g) as s from (select a.model, a.layer, sum(a.v * b.v) as g from {name}_{p} a join {name}_{q} b using (model, layer, row) group by a.model, a.layer, a.i, b.i) group by all)" for k, (p, q) in sides.items())
+    return f"""{name}_b as (select l.model, l.layer, l.row, l.x, r.y from layers l join ({right}) r using (model, layer, row)),
+{name}_x as (select model, layer, row, i, v - avg(v) over (partition by model, layer, i) as v from (select model, layer, row, unnest(x)::double as v, unnest(range(16)) as i from {name}_b)),
+{name}_y as (select model, layer, row, i, v - avg(v) over (partition by model, layer, i) as v from (select model, layer, row, unnest(y)::double as v, unnest(range(16)) as i from {name}_b)),
+{parts}, {name} as (select model, layer, round(xy.s / (sqrt(xx.s) * sqrt(yy.s) + 1e-12), 6) as cka from {name}_xy xy join {name}_xx xx using (model, layer) join {name}_yy yy using (model, layer))"""
+
+
+@query(f"""with layers as (select vec_id as row, 'm' || (vec_id % 2) as model, layer, embedding[1 + 16 * layer:16 + 16 * layer] as x, embedding[33 + 16 * layer:48 + 16 * layer] as y from embeddings, (values (0), (1)) t(layer)),
+p as (select vec_id, row_number() over (order by vec_id) as k from embeddings), h as (select vec_id, row_number() over (order by md5('7:' || vec_id), vec_id) as k from embeddings),
+moved as (select h.vec_id as was, p.vec_id as now from h join p using (k)),
+{_layer_cka("own", "select model, layer, row, y from layers")},
+{_layer_cka("dealt", "select model, layer, now as row, y from layers join moved on row = was")}
+select model, layer::int as layer, own.cka, dealt.cka as cka_shuffled from own join dealt using (model, layer)""")
+def cka_by_layer(spark, sf_dir):
+    out = represent.layer_similarity(_layers(spark, sf_dir, 1), _layers(spark, sf_dir, 33), 7)
+    return out.select("model", "layer", F.round("cka", 6).alias("cka"), F.round("cka_shuffled", 6).alias("cka_shuffled"))
+
+
+# Reports over run records. Orders, customers and suppliers stand in for runs: whole numbers as scores, so that sums are exact.
+
+
+def _pick_of(values: tuple, at: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.expr(at) + 1).cast("int"))
+
+
+def _sql_pick(values: tuple, at: str) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::double" for v in values) + f"][1 + {at}]"
+
+
+_DIRECTIONS, _SENTENCE_MODELS, _SENTENCE_TASKS = ("NL->Bio", "Bio->NL"), ("esm2_8M", "esm2_35M", "bert_tiny", "bert_small", "bert_base", "other"), ("paws-x", "cola", "rte")
+_PROTEIN_MODELS, _ABLATION_GROUPS, _ABLATION_TASKS, _ABLATION_FRACS = ("esm2_8M", "bert_small", "other"), ("base", "text", "protein", "shuffled", "randomaa"), ("paws-x", "cola", "dyck_L40_t3", "dyck_L60_t3"), (0.01, 0.05, 0.1, 1.0)
+
+
+def _runs(spark, sf_dir):
+    """Orders as runs with nested metrics."""
+    o = _t(spark, sf_dir, "orders")
+    m = lambda v: F.struct(F.expr(v).cast("double").alias("acc_raw"), F.expr(v).cast("double").alias("acc_flipbest"))
+    return o.select(F.col("o_orderkey").alias("seed"), _pick_of(_DIRECTIONS, "o_custkey % 2").alias("direction"), m("floor(o_totalprice) % 97").alias("transfer_pawsx_test"), m("o_custkey % 97").alias("baseline_pawsx_test"), m("o_orderkey % 89").alias("protein_indomain"))
+
+
+_O = f"o as (select o_orderkey as seed, {_sql_pick(_DIRECTIONS, 'o_custkey % 2')} as direction, (floor(o_totalprice) % 97)::double as t, (o_custkey % 97)::double as b, (o_orderkey % 89)::double as i from orders)"
+
+
+def _sentence_runs(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    return c.select(_pick_of(_SENTENCE_MODELS, "c_nationkey % 6").alias("model"), _pick_of(_SENTENCE_TASKS, "c_custkey % 3").alias("task"), F.floor("c_acctbal").cast("double").alias("score"))
+
+
+def _protein_runs(spark, sf_dir):
+    return _t(spark, sf_dir, "supplier").select(_pick_of(_PROTEIN_MODELS, "s_nationkey % 3").alias("model"), F.floor("s_acctbal").cast("double").alias("acc"))
+
+
+def _ablation_runs(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    base = F.when(F.expr("c_custkey div 16 % 2 = 1"), F.lit("gpt2-medium"))
+    return c.select(base.alias("base"), _pick_of(_ABLATION_GROUPS, "c_nationkey % 5").alias("group"), _pick_of(_ABLATION_TASKS, "c_custkey div 4 % 4").alias("task"), _pick_of(_ABLATION_FRACS, "c_custkey % 4").alias("frac"), F.floor("c_acctbal").cast("double").alias("score"))
+
+
+_S = f"s as (select {_sql_pick(_SENTENCE_MODELS, 'c_nationkey % 6')} as model, {_sql_pick(_SENTENCE_TASKS, 'c_custkey % 3')} as task, floor(c_acctbal)::double as score from customer)"
+_B = f"b as (select {_sql_pick(_PROTEIN_MODELS, 's_nationkey % 3')} as model, floor(s_acctbal)::double as acc from supplier)"
+_G = f"g as (select case when c_custkey // 16 % 2 = 1 then 'gpt2-medium' end as base, {_sql_pick(_ABLATION_GROUPS, 'c_nationkey % 5')} as grp, {_sql_pick(_ABLATION_TASKS, 'c_custkey // 4 % 4')} as task, {_sql_pick(_ABLATION_FRACS, 'c_custkey % 4')} as frac, floor(c_acctbal)::double as score from customer)"
+
+
+def _places(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) + 0.0 for c in columns})
+
+
+@query(f"with {_O} select direction, round(avg(t), 4) as mean, round(stddev_pop(t), 4) as std, count(*) as n from o group by direction")
+def report_symmetry(spark, sf_dir):
+    return _places(reports.symmetry(_runs(spark, sf_dir).withColumnRenamed("transfer_pawsx_test", "transfer")), "mean", "std")
+
+
+@query(f"""with {_O} select count(*) as n, round(avg(t), 4) as transfer_mean, round(stddev_pop(t), 4) as transfer_std, round(avg(b), 4) as baseline_mean, round(stddev_pop(b), 4) as baseline_std,
+  round(avg(i), 4) as indomain_mean, round(stddev_pop(i), 4) as indomain_std, count(*) filter (where t - b > 0.05) as above from o""")
+def report_reverse_distribution(spark, sf_dir):
+    return _places(reports.reverse_distribution(_runs(spark, sf_dir)), *(f"{a}_{b}" for a in ("transfer", "baseline", "indomain") for b in ("mean", "std")))
+
+
+_CELLS = "avg(score) filter (where grp = 'base') as base, avg(score) filter (where grp = 'text') as text, avg(score) filter (where grp = 'protein') as protein, avg(score) filter (where grp = 'shuffled') as shuffled"
+
+
+@query(f"""with {_G}, w as (select frac, {_CELLS} from g where task = 'paws-x' and frac in (0.05, 0.1, 1.0) group by frac)
+select frac, round(base, 4) as base, round(text, 4) as text, round(protein, 4) as protein, round(shuffled, 4) as shuffled, round(protein - shuffled, 4) + 0.0 as structure, round(protein - text, 4) + 0.0 as biology from w""")
+def report_ablation(spark, sf_dir):
+    return _places(reports.ablation(_ablation_runs(spark, sf_dir)), "base", "text", "protein", "shuffled", "structure", "biology")
+
+
+_M = f"with {_S}, {_B}, d(model, pretrain) as (values ('esm2_8M', 'protein'), ('bert_small', 'English'), ('bert_tiny', 'English')), x as (select model, avg(acc) as protein from b group by model), y as (select model, avg(score) as language from s where task = 'paws-x' group by model), m as (select d.model, pretrain, protein, language from d left join x on x.model = d.model left join y on y.model = d.model)"
+
+
+@query(f"{_M} select model, pretrain, round(protein, 4) as protein, round(language, 4) as language from m")
+def report_crossmodal(spark, sf_dir):
+    return _places(reports.crossmodal(_sentence_runs(spark, sf_dir), _protein_runs(spark, sf_dir)), "protein", "language")
+
+
+@query(f"{_M} select round(max(language) filter (where model = 'bert_small') - max(protein) filter (where model = 'bert_small'), 4) + 0.0 as language_drop, round(max(protein) filter (where model = 'esm2_8M') - max(language) filter (where model = 'esm2_8M'), 4) + 0.0 as protein_drop from m")
+def report_off_domain_drop(spark, sf_dir):
+    return _places(reports.off_domain_drop(reports.crossmodal(_sentence_runs(spark, sf_dir), _protein_runs(spark, sf_dir))), "language_drop", "protein_drop")
+
+
+@query(f"""with {_S}, d(model, family, params) as (values ('esm2_8M', 'esm', 8), ('esm2_35M', 'esm', 35), ('bert_tiny', 'bert', 4), ('bert_small', 'bert', 11), ('bert_base', 'bert', 110)),
+a as (select model, avg(score) as mean, stddev_pop(score) as std, count(*) as n from s where task = 'paws-x' group by model)
+select family, model, params, round(mean, 4) as mean, round(std, 4) as std, n, row_number() over (partition by family order by params)::int as place from a join d using (model)""")
+def report_scaling(spark, sf_dir):
+    return _places(reports.scaling_ladders(_sentence_runs(spark, sf_dir)), "mean", "std")
+
+
+@query(f"with {_S} select task, round(avg(score) filter (where model = 'esm2_8M'), 4) as \"esm2_8M\", round(avg(score) filter (where model = 'bert_small'), 4) as bert_small from s group by task")
+def report_sentence_tasks(spark, sf_dir):
+    return _places(reports.sentence_tasks(_sentence_runs(spark, sf_dir)), "esm2_8M", "bert_small")
+
+
+@query(f"""with {_G}, w as (select coalesce(base, 'gpt2') as base, task, avg(score) filter (where grp = 'protein') as protein, avg(score) filter (where grp = 'shuffled') as shuffled, avg(score) filter (where grp = 'text') as text from g where task like '%dyck%' and frac = 1.0 group by 1, 2)
+select base, task, round(protein, 4) as protein, round(shuffled, 4) as shuffled, round(text, 4) as text, round(protein - shuffled, 4) + 0.0 as structure from w""")
+def report_brackets(spark, sf_dir):
+    return _places(reports.bracket_results(_ablation_runs(spark, sf_dir)), "protein", "shuffled", "text", "structure")
+
+
+@query(f"""with {_O}, u as (select 'transfer' as what, t as v from o union all select 'baseline', b from o union all select 'difference', t - b from o)
+select what, count(v) as n, round(avg(v), 4) + 0.0 as mean, round(stddev_pop(v), 4) as std, round(min(v), 4) as min, round(quantile_cont(v, 0.25), 4) as p25, round(quantile_cont(v, 0.5), 4) as median, round(quantile_cont(v, 0.75), 4) as p75, round(max(v), 4) as max from u group by what""")
+def report_distribution(spark, sf_dir):
+    return _places(reports.distribution(_runs(spark, sf_dir)), "mean")
+
+
+@query(f"with {_O} select seed, t as transfer, b as baseline, i as indomain from o order by t desc, seed limit 5")
+def report_top_seeds(spark, sf_dir):
+    return reports.top_seeds(_runs(spark, sf_dir))
+
+
+def _similar_layers(spark, sf_dir):
+    """Each vector as a model of twelve layers, keys as texts."""
+    layer = lambda i: F.struct(F.floor(F.col("embedding")[i].cast("double") * 10).cast("double").alias("cka"), F.floor(F.col("embedding")[63 - i].cast("double") * 10).cast("double").alias("cka_shuffled"))
+    return _t(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("model"), F.create_map(*(x for i in range(12) for x in (F.lit(str(i)), layer(i)))).alias("per_layer"))
+
+
+@query("""with l as (select 'v' || vec_id as model, i::int as layer, floor(embedding[i + 1]::double * 10)::double as cka, floor(embedding[64 - i]::double * 10)::double as floor from embeddings, range(12) r(i)),
+r as (select *, row_number() over (partition by model order by cka desc, layer) as r from l) select model, layer, cka, floor from r where r = 1""")
+def report_best_layers(spark, sf_dir):
+    return reports.best_layers(_similar_layers(spark, sf_dir))
+
+
+@query("""with e as (select 'g' || label as grp, floor(embedding[12]::double * 10)::double as last, floor(embedding[10]::double * 10)::double as told from embeddings)
+select grp as "group", round(avg(last), 4) + 0.0 as mean, count(*) filter (where last = told) as agree, count(*) as n from e group by grp""")
+def report_last_layer_probe(spark, sf_dir):
+    """The last of twelve layers by number; the recorded value is the tenth's, so some records disagree."""
+    value = lambda i: F.floor(F.col("embedding")[i].cast("double") * 10).cast("double")
+    rows = _t(spark, sf_dir, "embeddings").select(F.concat(F.lit("g"), F.col("label").cast("string")).alias("group"), value(9).alias("probe_acc_last"), F.create_map(*(x for i in range(12) for x in (F.lit(str(i)), value(i)))).alias("per_layer"))
+    return _places(reports.last_layer_probe(rows), "mean")
+
+
+@query("""select 'v' || vec_id as model, case when vec_id % 2 = 0 then 'NL' else 'protein' end as modality, label::double as max, (label * 2)::double as z, 'L' || (vec_id % 12) || 'H' || (vec_id % 7) as head from embeddings""")
+def report_selectivity(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    rows = e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("model"), F.when(F.col("vec_id") % 2 == 0, "NL").otherwise("protein").alias("modality"), F.col("label").cast("double").alias("max"), (F.col("label") * 2).cast("double").alias("z_of_max"), F.array((F.col("vec_id") % 12), (F.col("vec_id") % 7)).alias("max_head"))
+    return reports.selectivity_heads(rows)

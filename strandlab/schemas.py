@@ -11,7 +11,7 @@ TRAINING_STEPS = "direction string, seed bigint, step int, example_id bigint, la
 
 _M2 = "struct<acc_raw: double, acc_flipbest: double>"
 _M3 = "struct<acc_raw: double, acc_flipbest: double, f1: double>"
-_PILOT = "struct<tag: string, accuracy: double, f1: double, label_flipped: boolean, confusion_matrix: array<array<bigint>>, n: bigint>"
+_CONFUSED = "struct<tag: string, accuracy: double, f1: double, label_flipped: boolean, confusion_matrix: array<array<bigint>>, n: bigint>"
 
 #: Records of runs by kind; a field that a file lacks reads as null.
 RECORDS = {
@@ -28,5 +28,6 @@ RECORDS = {
     "forward_heads": "model string, n_pairs bigint, max_bio_diff_attn double, top_heads array<array<double>>",
     "selectivity": "model string, modality string, n bigint, `max` double, z_of_max double, mean_over_heads double, max_head array<bigint>",
     "probe": "base string, `group` string, seed bigint, best_layer bigint, probe_acc_last double, probe_acc_best double, per_layer map<string, double>",
+    "pilot": f"config struct<epochs: bigint, seed: bigint, max_length: bigint, bs: bigint, lr: double>, model string, baseline_untrained_pawsx {_CONFUSED}, bio_indomain_protein_val {_CONFUSED}, transfer_pawsx_test {_CONFUSED}, transfer_pawsx_val {_CONFUSED}",
     "manifest": "target_tokens bigint, seed bigint, groups map<string, struct<file: string, tokens: bigint, lines: bigint>>",
 }

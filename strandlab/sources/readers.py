@@ -19,12 +19,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 def fasta(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """seq_id and seq of each record of a FASTA file: headers dropped, white space removed.
 
-    seq_id ascends in file order. Records are split by Spark's own line reader, so a large file is read in parallel;
-    with `most` the scan stops early. Records without residues are left out.
+    seq_id is a hash of the record with its header, so it is the same however the files are split; equal records share
+    one. Records are split by Spark's own line reader, so a large file is read in parallel; with `most` the scan stops
+    early, after the first records. Records without residues are left out.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace(F.regexp_replace("value", r"^>?[^\n]*\n?", ""), r"\s+", "")
-    out = raw.select(F.monotonically_increasing_id().alias("seq_id"), body.alias("seq")).filter("seq <> ''")
+    name = F.regexp_replace("value", r"^>|\s+$", "")
+    out = raw.select(F.xxhash64(name).alias("seq_id"), body.alias("seq")).filter("seq <> ''")
     return out.limit(most) if most else out
 
 
@@ -74,8 +76,8 @@ def available(requested: DataFrame, catalog: DataFrame, on: list[str]) -> DataFr
 
 
 def run_catalog(spark: SparkSession, folder: str, base: str, seed: int, groups: list[str], base_model: str | None = None) -> DataFrame:
-    """group and path of the checkpoints `<base>_cpt_<group>_seed<seed>` in a folder, with the base model itself as `base`."""
+    """group and path of the checkpoints `<base>/<group>_seed<seed>` in a folder, with the base model itself as `base`."""
     tag = base.replace("/", "_")
     found = [("base", base_model or base)]
-    found += [(g, p) for g in groups if exists(spark, p := f"{folder}/{tag}_cpt_{g}_seed{seed}")]
+    found += [(g, p) for g in groups if exists(spark, p := f"{folder}/{tag}/{g}_seed{seed}")]
     return spark.createDataFrame(found, "`group` string, path string")

@@ -9,9 +9,10 @@ from strandlab.operators.corpus import capped
 
 
 def append_records(records: DataFrame, path: str, key: list[str] | None = None) -> None:
-    """Adds records. Rows whose key is there already are left out, so a repeated run adds nothing."""
+    """Adds records. Rows whose key is there already, or comes twice, are left out, so a repeated run adds nothing."""
     from strandlab.sources.readers import exists
 
+    records = records.dropDuplicates(key) if key else records
     if key and exists(records.sparkSession, path):
         old = records.sparkSession.read.schema(records.schema).json(path).select(*key).distinct()
         records = records.join(old, key, "left_anti")

@@ -19,9 +19,15 @@ def summarised(stream: DataFrame, value: str, *keys: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
 
 
-def once(stream: DataFrame, key: list[str]) -> DataFrame:
-    """Each run's record once, however often a restarted producer writes it."""
-    return stream.dropDuplicates(key)
+def once(stream: DataFrame, key: list[str], time: str | None = None, late: str = "7 days") -> DataFrame:
+    """Each run's record once, however often a restarted producer writes it.
+
+    The keys seen are kept for ever, as a run may come back at any time; where records carry a time, they are kept as
+    long as a repeated one may be late.
+    """
+    if time is None:
+        return stream.dropDuplicates(key)
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
 def follow(table: DataFrame, name: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -37,22 +43,25 @@ def windowed(events: DataFrame, time: str, value: str, *keys: str, width: str =
 
 
 def write_until(stream: DataFrame, path: str, target: int, tokens, checkpoint: str) -> int:
-    """Appends micro-batches of texts until their tokens reach the target, then stops; returns the tokens written.
+    """Writes micro-batches of texts until their tokens reach the target, then stops; returns the tokens written.
 
-    The batch that crosses the target is written whole: a stream has no order within a batch to cut by. A restart with
-    the same checkpoint goes on from the written total, which the output itself holds.
+    The batch that crosses the target is written whole: a stream has no order within a batch to cut by. Each batch has
+    a folder of its own, which is overwritten if the batch is played again after a crash; what counts towards the target
+    is what earlier batches have written, so a restart with the same checkpoint goes on from there.
     """
     spark = stream.sparkSession
     from strandlab.sources.readers import exists
 
-    total = spark.read.parquet(path).agg(F.sum("n_tokens")).first()[0] or 0 if exists(spark, path) else 0
-    state = {"total": total}
+    def total(before: int | None = None) -> int:
+        if not exists(spark, f"{path}/batch=*"):
+            return 0
+        rows = spark.read.parquet(path)
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        return rows.agg(F.sum("n_tokens")).first()[0] or 0
 
-    def add(batch: DataFrame, _: int) -> None:
-        if state["total"] < target:
-            counted = batch.withColumn("n_tokens", tokens)
-            counted.write.mode("append").parquet(path)
-            state["total"] += counted.agg(F.sum("n_tokens")).first()[0] or 0
+    def add(batch: DataFrame, number: int) -> None:
+        if total(number) < target:
+            batch.withColumn("n_tokens", tokens.cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return state["total"]
+    return total()

@@ -136,3 +136,67 @@ def test_packing_drops_each_batch_rest(spark):
     assert len(got) == 6 and all(len(r["block_tokens"]) == 4 for r in got)
     first = next(r for r in got if r["batch"] == 0 and r["block"] == 1)
     assert first["block_tokens"] == ["0.4", "2.0", "2.1", "2.2"]
+
+
+def _cka(x, y):
+    x, y = x - x.mean(0), y - y.mean(0)
+    return np.sum((x.T @ y) ** 2) / (np.linalg.norm(x.T @ x) * np.linalg.norm(y.T @ y) + 1e-12)
+
+
+def test_cka_by_key_is_wide_and_stable(spark):
+    """At 256 features, for each model and layer, in any layout, and with means a million times the spread."""
+    rng = np.random.default_rng(1)
+    keys = [("a", 0), ("a", 1), ("b", 0)]
+    x, y = ({k: rng.normal(size=(40, 256)) for k in keys} for _ in range(2))
+    x["b", 0] = x["b", 0] + 1e6
+    table = lambda m: spark.createDataFrame([(*k, i, [float(v) for v in r]) for k in keys for i, r in enumerate(m[k])], "model string, layer int, row int, features array<double>")
+    for layout in (1, 7):
+        got = {(r["model"], r["layer"]): r["cka"] for r in represent.linear_cka(table(x).repartition(layout), table(y), keys=("model", "layer")).collect()}
+        assert got == {k: pytest.approx(_cka(x[k], y[k]), rel=1e-6) for k in keys}
+    floor = represent.layer_similarity(table(x), table(x), 3).collect()
+    assert all(r["cka"] == pytest.approx(1) and r["cka_shuffled"] < 0.99 for r in floor) and len(floor) == 3
+
+
+def test_probe_like_a_plain_solver(spark):
+    """Each fold's accuracy is that of the regression solved by Newton's method."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=120) > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(t)) for i, (r, t) in enumerate(zip(x, y))], "id int, f array<double>, y int")
+    fold = {r["id"]: r["fold"] for r in represent.stratified_folds(df, "y", 7, "id").collect()}
+    fold = np.array([fold[i] for i in range(120)])
+    got = {r["fold"]: r["accuracy"] for r in represent.probe_accuracy(df, "f", "y", 7, "id").collect()}
+    for k in range(5):
+        a, t = np.c_[x, np.ones(120)][fold != k], y[fold != k]
+        w, penalty = np.zeros(4), np.diag([1.0, 1.0, 1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (p - t) + penalty @ w)
+        assert got[k] == pytest.approx(np.mean((np.c_[x, np.ones(120)][fold == k] @ w > 0) == y[fold == k]))
+
+
+def test_null_keys_have_places(spark):
+    rows = spark.createDataFrame([(i if i % 4 else None, 2) for i in range(20)], "i int, n int")
+    got = corpus.capped(rows, ["i"], F.floor(F.col("i") / 3), F.col("n"), 14).collect()
+    assert len(got) == 7 and sum(r["i"] is None for r in got) == 5
+
+
+def test_pairs_lose_from_the_longer(spark):
+    for m, n, length in ((5, 3, 6), (3, 5, 6), (4, 4, 5), (10, 1, 4), (2, 2, 10), (0, 6, 4), (7, 7, 0)):
+        a, b = list(range(m)), list(range(n))
+        while len(a) + len(b) > length:
+            (a if len(a) > len(b) else b).pop()
+        row = spark.createDataFrame([(list(range(m)), list(range(n)))], "a array<int>, b array<int>")
+        x, y = corpus.truncated_pair(F.col("a"), F.col("b"), length)
+        assert tuple(row.select(x, y).first()) == (a, b)
+
+
+def test_mapped_batches(spark):
+    got = corpus.mapped(spark.range(10), lambda frame: frame.loc[frame.index.repeat(2)], "id long")
+    assert sorted(r["id"] for r in got.collect()) == sorted([*range(10)] * 2)
+
+
+def test_mixture_is_shuffled_once_more(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(200)], "id int, label int")
+    got = sampling.placed_mixture(rows, rows, 0, 40, 0.7, "id").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 41)) and 0 < sum(r["part"] == "remote" for r in got[:20]) < 20

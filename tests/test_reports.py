@@ -80,23 +80,64 @@ def test_bracket_and_distribution_reports(spark):
     assert [r["seed"] for r in reports.top_seeds(df).collect()] == [9, 8, 7, 6, 5]
 
 
+def _write(folder, name, rows):
+    (folder / f"{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
+def test_summary_of_all_tables(spark, tmp_path):
+    """Every table of a summary, over small records made here; tables without records are left out."""
+    m = lambda x: {"acc_raw": x, "acc_flipbest": x, "f1": x}
+    assert reports.summary(spark, str(tmp_path)).count() == 0
+    _write(tmp_path, "bidirectional_symmetry", [{"seed": s, "direction": d, "indomain": m(0.9), "transfer": m(v)} for s, d, v in ((0, "NL->Bio", 0.6), (1, "NL->Bio", 0.8), (0, "Bio->NL", 0.5))])
+    _write(tmp_path, "tier1_distribution", [{"seed": s, "baseline_pawsx_test": m(0.5), "protein_indomain": m(0.9), "transfer_pawsx_test": m(0.5 + s / 10), "transfer_pawsx_val": m(0.5)} for s in range(3)])
+    cells = [{"task": t, "group": g, "frac": f, "metric": "acc", "score": v, "seed": 0} for t in ("paws-x", "dyck_L40_t3") for f in (0.05, 1.0) for g, v in (("base", 0.5), ("text", 0.6), ("protein", 0.7), ("shuffled", 0.4))]
+    _write(tmp_path, "exp2_structural_nl_gpt2_124M", cells)
+    _write(tmp_path, "exp2_structural_nl", [r | {"base": "gpt2-medium"} for r in cells])
+    _write(tmp_path, "esm_on_nl", [{"task": t, "model": n, "metric": "acc", "seed": 0, "score": v} for t in ("paws-x", "cola") for n, v in (("esm2_8M", 0.6), ("bert_small", 0.9))])
+    _write(tmp_path, "crossmodal_2x2", [{"task": "p", "model": n, "seed": 0, "acc": v} for n, v in (("esm2_8M", 1.0), ("bert_small", 0.8))])
+    _write(tmp_path, "M2_learning_dynamics", [{"direction": "NL->Bio", "seed": 0, "trajectory": [{"step": 0, "transfer_flip": 0.5}, {"step": 1, "transfer_flip": 0.75}]}])
+    _write(tmp_path, "M3c_rigorous", [{"model": "base", "modality": "NL", "n": 4, "max": 0.25, "z_of_max": 3.5, "mean_over_heads": 0.1, "max_head": [5, 11]}])
+    lines = [r["text"] for r in reports.summary(spark, str(tmp_path)).orderBy("line_no").collect()]
+    for line in (
+        "NL->Bio 0.700 ± 0.100 n=2",
+        "indomain 0.900 ± 0.000 transfer 0.600 ± 0.082 baseline 0.500 ± 0.000 above=2/3",
+        "Pretraining ablation 355M",
+        "0.05 base=0.500 text=0.600 protein=0.700 shuffled=0.400 +0.300 +0.100",
+        "bert_small English 0.800 0.900",
+        "language +0.100 protein +0.400",
+        "bert bert_small 11M 0.900 ± 0.000",
+        "cola esm2_8M=0.600 bert_small=0.900",
+        "gpt2-medium dyck_L40_t3 protein=0.700 shuffled=0.400 text=0.600 +0.300",
+        "NL->Bio 0.500 -> 0.750",
+        "base NL max=0.25 z=3.5 L5H11",
+        "2 0.700 0.500",
+    ):
+        assert line in lines, (line, lines)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">one x\nMK V\nLA\n>two\nAA\n>empty\n")
-    assert [r["seq"] for r in readers.fasta(spark, str(tmp_path / "a.fasta")).orderBy("seq_id").collect()] == ["MKVLA", "AA"]
+    ids = {r["seq"]: r["seq_id"] for r in readers.fasta(spark, str(tmp_path / "a.fasta")).collect()}
+    assert set(ids) == {"MKVLA", "AA"}
+    (tmp_path / "b.fasta").write_text(">two\nAA\n>one x\nMK V\nLA\n")  # an id doesn't depend on the place in the file
+    assert {r["seq"]: r["seq_id"] for r in readers.fasta(spark, str(tmp_path / "b.fasta")).collect()} == ids
     assert readers.fasta(spark, str(tmp_path / "a.fasta"), 1).count() == 1
     (tmp_path / "p.csv").write_text('sentence1,sentence2,label\n"a, ""b""","c\nd",1\n')
     assert tuple(readers.pairs_csv(spark, str(tmp_path / "p.csv")).first()) == ('a, "b"', "c\nd", 1)
     (tmp_path / "t.jsonl").write_text('{"sentence": "x", "label": 0}\n')
     assert tuple(readers.as_pairs(readers.task_json(spark, str(tmp_path / "t.jsonl"))).first()) == ("x", None, 0)
     assert readers.records(spark, str(tmp_path / "none.jsonl"), "probe").count() == 0
-    os.makedirs(tmp_path / "ck/gpt2_cpt_text_seed0")
+    pairs = spark.createDataFrame([("a", "b", 1, "train"), ("c", "d", 0, "val")], "sentence1 string, sentence2 string, label int, split string")
+    pairs.write.partitionBy("split").parquet(str(tmp_path / "pairs"))
+    assert [tuple(r) for r in readers.pairs_splits(spark, str(tmp_path / "pairs"), "val").collect()] == [("c", "d", 0)]
+    os.makedirs(tmp_path / "ck/gpt2/text_seed0")
     assert {r["group"] for r in readers.run_catalog(spark, str(tmp_path / "ck"), "gpt2", 0, ["text", "protein"]).collect()} == {"base", "text"}
 
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a", 1.0)], "seed bigint, direction string, auc double")
     for _ in range(2):
-        sinks.append_records(rows, str(tmp_path / "r"), ["seed", "direction"])
+        sinks.append_records(rows.union(rows), str(tmp_path / "r"), ["seed", "direction"])
     assert spark.read.json(str(tmp_path / "r")).count() == 1
     docs = spark.createDataFrame([(i, f"line {i}") for i in range(20)], "i int, text string")
     manifest = sinks.write_capped(docs, str(tmp_path / "c"), ["i"], F.floor(F.col("i") / 5), F.lit(2), 9).withColumn("group", F.lit("text"))
@@ -122,6 +163,8 @@ def test_stream_budget_and_windows(spark, tmp_path, data):
         spark.createDataFrame([(f"a b c {k}",)], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
     stream = readers.lines_stream(spark, str(tmp_path / "in"), 1)
     assert live.write_until(stream, str(tmp_path / "out"), 6, F.size(F.split("text", " ")), str(tmp_path / "ck")) == 8
+    # A batch that is played again after a crash is written once; a restart adds nothing.
+    assert live.write_until(readers.lines_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), 6, F.size(F.split("text", " ")), str(tmp_path / "ck9")) == 8
     events = spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parquet*")
     table = live.windowed(events, "ts", "value", "event_type")
     live.follow(table, "win", str(tmp_path / "ck2")).awaitTermination()
