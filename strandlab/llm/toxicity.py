@@ -79,12 +79,13 @@ class Model:
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of each word and its two prefixes, with empty places before and between texts; each text's first place."""
+    """Bucket numbers of each word and its two prefixes, with empty places before each text and after the last; where each
+    text's empty places begin."""
     plain = kernel._LOWER[_PLAIN[data]]
     start, end, first = kernel.word_spans(plain, offsets)
     sums = kernel.prefix_sums(kernel._BYTE[plain])
     texts, count = len(offsets) - 1, np.diff(first)
-    place = np.arange(len(start)) + np.repeat(np.arange(texts), count) * _GAP
+    place = np.arange(len(start)) + np.repeat(np.arange(1, texts + 1), count) * _GAP  # so no window has words of two texts
     out = np.zeros((3, len(start) + (texts + 1) * _GAP), np.int32)
     for row, (last, bits) in enumerate(((end, WORD_BITS), (np.minimum(start + 4, end), PREFIX_BITS), (np.minimum(start + 5, end), PREFIX_BITS))):
         out[row, place] = 1 + (kernel.span_hash(sums, start, last) >> U64(64 - bits)).astype(np.int32)
