@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,10 +49,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing reads any more, as later ones hold what they held."""
+    """Deletes tables made by written() that nothing reads any more, as later ones hold what they held.
+
+    Spark drops shuffles and broadcasts of jobs that are over when the driver's garbage is collected, and many jobs in a
+    row fill its heap until then; so it is collected here.
+    """
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["written_to"])
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
