@@ -369,7 +369,8 @@ def _finish(p: Plan, carry: bool):
                 hit = hit[low[at] < ids[row]]
                 edges[: len(edges) - p.n][hit] += 1
                 edges[p.n :][hit] -= 1
-        return removed(table, tokens, np.cumsum(edges[:-1]) > 0, p.words, carry)
+        np.cumsum(edges, out=edges)  # a group has far fewer than 2^31 tokens
+        return removed(table, tokens, edges[:-1] > 0, p.words, carry)
 
     return run
 
@@ -388,13 +389,16 @@ def removed(table: pa.Table, tokens: Tokens, gone: np.ndarray, words: bool, carr
     With carry, kept is a text in whole characters (null text stays null) and the row's other columns come along.
     """
     ends = tokens.ends
-    total = np.append(0, np.cumsum(gone))
     starts = gone.copy()
     starts[1:] &= ~gone[:-1]
     inner = ends[:-1][ends[:-1] < len(gone)]
     starts[inner] = gone[inner]
-    runs = np.append(0, np.cumsum(starts))
-    count = total[ends[1:]] - total[ends[:-1]]
+
+    def of_each(marks: np.ndarray) -> np.ndarray:
+        places = np.flatnonzero(marks)
+        return np.searchsorted(places, ends[1:]) - np.searchsorted(places, ends[:-1])
+
+    count, runs = of_each(gone), of_each(starts)
     kept: list = []
     for t in range(len(table)):
         raw, own = tokens.data[tokens.offsets[t] : tokens.offsets[t + 1]], gone[ends[t] : ends[t + 1]]
@@ -409,7 +413,7 @@ def removed(table: pa.Table, tokens: Tokens, gone: np.ndarray, words: bool, carr
             kept.append(whole_characters(raw, own).decode("utf-8", "replace"))
         else:
             kept.append((raw[~own] if count[t] else raw).tobytes())
-    out = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.diff(ends)), "n_removed": pa.array(count.astype(np.int64)), "n_spans": pa.array((runs[ends[1:]] - runs[ends[:-1]]).astype(np.int64))}
+    out = {"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.diff(ends)), "n_removed": pa.array(count.astype(np.int64)), "n_spans": pa.array(runs.astype(np.int64))}
     out["kept"] = pa.array([x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in kept], pa.string()) if carry else pa.array(kept, pa.binary())
     return pa.table(out | ({"row": table.column("row")} if carry else {}))
 

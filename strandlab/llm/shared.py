@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of a batch sent to Python at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers find this package where the session runs it from a source folder."""
+    """Let Python workers find this package where the session runs it from a source folder, and get batches of bounded size."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
@@ -23,6 +28,17 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     env.setdefault("OMP_NUM_THREADS", "1")
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
+    # Rows are whole texts, so batches of ten thousand of them may be of any size.
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.isModifiable(key) and not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(size: str) -> int:
+    """A setting's number, in bytes where it has a unit."""
+    found = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 0
 
 
 def shared_folder(spark: SparkSession) -> str:
