@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +20,38 @@ RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 FREQUENCY_SAMPLE = 20_000
 
 
+def _byte_counts(letters: bytes):
+    """How often each letter stands in the texts of a task: their bytes are counted as they lie in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            for chunk in [column] if isinstance(column, pa.Array) else column.chunks:
+                texts = chunk.cast(pa.large_string())
+                if len(texts):
+                    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+                    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+                    total += np.bincount(data[bounds[0] : bounds[-1]], minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in letters]), pa.array(total[list(letters)])], ["residue", "n"])
+
+    return run
+
+
 def frequencies(sequences: DataFrame, seq: str = "seq", alphabet: str = RESIDUES, most: int | None = None, seed: int = 0, key: str = "seq_id") -> DataFrame:
-    """residue, n and p for each letter of the alphabet; a letter never seen counts as seen once.
+    """residue, n and p for each letter of the alphabet (ASCII); a letter never seen counts as seen once.
 
-    With `most` only the first sequences of the shuffled order count.
+    With `most` only the first sequences of the shuffled order count. Each task counts the bytes of its own texts and
+    sends a row for each letter, so neither characters nor texts are shuffled.
     """
+    if not alphabet.isascii():
+        raise ValueError("the alphabet must be ASCII letters, as bytes are counted")
     if most:
         sequences = shuffled_head(sequences, seed, most, key)
-    # A letter's number is what the text loses without it: a sum for each letter in one pass, and no row for a character.
-    lost = [(F.length(seq) - F.length(F.translate(F.col(seq), c, ""))).cast("long") for c in alphabet]
-    sums = sequences.agg(*(F.sum(x).alias(f"n{k}") for k, x in enumerate(lost)))
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("residue"), F.col(f"n{k}").alias("n")) for k, c in enumerate(alphabet)))).alias("x")
-    out = sums.select(each).select("x.residue", F.when(F.col("x.n") > 0, F.col("x.n")).otherwise(1).alias("n"))
+    each = sequences.select(F.coalesce(F.col(seq), F.lit("")).alias("t")).mapInArrow(_byte_counts(alphabet.encode()), "residue string, n long")
+    dim = sequences.sparkSession.createDataFrame([(c,) for c in alphabet], "residue string")
+    sums = dim.join(each.groupBy("residue").agg(F.sum("n").alias("n")), "residue", "left")
+    out = sums.select("residue", F.when(F.col("n") > 0, F.col("n")).otherwise(1).alias("n"))
     return out.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 

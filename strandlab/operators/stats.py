@@ -32,17 +32,37 @@ def hash_index(seed: int, size: Column, *ids: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % size
 
 
+#: Runs whose values are broadcast at most (16 MB); more are joined by place. Draws that one row stands for until they are made.
+BROADCAST_RUNS, DRAWN_AT_ONCE = 1 << 20, 1 << 12
+
+
 def bootstrap_mean(values: DataFrame, place: str, value: str, draws: int = 5000, seed: int = 0, least: int = 5) -> DataFrame:
     """low and high: the 95 % interval of the mean over draws with replacement; no row for fewer than `least` values.
 
-    values has a row for each run (places 1 to n). Each of n draws is made by hash and joined to its run by place; the
-    draws are never broadcast, as their size is n times draws.
+    values has a row for each run (places 1 to n); they are counted when this is called. The draws times n picks are dealt
+    out in blocks over all tasks; four of them come from the digits of one md5. Up to BROADCAST_RUNS values are sent to the tasks, so that
+    only a sum for each draw and task is shuffled. Of more values, picks are first counted by draw and place, and the
+    counts are joined to the values by place.
     """
-    n = values.agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    each = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    drawn = each.select("b", (hash_index(seed, F.col("n"), F.col("b"), F.col("i")) + 1).alias(place))
-    means = drawn.hint("merge").join(values.select(place, value), place).groupBy("b").agg(F.avg(value).alias("m"))
-    at = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("*").alias("draws")).filter("draws > 0")
+    spark = values.sparkSession
+    runs = values.select(place, value)
+    n = runs.count()
+    fours = -(-n // 4)
+    blocks = max(1, -(-fours // DRAWN_AT_ONCE))
+    if n < least:
+        draws = 0
+    each = spark.range(0, draws * blocks, 1, min(draws * blocks, max(spark.sparkContext.defaultParallelism, draws * n >> 22)) or 1)
+    low = F.pmod("id", F.lit(blocks)) * DRAWN_AT_ONCE
+    each = each.select(F.expr(f"id div {blocks}").alias("b"), F.explode(F.sequence(low, F.least(low + DRAWN_AT_ONCE, F.lit(fours)) - 1)).alias("i"))
+    each = each.select("b", "i", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))).alias("h"))
+    picks = F.array(*(F.when(F.col("i") * 4 + k < n, F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long") % n + 1) for k in range(4)))
+    drawn = each.select("b", F.explode(picks).alias(place))
+    if n <= BROADCAST_RUNS:
+        sums = drawn.join(F.broadcast(runs), place).groupBy("b").agg((F.sum(value) / F.count(value)).alias("m"))
+    else:
+        often = drawn.groupBy("b", place).agg(F.count("*").alias("__n")).join(runs, place)
+        sums = often.groupBy("b").agg((F.sum(F.col("__n") * F.col(value)) / F.sum(F.when(F.col(value).isNotNull(), F.col("__n")))).alias("m"))
+    at = sums.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.count("*").alias("draws")).filter("draws > 0")
     return at.select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "draws")
 
 

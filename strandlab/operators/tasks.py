@@ -29,17 +29,19 @@ def bracket_word(key: Column, length: int, n_types: int, seed: int) -> Column:
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("stack"))
     u = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
-    def step(state: Column, i: Column) -> Column:
+    def step(state: Column, draw: Column) -> Column:
         out, stack = state["out"], state["stack"]
-        room = length - i > F.length(stack)
-        close = (stack != "") & (~room | (u(draws[i], 1) < 0.5))
-        new = pick(opening, u(draws[i], 9))
+        room = length - F.length(out) > F.length(stack)
+        close = (stack != "") & (~room | (draw["coin"] < 0.5))
+        new = pick(opening, draw["kind"])
         token = F.when(close, partner[F.substring(stack, 1, 1)]).otherwise(new)
         return F.struct(F.concat(out, token).alias("out"), F.when(close, F.substring(stack, 2, length)).otherwise(F.concat(new, stack)).alias("stack"))
 
-    # One md5 a step: its first eight digits are the coin, the next the type.
-    draws = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit("step"), i.cast("string"))))
-    return F.split(F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), start, step)["out"], "")
+    # One md5 a step: its first eight digits are the coin, the next the type. The fold goes over the draws themselves: an
+    # expression named within a fold is computed anew at each step.
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit("step"), i.cast("string"))))
+    draws = F.transform(hashes, lambda h: F.struct(u(h, 1).alias("coin"), u(h, 9).alias("kind")))
+    return F.split(F.aggregate(draws, start, step)["out"], "")
 
 
 def corrupted(word: Column, key: Column, n_types: int, seed: int) -> Column:
@@ -55,10 +57,15 @@ def corrupted(word: Column, key: Column, n_types: int, seed: int) -> Column:
     return F.coalesce(broken, put(put(word, i, F.get(word, j)), j, F.get(word, i)))
 
 
+def spread(ids: DataFrame) -> DataFrame:
+    """ids dealt over all cores: they are a few bytes each, and what is made from them takes far longer than to move them."""
+    return ids.repartition(max(ids.sparkSession.sparkContext.defaultParallelism, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def bracket_task(ids: DataFrame, key: str = "id", length: int = 40, n_types: int = 3, seed: int = 0) -> DataFrame:
     """sentence and label, half of them corrupted (label 0)."""
     name = F.col(key)
-    rows = ids.withColumn("word", bracket_word(name, length, n_types, seed)).withColumn("label", (_u(seed, name, "label") < 0.5).cast("int"))
+    rows = spread(ids).withColumn("word", bracket_word(name, length, n_types, seed)).withColumn("label", (_u(seed, name, "label") < 0.5).cast("int"))
     word = F.when(F.col("label") == 1, F.col("word")).otherwise(corrupted(F.col("word"), name, n_types, seed))
     return rows.select(key, F.array_join(word, " ").alias("sentence"), "label")
 

@@ -107,7 +107,7 @@ def paired_diff_tail(spark, sf_dir):
 
 @query(f"""with {_D}, r as (select row_number() over (order by user_id) as place, difference from e), k as (select count(*) as n from r),
 i as (select b, n, unnest(range(n)) as i from k, range(5000) x(b)),
-m as (select b, avg(difference) as m from (select b, ('0x' || substr(md5('7:' || b || ':' || i), 1, 8))::bigint % n + 1 as place from i) t join r using (place) group by b)
+m as (select b, avg(difference) as m from (select b, ('0x' || substr(md5('7:' || b || ':' || i // 4), 1 + 8 * (i % 4), 8))::bigint % n + 1 as place from i) t join r using (place) group by b)
 select round(quantile_cont(m, 0.025), 4) as low, round(quantile_cont(m, 0.975), 4) as high, count(*) as draws from m""")
 def bootstrap_ci(spark, sf_dir):
     runs = sampling.placed(_paired(spark, sf_dir), "user_id")
@@ -151,14 +151,14 @@ def top_within(spark, sf_dir):
 
 
 def _trajectories(spark, sf_dir):
-    """Runs: event types as directions, three seeds by user, a point for each day. Points have four places, so that half
-    the difference of two has five, and no rounding to six places meets a tie."""
+    """Runs: event types as directions, three seeds by user, a point for each day. Points are whole: sums of cents divided
+    as integers, so no rounding stands between them and the curve."""
     e = _t(spark, sf_dir, "events")
-    points = e.groupBy(F.col("event_type").alias("direction"), F.pmod("user_id", F.lit(3)).alias("seed"), F.dayofmonth("ts").alias("step")).agg(F.round(F.avg("value"), 4).alias("transfer_flip"))
+    points = e.groupBy(F.col("event_type").alias("direction"), F.pmod("user_id", F.lit(3)).alias("seed"), F.dayofmonth("ts").alias("step")).agg(F.expr("cast(sum(cast(round(value * 100) as bigint)) div count(value) as double)").alias("transfer_flip"))
     return points.groupBy("direction", "seed").agg(F.sort_array(F.collect_list(F.struct("step", "transfer_flip"))).alias("trajectory"))
 
 
-_R = "t as (select event_type as direction, user_id % 3 as seed, day(ts)::int as step, round(avg(value), 4) as v from events group by all), q as (select *, row_number() over (partition by direction, seed order by step) - 1 as pos, count(*) over (partition by direction, seed) as len from t)"
+_R = "t as (select event_type as direction, user_id % 3 as seed, day(ts)::int as step, (sum(round(value * 100)::bigint)::bigint // count(value))::double as v from events group by all), q as (select *, row_number() over (partition by direction, seed order by step) - 1 as pos, count(*) over (partition by direction, seed) as len from t)"
 
 
 @query(f"with {_R} select direction, round(avg(v) filter (where pos = 0), 6) as start, round(avg(v) filter (where pos = len - 1), 6) as end from q group by direction")
@@ -333,7 +333,7 @@ g as (select id, word from w where i = 40)"""
 
 @query(f"with recursive {_W} select id, array_to_string(string_split(word, ''), ' ') as sentence from g")
 def dyck_generate(spark, sf_dir):
-    ids = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    ids = tasks.spread(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
     return ids.select("id", F.array_join(tasks.bracket_word(F.col("id"), 40, 3, 0), " ").alias("sentence"))
 
 
