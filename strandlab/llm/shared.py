@@ -77,6 +77,11 @@ def forget(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+def quoted(name: str) -> str:
+    """A column's name that means nothing but itself, also with dots or ticks in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, by one aggregate: the plan's own estimate is useless after joins and for data without files."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)
