@@ -1,9 +1,10 @@
 """python -m strandlab COMMAND: the data part of each experiment, with the experiments' defaults.
 
 Making data: corpus, dyck, longrange, pretraining (packed blocks), pilot, distribution, backbone and bidirectional
-(train and test splits of pairs), remote (a mixture of two sources), structural (fractions of tasks), forward (a fixed
-sample). Reading what models gave: evaluate (predictions), dynamics (predictions by step), cka and probe (hidden states),
-heads and selectivity (attention). report: the tables of all records. Options of training itself (epochs, bs, lr, ...)
+(train and test splits of pairs for each seed), remote (mixtures of two sources), structural (fractions of tasks), forward (a fixed
+sample). Reading what models gave: evaluate (predictions), sentence, crossmodal, ablation and transfer (predictions, as the
+records that report reads), dynamics (predictions by step), cka and probe (hidden states), heads, forward_heads and
+selectivity (attention). report: the tables of all records. Options of training itself (epochs, bs, lr, ...)
 are taken and handed on in the records' settings file, but nothing is trained here.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandlab import schemas
 from strandlab.config import DEFAULTS, TASKS
+from strandlab.functions import tokenize
 from strandlab.functions.scalars import diff_positions, tokenizer
 from strandlab.operators import corpus, metrics, represent, sampling, sequences, stats, tasks
 from strandlab.plans import reports
@@ -70,14 +72,22 @@ def _identified(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("example_id", F.xxhash64(*pairs.columns))
 
 
+def _seeds(a: argparse.Namespace) -> list[int]:
+    """The seeds of a command: start to start + n_seeds - 1, or its one seed."""
+    return list(range(getattr(a, "start", 0), getattr(a, "start", 0) + a.n_seeds)) if hasattr(a, "n_seeds") else [a.seed]
+
+
 def build_splits(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = sampling.split(_identified(readers.pairs_csv(spark, a.pairs)), a.seed, a.n_test, "example_id")
-    rows.write.mode("overwrite").partitionBy("split").parquet(f"{a.out}/pairs")
+    """A split for each seed from one scan, in a folder for each seed and split."""
+    rows = sampling.splits(_identified(readers.pairs_csv(spark, a.pairs)), _seeds(a), a.n_test, "example_id")
+    rows.write.mode("overwrite").partitionBy("seed", "split").parquet(f"{a.out}/pairs")
 
 
 def build_mixture(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A mixture for each seed, split for training and testing."""
     remote, standard = (_identified(readers.pairs_csv(spark, x)) for x in (a.remote_pairs, a.pairs))
-    sampling.placed_mixture(remote, standard, a.seed, a.n_source, a.mix_remote, "example_id").write.mode("overwrite").parquet(f"{a.out}/mixture")
+    rows = sampling.mixtures(remote, standard, _seeds(a), a.n_source, a.mix_remote, a.n_test, "example_id")
+    rows.write.mode("overwrite").partitionBy("seed", "split").parquet(f"{a.out}/mixture")
 
 
 def build_fractions(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -110,6 +120,49 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.append_records(found, f"{a.out}/metrics", keys)
 
 
+def _metric_of() -> dict[str, str]:
+    return {name: t.metric for name, t in TASKS.items()}
+
+
+def sentence(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Records of sentence tasks by model and seed, as the report reads them: the task's own metric, and the share of unknown
+    tokens in the first validation texts, whose tokens(task, model, example_id, tokens) hold the special ones too."""
+    rows = _predictions(spark, a, schemas.TASK_PREDICTIONS)
+    keys = ["task", "model", "hf", "seed"]
+    found = metrics.scored(rows, _metric_of(), *keys).drop("f1", "n")
+    if a.tokens:
+        tokens = spark.read.schema("task string, model string, example_id bigint, tokens array<string>").parquet(a.tokens)
+        unknown = [tokenize.unknown_fraction(tokens.filter(F.array_contains("tokens", s[0])), "tokens", s[2], "example_id", "task", "model") for s in (tokenize.TEXT_SPECIALS, tokenize.RESIDUE_SPECIALS)]
+        found = found.join(unknown[0].unionByName(unknown[1]), ["task", "model"], "left")
+    sinks.append_records(found, f"{a.out}/esm_on_nl.jsonl", keys)
+
+
+def crossmodal(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Records of the protein side of the 2 x 2 matrix: accuracy and F1 by model and seed."""
+    keys = ["task", "model", "hf", "seed"]
+    found = metrics.scored(_predictions(spark, a, schemas.TASK_PREDICTIONS), {}, *keys)
+    sinks.append_records(found.drop("metric", "score", "n"), f"{a.out}/crossmodal_2x2.jsonl", keys)
+
+
+def ablation(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Records of tasks by pretraining group, fraction, base and seed."""
+    keys = ["task", "group", "frac", "base", "seed"]
+    found = metrics.scored(_predictions(spark, a, schemas.GROUP_PREDICTIONS), _metric_of(), *keys)
+    sinks.append_records(found.drop("acc", "f1", "n"), f"{a.out}/exp2_structural_nl.jsonl", keys)
+
+
+#: The splits of a run that its record holds.
+RUN_SPLITS = ("baseline_pawsx_test", "protein_indomain", "transfer_pawsx_test", "transfer_pawsx_val")
+
+
+def transfer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One record for each model and seed, with the metrics of all its splits."""
+    each = metrics.evaluated(_predictions(spark, a, schemas.RUN_PREDICTIONS), "model", "seed", "split")
+    values = F.struct(*(F.round(c, 4).alias(c) for c in ("acc_raw", "acc_flipbest", "f1")))
+    found = each.groupBy("model", "seed").agg(*(F.max(F.when(F.col("split") == s, values)).alias(s) for s in RUN_SPLITS))
+    sinks.append_records(found, f"{a.out}/tier1_distribution.jsonl", ["model", "seed"])
+
+
 def dynamics(spark: SparkSession, a: argparse.Namespace) -> None:
     """A trajectory for each direction and seed, a point every eval_every steps."""
     rows = _predictions(spark, a, schemas.TRAINING_STEPS).filter(F.col("step") % a.eval_every == 0)
@@ -133,36 +186,42 @@ def cka(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.append_records(found.groupBy("model").agg(layers.alias("per_layer")), f"{a.out}/cka", ["model"])
 
 
-def _selected(spark: SparkSession, a: argparse.Namespace, last_query: bool) -> DataFrame:
-    """Selectivity of heads; differing places come from the pairs' tokens, pairs without a usable difference are left out."""
-    pairs = spark.read.schema("pair_id bigint, modality string, a array<string>, b array<string>").parquet(a.token_pairs)
-    pairs = sampling.shuffled_rank(pairs, 0, "pair_id").filter(F.col("rank") <= a.n)
-    diff = pairs.select("pair_id", "modality", diff_positions(F.col("a"), F.col("b")).alias("diff"), F.least(F.size("a"), F.size("b")).alias("length"))
-    diff = diff.filter((F.size("diff") > 0) & (F.size("diff") < F.col("length")))
-    return represent.selectivity(spark.read.schema(schemas.ATTENTION).parquet(a.attention), diff, last_query)
+def _selected(spark: SparkSession, a: argparse.Namespace, last_query: bool, guard: str, homologs: str) -> DataFrame:
+    """Selectivity of heads over the first n pairs of each modality in hash order. homologs: the condition under which only
+    pairs labelled 1 count; pairs without a label count. What the guard says of L is about the weights' own length."""
+    pairs = spark.read.schema(schemas.TOKEN_PAIRS).parquet(a.token_pairs).filter(f"not ({homologs}) or coalesce(label, 1) = 1")
+    pairs = sampling.shuffled_rank(pairs, a.seed, "pair_id", by=["modality"]).filter(F.col("rank") <= a.n)
+    diff = represent.usable_pairs(pairs) if guard == "min" else pairs.select("pair_id", "modality", diff_positions(F.col("a"), F.col("b")).alias("diff"))
+    attention = spark.read.schema(schemas.ATTENTION).parquet(a.attention)
+    return represent.selectivity(represent.rows_of_weights(attention), diff, last_query, guard)
 
 
-def heads(spark: SparkSession, a: argparse.Namespace) -> None:
-    found = _selected(spark, a, last_query=True)
+def _top_heads(found: DataFrame) -> DataFrame:
     top = stats.top_within(found, "score", ["layer", "head"], ["model", "modality"])
-    sinks.append_records(top.join(found.groupBy("model", "modality").agg(F.max("n_pairs").alias("n_pairs"), F.max("score").alias("max_diff_attn"), F.avg("score").alias("mean_diff_attn")), ["model", "modality"]), f"{a.out}/heads", ["model", "modality"])
+    return top.join(found.groupBy("model", "modality").agg(F.max("n_pairs").alias("n_pairs"), F.max("score").alias("max_diff_attn"), F.avg("score").alias("mean_diff_attn")), ["model", "modality"])
+
+
+def heads(spark: SparkSession, a: argparse.Namespace) -> None:
+    sinks.append_records(_top_heads(_selected(spark, a, True, "min", "false")), f"{a.out}/heads", ["model", "modality"])
+
+
+def forward_heads(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The same over homologous pairs only; a pair is left out where all of its places differ."""
+    sinks.append_records(_top_heads(_selected(spark, a, True, "L", "true")), f"{a.out}/forward_heads", ["model", "modality"])
 
 
 def selectivity(spark: SparkSession, a: argparse.Namespace) -> None:
-    found = stats.z_of_max(_selected(spark, a, last_query=False), "score", ["layer", "head"], "model", "modality")
+    found = stats.z_of_max(_selected(spark, a, False, "L-1", "modality <> 'NL'"), "score", ["layer", "head"], "model", "modality")
     sinks.append_records(found.select("model", "modality", F.round("max", 4).alias("max"), F.round("z", 2).alias("z_of_max"), F.round("mean", 5).alias("mean_over_heads"), F.array("at_layer", "at_head").alias("max_head")), f"{a.out}/selectivity", ["model", "modality"])
 
 
 def probe(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Cross-validated accuracy of each model's layers; labels come as a table (example_id, label)."""
+    """Cross-validated accuracy of all models' layers, fitted together; labels come as a table (example_id, label)."""
     states = spark.read.schema(schemas.HIDDEN_STATES).parquet(a.states)
     rows = states.join(spark.read.schema("example_id bigint, label int").parquet(a.labels), "example_id")
     rows = rows.join(sampling.shuffled_rank(rows.select("example_id").distinct(), a.seed, "example_id").filter(F.col("rank") <= a.n), "example_id")
-    found = []
-    for model, layer in sorted(map(tuple, rows.select("model", "layer").distinct().collect())):  # a few dozen
-        own = rows.filter((F.col("model") == model) & (F.col("layer") == layer))
-        found.append(represent.probe_accuracy(own, "features", "label", a.seed, "example_id").agg(F.lit(model).alias("base"), F.lit(layer).alias("layer"), F.round(F.avg("accuracy"), 4).alias("accuracy")).first())
-    each = spark.createDataFrame(found, "base string, layer int, accuracy double")
+    found = represent.probe_accuracy(rows, "features", "label", a.seed, "example_id", keys=("model", "layer"))
+    each = found.groupBy(F.col("model").alias("base"), "layer").agg(F.round(F.avg("accuracy"), 4).alias("accuracy"))
     layers = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("layer").cast("string"), "accuracy"))))
     best = F.max(F.struct("accuracy", -F.col("layer")))
     out = each.groupBy("base").agg(layers.alias("per_layer"), F.max_by("accuracy", "layer").alias("probe_acc_last"), best.alias("best"))
@@ -187,10 +246,15 @@ COMMANDS = {
     "structural": (build_fractions, ("data",)),
     "forward": (build_sample, ("pairs",)),
     "evaluate": (evaluate, ("predictions",)),
+    "sentence": (sentence, ("predictions", "tokens")),
+    "crossmodal": (crossmodal, ("predictions",)),
+    "ablation": (ablation, ("predictions",)),
+    "transfer": (transfer, ("predictions",)),
     "dynamics": (dynamics, ("predictions",)),
     "cka": (cka, ("states",)),
     "probe": (probe, ("states", "labels")),
     "heads": (heads, ("attention", "token_pairs")),
+    "forward_heads": (forward_heads, ("attention", "token_pairs")),
     "selectivity": (selectivity, ("attention", "token_pairs")),
     "report": (build_report, ("records", "mechanism")),
 }

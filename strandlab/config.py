@@ -31,8 +31,8 @@ DEFAULTS = {
     "pretraining": {"seed": 0, "base": "gpt2", "epochs": 1, "bs": 16, "grad_accum": 2, "lr": 5e-5, "max_steps": -1, "block": 512},
     "pilot": {"epochs": 4, "seed": 56, "max_length": 256, "bs": 32, "lr": 1e-5},
     "distribution": {"n_seeds": 100, "start": 0, "epochs": 4, "bs": 64, "lr": 1e-5},
-    "remote": {"mix_remote": 0.7, "n_source": 20_000, "n_seeds": 10},
-    "backbone": {"n_seeds": 10},
+    "remote": {"mix_remote": 0.7, "n_source": 20_000, "n_seeds": 10, "start": 0},
+    "backbone": {"n_seeds": 10, "start": 0},
     "bidirectional": {"n_seeds": 15, "epochs": 4, "bs": 32, "lr": 1e-5},
     "structural": {"seed": 0, "base": "gpt2", "fractions": "0.01,0.05,0.1,1.0", "tasks": "paws-x,cola,rte"},
     "dyck": {"length": 40, "n_types": 3, "n_train": 8000, "n_val": 2000, "seed": 0},
@@ -41,6 +41,7 @@ DEFAULTS = {
     "cka": {"n": 1000},
     "dynamics": {"seeds": "0,1,2", "epochs": 3, "bs": 32, "eval_every": 60},
     "heads": {"n": 300},
+    "forward_heads": {"n": 300},
     "selectivity": {"n": 400},
     "probe": {"n": 2000},
 }

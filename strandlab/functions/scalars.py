@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +36,18 @@ def tokens(text: Column) -> Column:
 
 def tokenizer(name: str = "words") -> Callable[[Column], Column]:
     """text -> its tokens: words (between white space), letters, words_and_marks (letters or digits, and each other sign),
-    or the pieces of a local SentencePiece file, whose path ends in .model."""
+    residues (with special tokens), the pieces of a vocabulary (a text file of a piece a line, .txt) by longest match, or
+    those of a local SentencePiece file, whose path ends in .model."""
     if name.endswith(".model"):
         return lambda text: _pieces(name)(text)
+    if name.endswith(".txt") or name == "residues":
+        from pyspark.sql import SparkSession
+
+        from strandlab.functions.tokenize import residue_tokens, word_pieces
+
+        if name == "residues":
+            return residue_tokens("ACDEFGHIKLMNPQRSTVWYBXZUO")
+        return word_pieces(r[0] for r in SparkSession.getActiveSession().read.text(name).collect())
     patterns = {"words": r"\S+", "words_and_marks": r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"}
     if name == "letters":
         return letters
@@ -48,8 +58,6 @@ def tokenizer(name: str = "words") -> Callable[[Column], Column]:
 
 def _pieces(path: str):
     """Arrow batches through the library: no built-in function encodes."""
-    import pandas as pd
-
     loaded = []
 
     @F.pandas_udf("array<string>")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.operators.sampling import bucketed_sum
-
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """Texts without outer white space and with spaces for line ends; empty ones go."""
@@ -15,9 +13,22 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def capped(rows: DataFrame, order: list[str], bucket: Column, tokens: Column, target: int) -> DataFrame:
-    """Rows in order until their tokens reach the target, with the row that crosses it; n_tokens is added."""
-    counted = bucketed_sum(rows.withColumn("n_tokens", tokens), F.col("n_tokens"), bucket, order, before=True, name="__so_far")
-    return counted.filter(F.col("__so_far") < target).drop("__so_far")
+    """Rows in order until their tokens reach the target, with the row that crosses it; n_tokens is added.
+
+    bucket ascends with the order; a null one comes first. Sums of buckets find the one that crosses. Rows of earlier
+    buckets pass by a filter, those of later ones are dropped by it, and only the crossing bucket's rows are ordered: no
+    other row is shuffled.
+    """
+    rows = rows.withColumn("n_tokens", tokens)
+    sums = rows.groupBy(bucket.alias("b")).agg(F.sum("n_tokens").alias("s"))
+    so_far = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(so_far), F.lit(0))).filter(F.col("before") < target)
+    last = sums.agg(F.struct(F.max("b").alias("b"), F.coalesce(F.max("before"), F.lit(0)).alias("before"))).scalar()
+    crossing = rows.filter(bucket.eqNullSafe(last["b"]))
+    inside = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    crossing = crossing.withColumn("__so_far", last["before"] + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    earlier = rows.filter((bucket < last["b"]) | (bucket.isNull() & last["b"].isNotNull()))
+    return earlier.unionByName(crossing.filter(F.col("__so_far") < target).drop("__so_far"))
 
 
 def packed(rows: DataFrame, batch: Column, order: list[str], tokens: str, size: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators.ranges import before, dealt
+
 
 def predicted(logit0: str = "logit0", logit1: str = "logit1") -> Column:
     """The larger logit's class; 0 for equal ones."""
@@ -43,6 +45,16 @@ def evaluated(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("acc_flipbest", F.greatest(F.col("acc_raw"), 1 - F.col("acc_raw")))
 
 
+def scored(rows: DataFrame, metric_of: dict[str, str], *keys: str, task: str = "task") -> DataFrame:
+    """keys (task among them), metric, score, acc and f1 to 4 places; score is the task's own metric, mcc or accuracy (the
+    default)."""
+    named = F.element_at(F.create_map(*(F.lit(x) for pair in metric_of.items() for x in pair)), F.col(task)) if metric_of else F.lit(None)
+    out = rows.groupBy(*keys).agg(accuracy().alias("acc"), mcc().alias("__mcc"), f1().alias("f1"), F.count("*").alias("n"))
+    out = out.withColumn("metric", F.coalesce(named, F.lit("accuracy")))
+    score = F.when(F.col("metric") == "mcc", F.col("__mcc")).otherwise(F.col("acc"))
+    return out.select(*keys, "metric", F.round(score, 4).alias("score"), F.round("acc", 4).alias("acc"), F.round("f1", 4).alias("f1"), "n")
+
+
 def guarded(rows: DataFrame, *keys: str) -> DataFrame:
     """Where accuracy is under one half all predictions flip before any metric is taken; label_flipped says so.
 
@@ -58,11 +70,15 @@ def guarded(rows: DataFrame, *keys: str) -> DataFrame:
 def auc(rows: DataFrame, score: str, *keys: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks; null without both classes. Flipping is independent of accuracy's.
 
-    Equal scores are counted together before any ordering, so a task sees each distinct score once.
+    Equal scores are counted together first. Scores are dealt out by ranges of (keys, score): pairs of one range are counted
+    within it, pairs across ranges by the ranges' sums, so a large group's scores never meet in one task.
     """
-    ties = rows.groupBy(*keys, score).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    ties = rows.groupBy(*keys, F.col(score).alias("__v")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+    own = [*keys, "__range"]
+    ties = dealt(ties, list(keys), "__v").withColumn("under", F.coalesce(F.sum("q").over(before(own, "__v")), F.lit(0)))
     pairs = F.sum(F.col("p") * (F.col("under") + F.col("q") / 2.0))
-    out = ties.groupBy(*keys).agg(F.try_divide(pairs, (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
+    ranges = ties.groupBy(*own).agg(F.min("__v").alias("__low"), F.sum("p").alias("p"), F.sum("q").alias("q"), pairs.alias("pairs"))
+    ranges = ranges.withColumn("under", F.coalesce(F.sum("q").over(before(list(keys), "__low")), F.lit(0)))
+    whole = F.sum(F.col("pairs") + F.col("p") * F.col("under").cast("double"))
+    out = ranges.groupBy(*keys).agg(F.try_divide(whole, (F.sum("p").cast("double") * F.sum("q"))).alias("auc"))
     return out.withColumn("auc_flipbest", F.greatest(F.col("auc"), 1 - F.col("auc")))

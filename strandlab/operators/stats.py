@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlab.operators.ranges import WHOLE, percentiles
+
 
 def summarised(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """mean, population standard deviation and n."""
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
 
 
-def described(rows: DataFrame, value: str, *keys: str, places: int = 4) -> DataFrame:
-    """n, mean, std, min, p25, median, p75 and max, with exact interpolated percentiles."""
-    at = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), at.alias("p"), F.max(value).alias("max"))
-    named = {"p25": F.col("p")[0], "median": F.col("p")[1], "p75": F.col("p")[2]}
-    out = out.withColumns(named).drop("p")
-    return out.withColumns({c: F.round(c, places) for c in ("mean", "std", "min", "p25", "median", "p75", "max")})
+def described(rows: DataFrame, value: str, *keys: str, places: int = 4, whole: int = WHOLE) -> DataFrame:
+    """n, mean, std, min, p25, median, p75 and max, with exact interpolated percentiles (see ranges.percentiles)."""
+    own = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    p = percentiles(rows, value, list(keys), (0.25, 0.5, 0.75), own, whole)
+    p = p.select(*(F.col(k).alias(f"__{k}") for k in keys), "p")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = own.join(p, on, "left")
+    cells = {"n": F.col("n"), "mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), "p25": F.col("p")[0], "median": F.col("p")[1], "p75": F.col("p")[2], "max": F.col("max")}
+    return out.select(*keys, *((c if name == "n" else F.round(c, places)).alias(name) for name, c in cells.items()))
 
 
 def exceeding(rows: DataFrame, diff: Column, thresholds: tuple[float, ...] = (0.0, 0.02, 0.05), *keys: str) -> DataFrame:

@@ -408,12 +408,14 @@ def cka_permuted_floor(spark, sf_dir):
 
 
 def _attention(spark, sf_dir):
-    """Attention tables by hash, of all vectors: two models, a pair for each vector, 2 layers, 4 heads, 8 places."""
-    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), F.lit("NL").alias("modality"), F.explode(F.sequence(F.lit(0), F.lit(511))).alias("c"))
-    rows = e.select("model", "modality", "pair_id", F.expr("cast(c div 256 as int)").alias("layer"), F.expr("cast(c div 64 % 4 as int)").alias("head"), F.expr("cast(c div 8 % 8 as int)").alias("q"), F.expr("c % 8").alias("k"), "c")
-    w = F.round(scalars.unit_hash(F.lit("7"), F.col("pair_id").cast("string"), F.col("c").cast("string")), 6)
-    diff = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.lit("NL").alias("modality"), F.array((F.col("vec_id") % 8).cast("int"), ((F.col("vec_id") + 3) % 8).cast("int")).alias("diff"))
-    return rows.withColumn("w", w).drop("c"), diff
+    """Attention by hash, of all vectors: two models, a pair for each vector, 2 layers, 4 heads, 8 queries of 8 weights."""
+    own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), F.lit("NL").alias("modality"))
+    rows = tasks.spread(own).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("c"))
+    weight = lambda i: F.round(scalars.unit_hash(F.lit("7"), F.col("pair_id").cast("string"), i.cast("string")), 6)
+    weights = F.array(*(weight(F.col("c") * 8 + k) for k in range(8)))
+    rows = rows.select("model", "modality", "pair_id", F.expr("cast(c div 32 as int)").alias("layer"), F.expr("cast(c div 8 % 4 as int)").alias("head"), (F.col("c") % 8).alias("q"), weights.alias("w"))
+    diff = own.select("pair_id", "modality", F.array((F.col("pair_id") % 8).cast("int"), ((F.col("pair_id") + 3) % 8).cast("int")).alias("diff"))
+    return rows, diff
 
 
 _A = """a as (select 'm' || (vec_id % 2) as model, 'NL' as modality, vec_id as pair_id, (c // 256)::int as layer, (c // 64 % 4)::int as head, c // 8 % 8 as q, c % 8 as k,

@@ -7,6 +7,11 @@ SENTENCE = "sentence string, label int"
 PREDICTIONS = "direction string, model string, seed int, split string, example_id bigint, label int, logit0 double, logit1 double"
 HIDDEN_STATES = "model string, modality string, layer int, example_id bigint, features array<double>"
 ATTENTION = "model string, modality string, pair_id bigint, layer int, head int, q int, k int, w double"
+#: Predictions of sentence tasks by model, of tasks by pretraining group and share of the training rows, and of splits of a run.
+TASK_PREDICTIONS = "task string, model string, hf string, seed bigint, example_id bigint, label int, logit0 double, logit1 double"
+GROUP_PREDICTIONS = "task string, `group` string, frac double, base string, seed bigint, example_id bigint, label int, logit0 double, logit1 double"
+RUN_PREDICTIONS = "model string, seed bigint, split string, example_id bigint, label int, logit0 double, logit1 double"
+TOKEN_PAIRS = "pair_id bigint, modality string, label int, a array<string>, b array<string>"
 TRAINING_STEPS = "direction string, seed bigint, step int, example_id bigint, label int, logit0 double, logit1 double"
 
 _M2 = "struct<acc_raw: double, acc_flipbest: double>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.schemas import PAIR, RECORDS, SENTENCE
@@ -20,14 +20,15 @@ def fasta(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """seq_id and seq of each record of a FASTA file: headers dropped, white space removed.
 
     seq_id is a hash of the record with its header, so it is the same however the files are split; equal records share
-    one. Records are split by Spark's own line reader, so a large file is read in parallel; with `most` the scan stops
-    early, after the first records. Records without residues are left out.
+    one. Records are split by Spark's own line reader, so a large file is read in parallel. With `most` only the first
+    records count, in order of files and of places within them, however the files are split. Records without residues are
+    left out.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace(F.regexp_replace("value", r"^>?[^\n]*\n?", ""), r"\s+", "")
     name = F.regexp_replace("value", r"^>|\s+$", "")
-    out = raw.select(F.xxhash64(name).alias("seq_id"), body.alias("seq")).filter("seq <> ''")
-    return out.limit(most) if most else out
+    out = raw.select(F.xxhash64(name).alias("seq_id"), body.alias("seq"), *_place()).filter("seq <> ''")
+    return (out.orderBy("__file", "__block", "__row").limit(most) if most else out).select("seq_id", "seq")
 
 
 def pairs_csv(spark: SparkSession, path: str, schema: str = PAIR) -> DataFrame:
@@ -61,8 +62,15 @@ def document_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumnRenamed("value", "text")
+def _place() -> list[Column]:
+    """Where a row of a text file stands: file, start of the block that a task read it from, and the order within a task."""
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row")]
+
+
+def lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """text of each line; with `most` of the first ones, in order of files and of places within them."""
+    rows = spark.read.text(path).withColumnRenamed("value", "text")
+    return rows.select("text", *_place()).orderBy("__file", "__block", "__row").limit(most).select("text") if most else rows
 
 
 def lines_stream(spark: SparkSession, path: str, files_at_once: int = 16) -> DataFrame:
@@ -75,9 +83,22 @@ def available(requested: DataFrame, catalog: DataFrame, on: list[str]) -> DataFr
     return requested.join(catalog, on, "left_semi")
 
 
-def run_catalog(spark: SparkSession, folder: str, base: str, seed: int, groups: list[str], base_model: str | None = None) -> DataFrame:
-    """group and path of the checkpoints `<base>/<group>_seed<seed>` in a folder, with the base model itself as `base`."""
-    tag = base.replace("/", "_")
-    found = [("base", base_model or base)]
-    found += [(g, p) for g in groups if exists(spark, p := f"{folder}/{tag}/{g}_seed{seed}")]
-    return spark.createDataFrame(found, "`group` string, path string")
+def pending(requested: DataFrame, catalog: DataFrame, on: list[str]) -> DataFrame:
+    """Requested runs that don't exist yet."""
+    return requested.join(catalog, on, "left_anti")
+
+
+def run_catalog(spark: SparkSession, folder: str, base_models: dict[str, str] | None = None) -> DataFrame:
+    """base, group, seed and path of all checkpoints `<base>/<group>_seed<seed>` of a folder, from one listing.
+
+    base_models (name -> path) are added as group `base` without a seed. Slashes of a base's name are underscores in the
+    folder; base is the folder's name.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(f"{folder}/*/*_seed*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    paths = spark.createDataFrame([(s.getPath().toString(),) for s in found if s.isDirectory()], "path string")
+    part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)_seed(\d+)$", k)
+    runs = paths.filter(part(3) != "").select(part(1).alias("base"), part(2).alias("group"), part(3).cast("int").alias("seed"), "path")
+    own = [(name.replace("/", "_"), "base", None, path) for name, path in (base_models or {}).items()]
+    return runs.unionByName(spark.createDataFrame(own, "base string, `group` string, seed int, path string"))

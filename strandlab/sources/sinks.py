@@ -9,14 +9,15 @@ from strandlab.operators.corpus import capped
 
 
 def append_records(records: DataFrame, path: str, key: list[str] | None = None) -> None:
-    """Adds records. Rows whose key is there already, or comes twice, are left out, so a repeated run adds nothing."""
-    from strandlab.sources.readers import exists
-
-    records = records.dropDuplicates(key) if key else records
-    if key and exists(records.sparkSession, path):
-        old = records.sparkSession.read.schema(records.schema).json(path).select(*key).distinct()
-        records = records.join(old, key, "left_anti")
-    records.write.mode("append").json(path)
+    """Adds records. With a key each run has a partition of its own, which is replaced as a whole when the run comes again:
+    nothing that is there is read, a repeated run adds nothing, and writers of different runs don't meet. Of rows that share
+    a key within `records` one is written.
+    """
+    if key:
+        own = records.dropDuplicates(key).repartition(*key)
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).json(path)
+    else:
+        records.write.mode("append").json(path)
 
 
 def overwrite_document(row: DataFrame, path: str) -> None:

@@ -131,7 +131,13 @@ def test_sources(spark, tmp_path):
     pairs.write.partitionBy("split").parquet(str(tmp_path / "pairs"))
     assert [tuple(r) for r in readers.pairs_splits(spark, str(tmp_path / "pairs"), "val").collect()] == [("c", "d", 0)]
     os.makedirs(tmp_path / "ck/gpt2/text_seed0")
-    assert {r["group"] for r in readers.run_catalog(spark, str(tmp_path / "ck"), "gpt2", 0, ["text", "protein"]).collect()} == {"base", "text"}
+    os.makedirs(tmp_path / "ck/gpt2/text_seed12")
+    os.makedirs(tmp_path / "ck/org_bert/protein_x_seed0")
+    catalog = readers.run_catalog(spark, str(tmp_path / "ck"), {"gpt2": "gpt2"})
+    assert {tuple(r)[:3] for r in catalog.collect()} == {("gpt2", "base", None), ("gpt2", "text", 0), ("gpt2", "text", 12), ("org_bert", "protein_x", 0)}
+    wanted = spark.createDataFrame([("gpt2", g, s) for g in ("text", "protein") for s in (0, 1)], "base string, `group` string, seed int")
+    assert [tuple(r) for r in readers.available(wanted, catalog, ["base", "group", "seed"]).collect()] == [("gpt2", "text", 0)]
+    assert readers.pending(wanted, catalog, ["base", "group", "seed"]).count() == 3
 
 
 def test_sinks(spark, tmp_path):
@@ -153,9 +159,9 @@ def test_stream_equals_batch(spark, tmp_path):
         df = spark.createDataFrame(rows, "seed bigint, source string, auc double").withColumns({"target": F.lit("t"), "acc_flipbest": F.col("auc")})
         df.write.mode("append").json(str(tmp_path / "in"))
     stream = live.once(live.arriving(spark, str(tmp_path / "in"), "forward_source"), ["source", "seed"])
-    live.follow(live.summarised(stream, "auc", "source"), "live", str(tmp_path / "ck")).awaitTermination()
+    live.follow(live.summarised(stream, "auc", "source"), str(tmp_path / "live"), str(tmp_path / "ck"), ["source"]).awaitTermination()
     batch = spark.read.schema(schemas.RECORDS["forward_source"]).json(str(tmp_path / "in")).groupBy("source").agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"), F.count("auc").alias("n"))
-    assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, live.followed(spark, str(tmp_path / "live"), ["source"]).collect())) == sorted(map(tuple, batch.collect()))
 
 
 def test_stream_budget_and_windows(spark, tmp_path, data):
@@ -163,12 +169,17 @@ def test_stream_budget_and_windows(spark, tmp_path, data):
         spark.createDataFrame([(f"a b c {k}",)], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
     stream = readers.lines_stream(spark, str(tmp_path / "in"), 1)
     assert live.write_until(stream, str(tmp_path / "out"), 6, F.size(F.split("text", " ")), str(tmp_path / "ck")) == 8
+    whole = spark.read.parquet(str(tmp_path / "out")).count()
+    spark.createDataFrame([("c d",), ("a b",), ("b c",), ("e f",)], "value string").coalesce(1).write.text(str(tmp_path / "one"))
+    one = readers.lines_stream(spark, str(tmp_path / "one"))
+    assert live.write_until(one, str(tmp_path / "cut"), 3, F.size(F.split("text", " ")), str(tmp_path / "ck8")) == 4 and whole == 2
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "cut")).collect()) == ["a b", "b c"]
     # A batch that is played again after a crash is written once; a restart adds nothing.
     assert live.write_until(readers.lines_stream(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), 6, F.size(F.split("text", " ")), str(tmp_path / "ck9")) == 8
     events = spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parquet*")
     table = live.windowed(events, "ts", "value", "event_type")
-    live.follow(table, "win", str(tmp_path / "ck2")).awaitTermination()
-    assert spark.table("win").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
+    live.follow(table, str(tmp_path / "win"), str(tmp_path / "ck2"), ["w", "event_type"]).awaitTermination()
+    assert live.followed(spark, str(tmp_path / "win"), ["w", "event_type"]).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{data}/events.parquet").count()
 
 
 def test_commands(spark, tmp_path):
