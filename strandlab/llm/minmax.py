@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from strandlab.llm import kernel
 from strandlab.llm.components import components
-from strandlab.llm.shared import forget, ready, written
+from strandlab.llm.shared import forget, ready, whole, written
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 80, 4
@@ -288,11 +288,12 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Every row is judged by a key of its own, so rows that share an id, or have none, are told apart. Rows without
     shingles stay alone as documents: one row of each id stays, and all of those that have no id either.
     """
-    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    verdict = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), **how)
+    keyed = written(docs.select(whole(docs.columns).alias("row"), F.monotonically_increasing_id().alias("__key")), "keyed")
+    verdict = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), F.col("row.text").alias("text")), **how)
     verdict = verdict.select(F.col("doc_id").alias("__key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__component"))
-    ids = keyed.select("__key", F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__print"))
+    ids = keyed.select("__key", F.col("row.doc_id").alias("__id"), F.xxhash64("row.text").alias("__print"))
     alone = F.col("__component").isNull()
     group = [F.col("__component"), F.when(alone, F.col("__id")).alias("__alone"), F.when(alone & F.col("__id").isNull(), F.col("__key")).alias("__own")]
     best = verdict.join(ids, "__key").groupBy(*group).agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__print", "__key")).alias("best"))
-    return keyed.join(best.select(F.col("best.__key").alias("__key")), "__key", "left_semi").drop("__key").select(*docs.columns)
+    kept = keyed.join(best.select(F.col("best.__key").alias("__key")), "__key", "left_semi")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

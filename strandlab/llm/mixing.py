@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import forget, n_words, written
+from strandlab.llm.shared import forget, n_words, whole, written
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -110,7 +110,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with docs' columns."""
-    rows = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "mixed")
+    rows = written(docs.select(whole(docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "mixed")
     sizes = written(_sizes(rows.select("uid", "row.doc_id", "row.source", "row.text"), "uid"), "mix")
     chosen = copies(sizes, weights, most_repeats, _digits(sizes.count())).filter("copies > 0").select("uid", "copies")
     forget(sizes)

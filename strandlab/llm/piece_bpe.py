@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlab.llm.shared import ready
+from strandlab.llm.shared import quoted, ready, whole
 
 MARK = "▁"
 #: Chunks kept by each worker, and the longest one kept, in characters.
@@ -249,7 +249,7 @@ def _encoder(model_file: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
-            column, first = batch.column("__text"), 0
+            column, rows, first = batch.column("text"), batch.column("row"), 0
             while first < len(batch):
                 ids, texts, size, last = [], [], 0, first
                 while last < len(batch) and size < BATCH_BYTES:
@@ -262,7 +262,7 @@ def _encoder(model_file: str, keep: list[str]):
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in keep), lists, pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*rows.slice(first, last - first).flatten()[: len(keep)], lists, pa.array(texts, pa.string())], [*keep, "ids", "decoded"])
                 first = last
 
     return run
@@ -273,19 +273,19 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     ready(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(_encoder(model_file, keep), schema)
+    return docs.select(whole(keep).alias("row"), F.col(quoted(text)).alias("text")).mapInArrow(_encoder(model_file, keep), schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the text of its ids; null ids give null."""
     ready(encoded.sparkSession)
-    keep = [c for c in encoded.columns if c != out]
+    keep = [c for c in encoded.columns if c not in (ids, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
-            texts = [None if x is None else own.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out])
+            texts = [None if x is None else own.decode(x) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.column("row").flatten()[: len(keep)], batch.column("ids"), pa.array(texts, pa.string())], [*keep, ids, out])
 
-    schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(out, T.StringType())])
-    return encoded.select(*keep).mapInArrow(run, schema)
+    schema = T.StructType([*(encoded.schema[c] for c in (*keep, ids)), T.StructField(out, T.StringType())])
+    return encoded.select(whole(keep).alias("row"), F.col(quoted(ids)).alias("ids")).mapInArrow(run, schema)

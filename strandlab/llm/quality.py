@@ -18,14 +18,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.shared import WORD
+from strandlab.llm.shared import WORD, whole
 
 #: Labelled rows read for learning, by hash of doc_id; rules, conditions in a rule, and thresholds tried for a feature.
 MOST_ROWS, MOST_RULES, MOST_CONDITIONS, CUTS = 20_000, 12, 3, 40
 #: Share of poor texts among those a rule covers, on the rows it was pruned on, and rows it must cover there.
 PRECISION, LEAST_COVERED = 0.95, 5
 
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_chars", "n_lines", "n_upper", "n_exclaim", "n_digits", "n_distinct")
+#: What statistics() counts; columns of these names, and of base_failed and kept, are replaced.
+_COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_exclaim", "n_digits", "n_distinct")
+STATISTICS = (*_COUNTED, "base_failed", "kept")
 FEATURES = {
     "symbol_share": "n_symbols / n_chars",
     "dup_line_share": "n_dup_lines / n_lines",
@@ -71,12 +73,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(raw, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
     of_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
     of_words = _let(F.regexp_extract_all(raw, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d"), _repeated(w).alias("r")))
-    keep = [F.col(c) for c in docs.columns if c != "text" and c not in STATISTICS]
-    out = docs.select(*keep, of_words.alias("__w"), of_lines.alias("__l"), F.length(squeezed).cast("long").alias("word_chars"), F.length(raw).cast("long").alias("n_chars"), without("#*$%&|<>").alias("n_symbols"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"), without("!").alias("n_exclaim"), without("0123456789").alias("n_digits"))
+    keep = [c for c in docs.columns if c not in ("text", *STATISTICS)]
+    out = docs.select(whole(keep).alias("row"), of_words.alias("__w"), of_lines.alias("__l"), F.length(squeezed).cast("long").alias("word_chars"), F.length(raw).cast("long").alias("n_chars"), without("#*$%&|<>").alias("n_symbols"), without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"), without("!").alias("n_exclaim"), without("0123456789").alias("n_digits"))
     long = {"n_words": "__w.n", "n_distinct": "__w.d", "n_repeat_words": "__w.r", "n_lines": "__l.n"}
     out = out.withColumns({k: F.col(v).cast("long") for k, v in long.items()} | {"n_dup_lines": (F.col("__l.n") - F.col("__l.d")).cast("long")})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.drop("__w", "__l").withColumn("base_failed", failed)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), *_COUNTED, failed.alias("base_failed"))
 
 
 def features() -> dict[str, Column]:

@@ -30,10 +30,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlab.llm import kernel
 from strandlab.llm.kernel import U64
-from strandlab.llm.shared import ready, text_bytes
+from strandlab.llm.shared import ready, text_bytes, whole
 
 MESSAGE = "dest int, src int, kind int, n long, m long, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["dest", "src", "kind", "n", "m", "a", "b", "c", "d", "e"]
@@ -424,10 +425,13 @@ def without_repeats(docs: DataFrame, p: Plan, resolver: Resolver, carry: bool =
     With carry, kept is a text and row holds all columns of docs but text.
     """
     ready(docs.sparkSession)
-    grp = F.pmod(F.hash(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(p.groups)).cast("int")
-    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] if carry else []
+    # Rows that share an id, or lack one, are dealt out by their texts; only equal rows always share a group.
+    grp = F.pmod(F.hash(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(p.groups)).cast("int")
+    own = [whole([c for c in docs.columns if c != "text"]).alias("row")] if carry else []
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", grp.alias("grp"), *own)
-    schema = "doc_id long, n_tokens long, n_removed long, n_spans long, kept " + (f"string, row {dealt.schema['row'].dataType.simpleString()}" if carry else "binary")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_tokens", "n_removed", "n_spans")])
+    schema = schema.add("kept", T.StringType() if carry else T.BinaryType())
+    schema = schema.add(dealt.schema["row"]) if carry else schema
     dealt = dealt.groupBy("grp")
     asked = dealt.applyInArrow(kernel.lean(_ask(p)), MESSAGE)
     answered = asked.groupBy("dest").applyInArrow(kernel.lean(_answer(p)), MESSAGE)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,26 +56,40 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Whether Spark drops a statement's shuffles as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _own_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Statements within drop their shuffles as they end, not when the driver's garbage happens to be collected; the
+    caller's setting is put back."""
+    before = spark.conf.get(_CLEANUP, None) if spark.conf.isModifiable(_CLEANUP) else "true"
+    if before == "true":
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/strandlab/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _own_shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["written_to"] = path
     return out
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing reads any more, as later ones hold what they held.
-
-    Spark drops shuffles and broadcasts of jobs that are over when the driver's garbage is collected, and many jobs in a
-    row fill its heap until then; so it is collected here.
-    """
+    """Deletes tables made by written() that nothing reads any more, as later ones hold what they held."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["written_to"])
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
 
 
 def quoted(name: str) -> str:
@@ -82,6 +97,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def whole(columns: list[str]) -> Column:
+    """The columns as one struct, so that their names meet no others; a constant's for none."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in columns)) if columns else F.struct(F.lit(0).alias("none"))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts, by one aggregate: the plan's own estimate is useless after joins and for data without files."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)

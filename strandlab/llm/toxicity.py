@@ -6,9 +6,9 @@ from the label log-odds of their bucket in the training sample; gradients then f
 The logit is scaled on held-back training rows, so that 0.5 is its natural boundary, and a threshold for each language
 with enough labels is chosen there; the language never enters the score.
 
-Training rows are bounded: at most `most_toxic` and `most_clean` labelled documents, those with the smallest hashes of
-doc_id, as far as their whole texts fit into `most_words` words together (one that doesn't fit in what is left is passed
-over). One task reads them as they come and sends back the model; the driver holds no text. Scoring covers every
+Training rows are bounded, and nothing else is: at most `most_toxic` and `most_clean` labelled documents, those with the
+smallest hashes of doc_id, whole, whatever their length (twelve bytes a word in the one task that reads them as they come
+and sends back the model). The driver holds no text. Scoring covers every
 document, whole, whatever its length. Null or empty text has the score of no words. Labels without a document, null
 labels and null ids are ignored in training; a document labelled more than once is used with its highest label, and of
 rows that share an id the one with the smallest text. If a class is missing all scores are 0 (no toxic row) or 1.
@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from strandlab.llm import kernel
 from strandlab.llm.kernel import U64
-from strandlab.llm.shared import ready
+from strandlab.llm.shared import ready, whole
 
-MOST_TOXIC, MOST_CLEAN, MOST_WORDS = 3000, 5000, 12_000_000
+MOST_TOXIC, MOST_CLEAN = 3000, 5000
 WORD_BITS, PREFIX_BITS, SIZE, FILTERS, WIDTHS = 16, 14, 16, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 64, 0.05
 #: Words after which a batch of training documents is closed, and of a piece of a long one.
@@ -262,20 +262,17 @@ def trained(ids: list[np.ndarray], y: np.ndarray, langs: np.ndarray, total: dict
     return model
 
 
-def _trainer(total: dict[int, int], most_words: int):
+def _trainer(total: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, y, langs, seen, left = [], [], [], set(), most_words
+        ids, y, langs, seen = [], [], [], set()
         for batch in batches:
             for k, row in enumerate(batch.column("doc_id").to_pylist()):
                 if row in seen:
                     continue
                 seen.add(row)
-                one = _ids_of([batch.column("text")[k].as_py()])[0]
-                if one.shape[1] <= left:
-                    left -= one.shape[1]
-                    ids.append(one)
-                    y.append(batch.column("y")[k].as_py())
-                    langs.append(str(batch.column("lang")[k].as_py()))
+                ids.append(_ids_of([batch.column("text")[k].as_py()])[0])
+                y.append(batch.column("y")[k].as_py())
+                langs.append(str(batch.column("lang")[k].as_py()))
         blob = pickle.dumps(trained(ids, np.array(y, int), np.array(langs, str), total))
         ids.clear()
         kernel.release()
@@ -284,7 +281,7 @@ def _trainer(total: dict[int, int], most_words: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_words: int = MOST_WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """A model from labelled documents outside the held-out fifth."""
     ready(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -296,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: in
     chosen = [known.filter(F.col("y") == y).orderBy(*order).limit(most) for y, most in ((1, most_toxic), (0, most_clean))]
     # The sample's size is fixed, so it may be broadcast; labels of documents that are missing cost places in it.
     rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").repartition(1).sortWithinPartitions(*order, "text")
-    got = rows.mapInArrow(_trainer(total, most_words), "model binary").collect()
+    got = rows.mapInArrow(_trainer(total), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else trained([], np.zeros(0, int), np.zeros(0, str), total)
 
 
@@ -327,8 +324,7 @@ def _judged(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
     """row (a struct of the columns to keep) and score of each document."""
     spark = docs.sparkSession
     ready(spark)
-    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0))
-    rows = docs.select(row.alias("row"), F.col("text"))
+    rows = docs.select(whole(keep).alias("row"), F.col("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), schema)
 

@@ -93,14 +93,16 @@ def test_op4(spark, tables):
     assert len(right) > 20 and np.mean(right) > 0.9
 
 
-def test_op4_samples_by_rows_and_words(spark, tables):
+def test_op4_samples_by_rows(spark, tables):
     """The bounds of the sample; labels outside the fold change nothing."""
     folder = tables[0]
     docs, known = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     flipped = known.withColumn("toxic", toxicity.F.when(toxicity.held_out(toxicity.F.col("doc_id")), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
     a, b = toxicity.fit(docs, known, most_toxic=9, most_clean=20), toxicity.fit(docs, flipped, most_toxic=9, most_clean=20)
     assert all((x == y).all() for x, y in zip(a.tables + a.filters, b.tables + b.filters, strict=True)) and a.scale == b.scale
-    assert toxicity.fit(docs, known, most_words=50).constant == 0.0
+    long = docs.withColumn("text", toxicity.F.when(toxicity.F.col("doc_id") == 24, toxicity.F.concat("text", toxicity.F.lit(" vilexgrum" * 5000))).otherwise(toxicity.F.col("text")))
+    c = toxicity.fit(long, known, most_toxic=200, most_clean=200)
+    assert not all((x == y).all() for x, y in zip(toxicity.fit(docs, known, most_toxic=200, most_clean=200).tables, c.tables, strict=True)), "a long labelled text is learnt from"
 
 
 def test_op5(spark, tables):
