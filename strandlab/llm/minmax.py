@@ -124,11 +124,11 @@ def _setter(n: int):
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, far: int = FAR) -> DataFrame:
-    """Those of pairs(rep, n, hub) whose full sets aren't far apart, with link and near."""
+    """Those of pairs(rep, hub) whose full sets aren't far apart, with their sizes n and m, link and near."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("rep", "hub"))
-    both = pairs.join(left, "rep").join(right, "hub").select("rep", "hub", F.size(F.array_intersect("set_rep", "set_hub")).cast("long").alias("common"), (F.size("set_rep") + F.size("set_hub")).cast("long").alias("total"))
+    both = pairs.join(left, "rep").join(right, "hub").select("rep", "hub", F.size(F.array_intersect("set_rep", "set_hub")).cast("long").alias("common"), (F.size("set_rep") + F.size("set_hub")).cast("long").alias("total"), F.size("set_rep").cast("long").alias("n"), F.size("set_hub").cast("long").alias("m"))
     at_least = lambda p: 100 * F.col("common") >= p * (F.col("total") - F.col("common"))
-    return both.filter(at_least(far)).select("rep", "hub", at_least(percent).alias("link"), at_least(far + 100 - percent).alias("near"))
+    return both.filter(at_least(far)).select("rep", "hub", "n", "m", at_least(percent).alias("link"), at_least(far + 100 - percent).alias("near"))
 
 
 def _prefixes(sets: list[np.ndarray], rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,13 +207,12 @@ def _across(percent: int):
 
 
 def across(families: DataFrame, groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links(u, v) within families(family, rep) between different groups(node, component)."""
+    """Links(u, v) within families(family, rep, n) between different groups(node, component); n is the size of rep's set."""
     rows = families.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("size")), "rep")
-    counts = rows.groupBy("family", "component").agg(F.sum("size").alias("n"))
+    counts = rows.groupBy("family", "component").agg(F.sum("n").alias("n"))
     per = counts.groupBy("family").agg(F.max(F.struct("n", -F.col("component"))).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
     per = per.select("family", (-F.col("m.col2")).alias("main"), F.ceil((F.col("all") - F.col("m.n")) / F.lit(BLOCK)).cast("int").alias("blocks"), F.ceil(F.col("all") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    rows = rows.drop("size").join(per, "family").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    rows = rows.drop("n").join(per, "family").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     common = ["family", "rep", "component", "shingles"]
@@ -223,11 +222,11 @@ def across(families: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
 
 
 def _left_over(active: DataFrame) -> DataFrame:
-    """Families(family, rep) of what is left of buckets(key, rep); buckets that hold the same are one."""
+    """Families(family, rep, n) of what is left of buckets(key, rep, n); buckets that hold the same are one."""
     h = F.xxhash64("rep")
     same = active.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s"))
     one = same.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
-    return active.join(one, "key").select(F.xxhash64(F.lit("bucket"), "key").alias("family"), "rep")
+    return active.join(one, "key").select(F.xxhash64(F.lit("bucket"), "key").alias("family"), "rep", "n")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -261,9 +260,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # A family is open if some member isn't in its hub's component: of two members apart, one is such.
     of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     apart = seen.join(of("rep"), "rep", "left").join(of("hub"), "hub", "left").filter(F.coalesce("of_rep", "rep") != F.coalesce("of_hub", "hub"))
-    hubs = written(apart.select("hub").distinct(), "hubs")
+    hubs = written(apart.select("hub", "m").distinct(), "hubs")
     family = F.xxhash64(F.lit("hub"), "hub").alias("family")
-    families = seen.join(hubs, "hub", "left_semi").select(family, "rep").unionByName(hubs.select(family, F.col("hub").alias("rep")))
+    families = seen.join(hubs, "hub", "left_semi").select(family, "rep", "n").unionByName(hubs.select(family, F.col("hub").alias("rep"), F.col("m").alias("n")))
     more = written(across(families.unionByName(_left_over(active)).distinct(), groups, sets, percent), "across")
     if not more.isEmpty():
         # Only components that a new link joins are looked at again.
