@@ -10,9 +10,11 @@ window's k-token grams is its anchor, equal windows have equal anchors, and neig
 3. Each group gets back the spans of its documents whose windows also start in a document with a smaller id.
 
 An anchor in more than `hot` documents would gather in one bucket without bound. Its windows travel one by one
-instead, dealt by window, as two independent 64-bit hashes with the smallest and largest document of the group; a window
-costs a row for each group of documents and not for each document. These are the only windows that aren't compared
-token by token: of n of them, two different ones are taken for equal with probability below n^2 / 2^129.
+instead, dealt by a hash of the whole window, with the smallest and largest document of the group; a window costs a row
+for each group of documents and not for each document. Windows of bytes travel whole, so these too are settled by the
+resolver, and nothing is taken for equal that isn't, byte by byte. Words are 64-bit hashes themselves; their windows
+travel as a second, independent hash, and of n of them two different ones are taken for equal with probability below
+n^2 / 2^129.
 
 Groups and buckets follow the bytes of all texts, which are measured; nothing else goes to the driver. All work is in
 shuffles, which Spark repeats if an executor is lost. Every row has spans of its own: rows that share a doc_id never
@@ -57,6 +59,11 @@ class Plan:
     groups: int
     buckets: int
 
+    @property
+    def name(self) -> np.dtype:
+        """What tells windows with one hash apart: all bytes of the window, or a second hash of its words."""
+        return np.dtype("V8" if self.words else f"V{self.n}")
+
 
 def plan(docs: DataFrame, words: bool, n: int, k: int, hot: int, group_bytes: int = 7 << 19, bucket_bytes: int = 6 << 20) -> Plan:
     """Groups and buckets of a few MB of text, growing to 64 MB where there are thousands of them."""
@@ -82,6 +89,10 @@ class Tokens:
         else:
             self.values, self.ends = self.data, self.offsets
 
+    def windows(self, n: int) -> np.ndarray:
+        """All windows of n bytes, each as one value; a view, so nothing is copied before some of them are taken."""
+        return np.ndarray(max(0, len(self.values) - n + 1), f"V{n}", self.values, 0, (1,)) if len(self.values) else np.zeros(0, f"V{n}")
+
     def sums(self, a: int, b: int, second: bool = False) -> np.ndarray:
         return kernel.prefix_sums(kernel.hash_values(self.values[a:b], second))
 
@@ -135,6 +146,26 @@ def _unzip(blob: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(dtype).reshape(-1)
 
 
+def _press(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loose(blob: bytes, n: int, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * dtype.itemsize, codec="zstd", asbytes=True), dtype)
+
+
+def _same_spans(values: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of size values from a and from b agree, value by value."""
+    out = np.zeros(len(a), bool)
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(size) // _CHUNK)) + 1):
+        if len(part):
+            n = size[part]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = values[np.repeat(a[part], n) + step] == values[np.repeat(b[part], n) + step]
+            out[part] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    return out
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").to_numpy().astype(np.int64)
 
@@ -232,15 +263,17 @@ def _send(p: Plan):
             if warm.any():
                 n, f = count[warm], first[warm]
                 starts = np.repeat(f - np.cumsum(n) + n, n) + np.arange(n.sum())
-                other = tokens.sums(a, a + len(sums) - 1, second=True)
-                single.append((kernel.span_hash(sums, starts, starts + p.n), kernel.span_hash(other, starts, starts + p.n), np.repeat(ids[doc[warm]], n)))
+                second = kernel.span_hash(tokens.sums(a, a + len(sums) - 1, second=True), starts, starts + p.n) if p.words else None
+                single.append((kernel.span_hash(sums, starts, starts + p.n), starts + a if second is None else second, np.repeat(ids[doc[warm]], n)))
         out = []
         anchor, content, first, count, doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
         if len(anchor):
             order = np.lexsort((content, anchor))
             anchor, content, first, count, doc = (x[order] for x in (anchor, content, first, count, doc))
             new = np.ones(len(anchor), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+            new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (count[1:] != count[:-1])
+            like = np.flatnonzero(~new)
+            new[like] = ~_same_spans(tokens.values, first[like], first[like - 1], count[like] + p.n - 1)
             which, at = np.cumsum(new) - 1, np.flatnonzero(new)
             bucket = _bucket(anchor, _BITS, p.buckets)
             for b, i, j in _cuts(bucket):
@@ -252,12 +285,19 @@ def _send(p: Plan):
                 blob = pa.compress(text.tobytes(), codec="zstd", asbytes=True) if text.dtype == np.uint8 else _zip(text)
                 out.append((b, group, 0, j - i, len(u), kernel.pack(anchor[u]), _zip(count[u].astype(np.uint16)), blob, _zip(place.astype(np.int64).T), None))
         if single:
-            h, g, owner = (np.concatenate(x) for x in zip(*single, strict=True))
-            order = np.lexsort((owner, g, h))
-            h, g, owner = h[order], g[order], owner[order]
-            at = _starts(h, g)
-            low, high, h, g = owner[at], owner[np.append(at[1:], len(owner)) - 1], h[at], g[at]
-            out += [(b, group, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), _zip(high[i:j]), _zip(g[i:j]), None) for b, i, j in _cuts(_bucket(h, 64, p.buckets))]
+            h, key, owner = (np.concatenate(x) for x in zip(*single, strict=True))
+            single.clear()
+            order = np.lexsort((owner, h))
+            h, key, owner = h[order], key[order], owner[order]
+            named = (lambda x: x.view(p.name)) if p.words else (lambda x: tokens.windows(p.n)[x])
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            like = np.flatnonzero(~new)
+            for x in np.array_split(like, -(-len(like) // _CHUNK) or 1):
+                new[x] = named(key[x]) != named(key[x - 1])
+            at = np.flatnonzero(new)
+            low, high, h, key = owner[at], owner[np.append(at[1:], len(owner)) - 1], h[at], key[at]
+            out += [(b, group, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), _zip(high[i:j]), _press(named(key[i:j])), None) for b, i, j in _cuts(_bucket(h, 64, p.buckets))]
         return _table(out)
 
     return run
@@ -310,17 +350,20 @@ def _resolve(p: Plan, resolver: Resolver):
     def warm(rows: list[dict]) -> list[tuple]:
         h = np.concatenate([kernel.unpack(r["a"], r["n"]) for r in rows])
         low, high = (np.concatenate([_unzip(r[x], r["n"], np.int64) for r in rows]) for x in "bc")
-        h2 = np.concatenate([_unzip(r["d"], r["n"], np.uint64) for r in rows])
+        name = np.concatenate([_loose(r["d"], r["n"], p.name) for r in rows])
         group = np.repeat(np.array([r["src"] for r in rows]), [r["n"] for r in rows])
-        order = np.lexsort((h2, h))
-        h, h2, low, high, group = (x[order] for x in (h, h2, low, high, group))
-        at = _starts(h, h2)
-        low = np.repeat(np.minimum.reduceat(low, at), np.diff(np.append(at, len(h))))
+        order = np.lexsort((name.view(U64), h)) if p.words else np.argsort(h, kind="stable")
+        h, name, low, high, group = (x[order] for x in (h, name, low, high, group))
+        if p.words:
+            at = _starts(h, name.view(U64))
+            low = np.repeat(np.minimum.reduceat(low, at), np.diff(np.append(at, len(h))))
+        else:
+            low = resolver(name.view(np.uint8), np.arange(len(h) + 1) * p.n, h, low, p.n)
         keep = low < high  # some document of the group comes after the first that has the window
-        h, h2, low, group = h[keep], h2[keep], low[keep], group[keep]
+        h, name, low, group = h[keep], name[keep], low[keep], group[keep]
         order = np.argsort(group, kind="stable")
-        h, h2, low, group = h[order], h2[order], low[order], group[order]
-        return [(g, 0, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), _zip(h2[i:j]), None, None) for g, i, j in _cuts(group)]
+        h, name, low, group = h[order], name[order], low[order], group[order]
+        return [(g, 0, 1, j - i, 0, kernel.pack(h[i:j]), _zip(low[i:j]), _press(name[i:j]), None, None) for g, i, j in _cuts(group)]
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -344,9 +387,9 @@ def _finish(p: Plan, carry: bool):
             np.add.at(edges, ends[row] + last + p.n - 1, -1)
         if warm:
             h = np.concatenate([kernel.unpack(r["a"], r["n"]) for r in warm])
-            low, h2 = (np.concatenate([_unzip(r[x], r["n"], kind) for r in warm]) for x, kind in (("b", np.int64), ("c", np.uint64)))
-            order = np.lexsort((h2, h))
-            h, h2, low = h[order], h2[order], low[order]
+            low, name = np.concatenate([_unzip(r["b"], r["n"], np.int64) for r in warm]), np.concatenate([_loose(r["c"], r["n"], p.name) for r in warm])
+            order = np.argsort(h, kind="stable")
+            h, name, low = h[order], name[order], low[order]
             maybe = np.zeros(1 << 20, bool)
             maybe[h >> U64(44)] = True
             for a in range(0, max(0, len(tokens.values) - p.n + 1), _CHUNK):
@@ -359,10 +402,10 @@ def _finish(p: Plan, carry: bool):
                 hit, at = hit[good], at[good]
                 if not len(hit):
                     continue
-                second = kernel.span_hash(tokens.sums(a, b + p.n - 1, second=True), hit, hit + p.n)
-                while (wrong := (h2[at] != second) & (np.append(h, ~h[-1:])[at + 1] == windows[hit])).any():
+                own = kernel.span_hash(tokens.sums(a, b + p.n - 1, second=True), hit, hit + p.n).view(p.name) if p.words else tokens.windows(p.n)[hit + a]
+                while (wrong := (name[at] != own) & (np.append(h, ~h[-1:])[at + 1] == windows[hit])).any():
                     at[wrong] += 1  # windows that agree in the first hash only stand side by side
-                good = h2[at] == second
+                good = name[at] == own
                 hit, at = hit[good] + a, at[good]
                 row = np.searchsorted(ends, hit, "right") - 1
                 good = (hit + p.n <= ends[row + 1]) & (row < named)

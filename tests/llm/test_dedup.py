@@ -227,6 +227,38 @@ def test_cleaned_texts(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], (2, "\ufffd tail  end \ufffd", 13, "b"), rows[2], (3, "éx", 2, "d"), rows[4], rows[5]], key=repr)
 
 
+@pytest.mark.parametrize("hot", [0, 1 << 30])
+def test_no_window_goes_by_its_hash(monkeypatch, hot):
+    """With hashes that hardly tell anything apart, hot anchors or cold, the bytes themselves still do. All steps run
+    here as Spark would run them, group by group."""
+    import pyarrow as pa
+
+    from strandlab.llm import kernel, repeats
+
+    whole = kernel.mix
+    monkeypatch.setattr(kernel, "mix", lambda x: whole(x) & kernel.U64(0x8001 << 47))  # 4 hashes, 2 buckets
+    rng = random.Random(9)
+    known = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(10, 40))).decode() for _ in range(12)]
+    docs = [(d, "".join(rng.choice(known) for _ in range(rng.randrange(6)))) for d in range(60)]
+    p = repeats.Plan(False, 16, 7, hot, 5, 3)
+    groups = [pa.table({"doc_id": pa.array([d for d, _ in docs if d % 5 == g]), "text": [t for d, t in docs if d % 5 == g], "grp": [g] * 12}) for g in range(5)]
+
+    def dealt(tables):
+        rows = pa.concat_tables(tables)
+        return {d: rows.filter(pa.compute.equal(rows["dest"], d)) for d in rows["dest"].unique().to_pylist()}
+
+    asked = dealt([repeats._ask(p)(g) for g in groups])
+    answered = dealt([repeats._answer(p)(t) for t in asked.values()])
+    sent = dealt([repeats._send(p)(g, answered[k]) for k, g in enumerate(groups) if k in answered])
+    assert {k for t in sent.values() for k in t["kind"].to_pylist()} == {1 if hot == 0 else 0}
+    resolved = dealt([repeats._resolve(p, suffix_radix.radix)(t) for t in sent.values()])
+    empty = repeats._table([])
+    got = {r["doc_id"]: r["kept"] for k, g in enumerate(groups) for r in repeats._finish(p, False)(g, resolved.get(k, empty)).to_pylist()}
+    gone = without([(d, t.encode()) for d, t in docs], 16)
+    assert got == {d: bytes(b for b, g in zip(t.encode(), gone[d]) if not g) for d, t in docs}
+    assert sum(map(sum, gone.values())) > 1000
+
+
 def test_windows_with_one_hash(monkeypatch):
     """Two windows that agree in the first hash are told apart by the second."""
     import numpy as np
