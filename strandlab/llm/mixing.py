@@ -7,7 +7,8 @@ divided by the target. The copies of all sources, ordered by that time, are take
 
 The running sums need no group in one task: documents are dealt to buckets by the hash's leading digits, sums of
 buckets are added up first, and rows only within a bucket. The cut through all sources' virtual times is found
-the same way, over a bounded number of time slots.
+the same way, over a bounded number of time slots; the slot that it crosses is range-sorted. Sources are ordered by ranges
+too.
 
 Null text has size 0. A null source is a source of its own and comes last. Documents without words are never
 taken. Repeated rows are documents of their own; rows that share a doc_id, and so a hash, are ordered by size and a hash
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlab.llm.ordering import numbered, summed_before
 from strandlab.llm.shared import forget, n_words, whole, written
 
 #: Weights of sources in code point order, repeating.
@@ -35,20 +37,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_re
     """source, source_size, target and budget for each source of sizes(source, size).
 
     In order of limit / weight the sources held at their limit come first, so one pass over the sources (one row
-    each) finds the level that the others share: that of the first source which isn't held.
+    each) finds the level that the others share: that of the first source which isn't held. Both orders are dealt out by
+    ranges, as a corpus by domain has as many sources as domains; two rows of totals go through the driver.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumns({"weight": weight.cast("double"), "limit": (most_repeats * F.col("source_size")).cast("double")})
-    rank = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    earlier, later = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(0, Window.unboundedFollowing)
-    whole = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("budget", F.sum("source_size").over(whole))
-    per = per.withColumns({"left": F.col("budget") - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0)), "share": F.sum("weight").over(later)})
+    per = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    absent = F.col("source").isNull()
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    per = numbered(per, absent, "source").withColumns({"weight": weight.cast("double"), "limit": (most_repeats * F.col("source_size")).cast("double")})
+    totals = per.agg(F.sum("source_size").alias("budget"), F.sum("weight").alias("weight")).first()
+    ratio = F.col("limit") / F.col("weight")
+    per = summed_before(per.drop("place"), ["limit", "weight"], ratio, absent, "source")
+    per = per.withColumns({"budget": F.lit(totals["budget"]).cast("long"), "left": F.lit(totals["budget"]) - F.col("before_limit"), "share": F.lit(totals["weight"]) - F.col("before_weight")})
     per = per.withColumn("held", F.col("limit") * F.col("share") <= F.col("left") * F.col("weight"))
-    per = per.withColumn("free", F.first(F.when(~F.col("held"), F.struct("left", "share")), ignorenulls=True).over(whole))
-    target = F.when(F.col("held"), F.col("limit")).otherwise(F.col("weight") * F.col("free.left") / F.col("free.share"))
+    free = per.filter("not held").agg(F.min(F.struct(ratio.alias("ratio"), absent.alias("absent"), "source", "left", "share")).alias("first")).first()["first"]
+    level = (F.lit(free["left"]), F.lit(free["share"])) if free else (F.lit(0.0), F.lit(1.0))  # without one all are held
+    target = F.when(F.col("held"), F.col("limit")).otherwise(F.col("weight") * level[0] / level[1])
     return per.select("source", "source_size", target.alias("target"), "budget")
 
 
@@ -81,9 +84,8 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: i
     if cut[0] is None:
         kept = dealt.select("uid")
     else:
-        in_order = Window.orderBy("finish", "hash", "doc_id", "round", "size", "print", "uid").rowsBetween(Window.unboundedPreceding, 0)
-        running = F.lit(cut[1]) + F.sum("size").over(in_order)
-        last = dealt.filter(F.col("slot") == cut[0]).withColumn("running", running).filter("running <= budget")
+        last = summed_before(dealt.filter(F.col("slot") == cut[0]), ["size"], "finish", "hash", "doc_id", "round", "size", "print", "uid")
+        last = last.filter(cut[1] + F.col("before_size") + F.col("size") <= F.col("budget"))
         kept = dealt.filter(F.col("slot") < cut[0]).select("uid").unionByName(last.select("uid"))
     kept = kept.groupBy("uid").agg(F.count("*").alias("copies"))
     return rows.join(kept, "uid", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))

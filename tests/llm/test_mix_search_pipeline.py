@@ -151,3 +151,30 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"]: len(re.findall(r"\S+", r["text"] or "")) for r in seen["fair_mix"].collect()}.keys() <= cut.keys()
     assert seen["piece_encode"].count() == seen["fair_mix"].count()
     assert seen["piece_encode"].filter(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    """As many sources as domains, over many ranges: the same targets as from a plain loop, and no window has them all in one task."""
+    rng = random.Random(8)
+    sizes = {f"site{k}": rng.choice([0, 1, 2, 5, 40, 400]) for k in range(300)} | {None: 7}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(7)
+    want = targets(sizes)
+    got = mixing.source_targets(rows)
+    assert {r["source"]: round(r["target"], 6) for r in got.collect()} == {s: round(t, 6) for s, t in want.items()}
+    assert {r["budget"] for r in got.collect()} == {sum(sizes.values())}
+    assert mixing.source_targets(rows.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("__part" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_sums_before(spark):
+    from strandlab.llm.ordering import summed_before
+
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(5), rng.choice([None, 3, 8])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, a int, b int").repartition(5)
+    total, want = 0, {}
+    for k, a, b in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[k] = total
+        total += b or 0
+    assert {r["id"]: r["before_b"] for r in summed_before(df, ["b"], "a", "id").collect()} == want
