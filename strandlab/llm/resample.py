@@ -5,7 +5,8 @@ and all pairs of neighbours, each in the bucket of its CRC-32. One pass over the
 with the documents' offsets, into a table of bounded rows: texts are read and hashed once. Streams are sorted and run-length
 encoded for counts, which are added up by bucket; the counts of all buckets (a parameter, not a size of the data) give the
 gains, which are gathered along the streams and added up between offsets. Gains are whole numbers, so sums are exact in any
-order. Documents are drawn by weight plus Gumbel noise from a hash of the id: the highest scores, in a global order.
+order. Documents with enough of these words are drawn by weight plus Gumbel noise from a hash of the id: the highest scores,
+in a global order.
 
 Null and empty texts have no features, weight 0. A null doc_id counts as an empty one in the noise, and comes last among
 equal scores. Repeated rows are documents of their own; those with one doc_id have one noise, and equal rows get ranks in
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.ordering import numbered
-from strandlab.llm.shared import n_words, ready, written
+from strandlab.llm.shared import ready, written
 
 BUCKETS = 10_000
 SEED, LEAST_WORDS, SHARE = 7, 20, 25
@@ -63,7 +64,7 @@ def buckets_of(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate(out).astype(np.uint16) if out else np.zeros(0, np.uint16)
 
 
-def _packed(buckets: int):
+def _packed(least_words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, enough, streams, size = [], [], [], 0
 
@@ -73,13 +74,13 @@ def _packed(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([enough], pa.list_(pa.bool_())), pa.array([offsets], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["ids", "enough", "offsets", "stream"])
 
         for batch in batches:
-            for doc, ok, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for doc, text in zip(*(batch.column(k) for k in range(2)), strict=True):
                 own = buckets_of((text.as_py() or "").encode(), buckets)
                 if streams and (size + len(own) > STREAM or len(ids) >= STREAM):
                     yield row()
                     ids, enough, streams, size = [], [], [], 0
                 ids.append(doc.as_py())
-                enough.append(ok.as_py())
+                enough.append((len(own) + 1) // 2 >= least_words)  # n words have n - 1 pairs
                 streams.append(own)
                 size += len(own)
         if ids:
@@ -91,8 +92,8 @@ def _packed(buckets: int):
 def streams(docs: DataFrame, least_words: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """ids, enough (words), offsets and stream of runs of documents, as a written table."""
     ready(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), (n_words(F.col("text")) >= least_words).alias("enough"), "text")
-    return written(rows.mapInArrow(_packed(buckets), "ids array<long>, enough array<boolean>, offsets array<long>, stream binary"), "bucket-streams")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return written(rows.mapInArrow(_packed(least_words, buckets), "ids array<long>, enough array<boolean>, offsets array<long>, stream binary"), "bucket-streams")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

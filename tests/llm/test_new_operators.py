@@ -133,6 +133,23 @@ def test_op11(spark, texts):
     assert [(r["score"], r["doc_id"]) for r in top] == [(w[3], w[0]) for w in drawn[:n]]
 
 
+def test_words_of_a_draw_are_those_of_features(spark):
+    """Words that decide whether a text takes part are cut where features are: at marks too, and marks are none."""
+    texts = [",".join("abcdefghijklmnopqrst"), ",".join("abcdefghijklmnopqrs"), " ".join("a" * 19 + "-"), "- " * 40, " ".join("a" * 20), "x" * 40, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    target = spark.createDataFrame([("a b",)], "text string")
+    assert [r["doc_id"] for r in resample.drawn(docs, target, share=100).orderBy("doc_id").collect() if r["rank"]] == [0, 4]
+
+
+def test_op11_draws_from_documents_of_20_words(spark, texts):
+    """The contract's words are those of its features, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ in lower case."""
+    got = queries.op11_bucket_resample(spark, texts[0]).collect()
+    enough = sorted((r for r in got if r["n_features"] >= 39), key=lambda r: (-r["score"], r["doc_id"]))
+    assert len(enough) == sum(len(_features(t)) >= 39 for _, t in texts[1])
+    top = sorted((r for r in got if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [(r["rank"], r["score"], r["doc_id"]) for r in top] == [(k + 1, r["score"], r["doc_id"]) for k, r in enumerate(enough[: 25 * len(enough) // 100])]
+
+
 def test_words_of_long_texts_are_not_cut(monkeypatch):
     text = ("Word1 é漢字x " * 50 + "z" * 90 + " end-of it").encode()
     whole = resample.buckets_of(text)
