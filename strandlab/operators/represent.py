@@ -159,12 +159,14 @@ def selectivity(attention: DataFrame, diff: DataFrame, last_query: bool = False,
     attention(model, modality, pair_id, layer, head, q, w array<double>) has a row for each query, diff(pair_id, modality,
     diff array<int>) the differing places, each once. With last_query only each pair's last query counts, else all do. Places
     beyond the weights don't count; guard says which pairs are left out for having none or (nearly) all of the L places.
-    Sums over an array's places stay within its row, so a weight is no row of a shuffle.
+    Sums over an array's places stay within its row, so a weight is no row of a shuffle. Both sides of the join are dealt by
+    pair, where a pair's sums stay too; nothing is broadcast for it.
     """
     if last_query:
         last = attention.groupBy("model", "modality", "pair_id").agg(F.max("q").alias("q"))
         attention = attention.join(last, ["model", "modality", "pair_id", "q"], "left_semi")
-    rows = attention.join(diff.select("pair_id", "modality", "diff"), ["pair_id", "modality"])
+    # Plans tell too little of attention that is made from ids, and may broadcast it; so the pairs are the side that is hashed.
+    rows = attention.join(diff.select("pair_id", "modality", "diff").hint("shuffle_hash"), ["pair_id", "modality"])
     inside = F.filter("diff", lambda i: (i >= 0) & (i < F.size("w")))
     if GUARDS[guard]:
         rows = rows.filter((F.size(inside) > 0) & (F.size(inside) <= F.size("w") - GUARDS[guard]))

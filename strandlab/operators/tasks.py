@@ -57,9 +57,10 @@ def corrupted(word: Column, key: Column, n_types: int, seed: int) -> Column:
     return F.coalesce(broken, put(put(word, i, F.get(word, j)), j, F.get(word, i)))
 
 
-def spread(ids: DataFrame) -> DataFrame:
-    """ids dealt over all cores: they are a few bytes each, and what is made from them takes far longer than to move them."""
-    return ids.repartition(max(ids.sparkSession.sparkContext.defaultParallelism, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def spread(ids: DataFrame, *keys: str) -> DataFrame:
+    """ids dealt over all cores, by keys if given: they are a few bytes each, and what is made from them takes far longer than
+    to move them. What is made by keys can be joined and grouped by them where it is."""
+    return ids.repartition(max(ids.sparkSession.sparkContext.defaultParallelism, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def bracket_task(ids: DataFrame, key: str = "id", length: int = 40, n_types: int = 3, seed: int = 0) -> DataFrame:

@@ -410,7 +410,7 @@ def cka_permuted_floor(spark, sf_dir):
 def _attention(spark, sf_dir):
     """Attention by hash, of all vectors: two models, a pair for each vector, 2 layers, 4 heads, 8 queries of 8 weights."""
     own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string")).alias("model"), F.lit("NL").alias("modality"))
-    rows = tasks.spread(own).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("c"))
+    rows = tasks.spread(own, "pair_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("c"))
     weight = lambda i: F.round(scalars.unit_hash(F.lit("7"), F.col("pair_id").cast("string"), i.cast("string")), 6)
     weights = F.array(*(weight(F.col("c") * 8 + k) for k in range(8)))
     rows = rows.select("model", "modality", "pair_id", F.expr("cast(c div 32 as int)").alias("layer"), F.expr("cast(c div 8 % 4 as int)").alias("head"), (F.col("c") % 8).alias("q"), weights.alias("w"))

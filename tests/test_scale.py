@@ -13,6 +13,7 @@ from strandlab import schemas
 from strandlab.functions import tokenize
 from strandlab.functions.scalars import tokenizer
 from strandlab.operators import corpus, metrics, ranges, represent, sampling, stats
+from strandlab.plans import twins
 from strandlab.sources import readers, sinks
 from strandlab.streaming import records as live
 
@@ -164,6 +165,14 @@ def test_guards(spark):
         assert (r["n_pairs"], r["score"]) == (len(kept), pytest.approx(mean([score(p, [1] if last else [0, 1]) for p in kept])))
 
 
+def test_attention_is_never_broadcast(spark, tmp_path):
+    """Attention made from few ids looks small to a plan; it stays where its ids were dealt, as do the sums of its pairs."""
+    spark.range(50).withColumnRenamed("id", "vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    attention, diff = twins._attention(spark, str(tmp_path))
+    plan = represent.selectivity(attention, diff)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(pair_id") == 2 and plan.count("Exchange ") == 3
+
+
 def test_seeds_are_a_dimension(spark):
     rows = spark.createDataFrame([(i, i % 2) for i in range(120)], "id int, label int")
     seeds = list(range(15))
