@@ -17,6 +17,8 @@ from strandlab.operators.sampling import placed, shuffled_rank
 
 #: Rows of a matrix that one Arrow batch holds at most when a task sends its sums.
 SENT_ROWS = 256
+#: Tasks that add up a probe's rows on few cores, or before all executors are there.
+LEAST_TASKS = 12
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -325,12 +327,15 @@ def probe_accuracy(rows: DataFrame, features: str, label: str, seed: int, *ids:
 
     All folds of all keys (models, layers) are fitted together when this is called, one job an iteration; predictions are
     made when the result is read. Rows without features or label take no part. The labels are the same few for all keys.
+    What an iteration shuffles depends on cores, keys, folds, classes and features, not on rows.
     """
     rows = rows.filter(F.col(features).isNotNull() & F.col(label).isNotNull())
     classes = sorted(r[0] for r in rows.select(label).distinct().collect())
     number = F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1 if classes else F.lit(0)
     own = stratified_folds(rows, label, seed, *ids, folds=folds, keys=keys)
     own = own.select(*keys, F.col("fold").cast("int").alias("fold"), number.cast("double").alias("y"), F.transform(features, lambda v: v.cast("double")).alias("x"))
+    # A task sends whole Hessians in each iteration, however few rows it has: so there are as many tasks as cores.
+    own = own.coalesce(max(own.sparkSession.sparkContext.defaultParallelism, LEAST_TASKS))
     own = (own.sortWithinPartitions(*keys) if keys else own).persist()
     weights = probe_weights(own, keys, len(classes), folds, c, steps)
     own.unpersist()

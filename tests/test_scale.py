@@ -112,6 +112,22 @@ def test_probe_of_all_layers_at_once(spark):
         assert got[key] == pytest.approx(w, abs=1e-5)
 
 
+def test_probe_sends_hessians_once_a_core(spark, monkeypatch):
+    """More partitions of rows don't make more tasks that send sums."""
+    seen, fit = [], represent.probe_weights
+    monkeypatch.setattr(represent, "probe_weights", lambda rows, *a: (seen.append(rows.rdd.getNumPartitions()), fit(rows, *a))[1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        df = spark.range(120).selectExpr("id", "cast(id % 2 as int) as y", "array(cast(id % 7 as double), cast(id % 2 + id % 5 as double)) as f")
+        n = sum(r["n"] for r in represent.probe_accuracy(df, "f", "y", 7, "id", folds=2, steps=2).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n == 120 and seen[0] <= max(spark.sparkContext.defaultParallelism, represent.LEAST_TASKS)
+
+
 def test_probe_of_several_classes(spark):
     """At the weights the penalised softmax loss has no slope."""
     rng = np.random.default_rng(5)
