@@ -207,18 +207,28 @@ def _across(percent: int):
 
 
 def across(families: DataFrame, groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links(u, v) within families(family, rep, n) between different groups(node, component); n is the size of rep's set."""
-    rows = families.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = rows.groupBy("family", "component").agg(F.sum("n").alias("n"))
+    """Links(u, v) within families(family, rep, n) between different groups(node, component), as a table; n is the size of
+    rep's set.
+
+    Members with their components are written before they are counted and dealt out: else their joins would stand in the
+    plan once for each use, and the driver would hold them all at a time.
+    """
+    members = families.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = written(members, "members")
+    counts = members.groupBy("family", "component").agg(F.sum("n").alias("n"))
     per = counts.groupBy("family").agg(F.max(F.struct("n", -F.col("component"))).alias("m"), F.sum("n").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
     per = per.select("family", (-F.col("m.col2")).alias("main"), F.ceil((F.col("all") - F.col("m.n")) / F.lit(BLOCK)).cast("int").alias("blocks"), F.ceil(F.col("all") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    rows = rows.drop("n").join(per, "family").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = members.drop("n").join(per, "family").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    every = lambda n, place: F.transform(F.sequence(F.lit(0), F.col(n) - 1), place)
     mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    common = ["family", "rep", "component", "shingles"]
-    members = rows.select(*common, F.lit(False).alias("lesser"), mine("chunks").alias("chunk"), every("blocks").alias("block"))
-    lesser = rows.filter("component <> main").select(*common, F.lit(True).alias("lesser"), every("chunks").alias("chunk"), mine("blocks").alias("block"))
-    return members.unionByName(lesser).groupBy("family", "block", "chunk").applyInArrow(_across(percent), "u long, v long")
+    of = lambda lesser, block, chunk: F.struct(F.lit(lesser).alias("lesser"), block.alias("block"), chunk.alias("chunk"))
+    member = every("blocks", lambda block: of(False, block, mine("chunks")))
+    lesser = every("chunks", lambda chunk: of(True, mine("blocks"), chunk))
+    places = F.flatten(F.array_compact(F.array(member, F.when(F.col("component") != F.col("main"), lesser))))
+    dealt = rows.select("family", "rep", "component", "shingles", F.inline(places))
+    out = written(dealt.groupBy("family", "block", "chunk").applyInArrow(_across(percent), "u long, v long"), "across")
+    forget(members)
+    return out
 
 
 def _left_over(active: DataFrame) -> DataFrame:
@@ -263,7 +273,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     hubs = written(apart.select("hub", "m").distinct(), "hubs")
     family = F.xxhash64(F.lit("hub"), "hub").alias("family")
     families = seen.join(hubs, "hub", "left_semi").select(family, "rep", "n").unionByName(hubs.select(family, F.col("hub").alias("rep"), F.col("m").alias("n")))
-    more = written(across(families.unionByName(_left_over(active)).distinct(), groups, sets, percent), "across")
+    more = across(families.unionByName(_left_over(active)).distinct(), groups, sets, percent)
     if not more.isEmpty():
         # Only components that a new link joins are looked at again.
         name = lambda c: F.coalesce(F.col(f"of_{c}"), F.col(c)).alias(c)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from strandlab.llm import automata, minmax, suffix_radix
+from strandlab.llm import automata, components, minmax, suffix_radix
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -80,6 +80,21 @@ def test_families_by_blocks(family, monkeypatch):
     assert got == near(docs)
 
 
+def test_statements_stay_small(family, monkeypatch, capsys):
+    """The driver holds a whole statement at a time: none has the families' joins more than once, and all stay small."""
+    shuffles, own = [], minmax.written
+
+    def watched(df, tag):
+        df.explain()
+        shuffles.append((capsys.readouterr().out.count(" Exchange "), tag))
+        return own(df, tag)
+
+    for module in (minmax, components):
+        monkeypatch.setattr(module, "written", watched)
+    minmax.near_duplicates(family).explain()
+    assert "across" in {tag for _, tag in shuffles} and max(shuffles)[0] <= 10, sorted(shuffles)[-5:]
+
+
 def test_few_pairs_are_compared():
     """Thousands of texts of one template, all at a similarity between 0.4 and 0.75 but for a few linked pairs: the
     links are found, and hardly any other pair is compared."""
